@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, packing, quality
 from . import license as license_scan
-from . import quality
 from .common import read
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read(spark, sf_dir, "documents"), packing.vocabulary("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_documents(read(spark, sf_dir, "documents"), packing.vocabulary("word_bpe_49k.json"))
+    n = F.octet_length("ids") / 4
+    return coded.select("doc_id", n.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(read(spark, sf_dir, "documents"))
     base = F.array_distinct("places.label")
@@ -30,6 +41,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op4_bpe": op4_bpe,
     "op6_license": op6_license,
     "op8_quality": op8_quality,
 }
