@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality
+from . import bpe, jaccard, packing, quality
 from . import license as license_scan
 from .common import read
 
@@ -15,6 +15,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(read(spark, sf_dir, "documents"), packing.vocabulary("word_bpe_49k.json"))
     n = F.octet_length("ids") / 4
@@ -42,6 +46,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_jaccard": op2_jaccard,
     "op4_bpe": op4_bpe,
     "op6_license": op6_license,
     "op8_quality": op8_quality,
