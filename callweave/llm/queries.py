@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, quality
+from . import blocks, bpe, jaccard, packing, quality
 from . import license as license_scan
 from .common import read
 
@@ -44,11 +44,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op10_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = blocks.dedup(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_jaccard": op2_jaccard,
     "op4_bpe": op4_bpe,
     "op6_license": op6_license,
     "op8_quality": op8_quality,
+    "op10_blocks": op10_blocks,
 }
 ORACLE_SQL: dict[str, str] = {}
