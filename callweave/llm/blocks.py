@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .anchors import pack_rising, parts_for, shared_places, unpack_rising
 from .common import NO_ID, cut, keyed, mix, prefix_hashes, release, rolling, word_hashes, word_spans
@@ -95,35 +94,49 @@ def _send_windows(width: int, parts: int):
     return run
 
 
-def _later(table: pa.Table) -> pa.Table:
-    """Windows of a part that a smaller document holds too, by row."""
+def joined(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()])
 
-    def whole(name, kind):
-        return np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()])
 
-    hashes, seconds, ids, keys, places = whole("hashes", np.uint64), whole("seconds", np.uint64), whole("ids", np.int64), whole("rows", np.int64), whole("places", np.uint32)
+def _later(table: pa.Table) -> pa.Table:
+    """Windows of a part that a smaller document holds too, by flush."""
+    hashes, seconds, ids = joined(table, "hashes", np.uint64), joined(table, "seconds", np.uint64), joined(table, "ids", np.int64)
     order = np.lexsort((ids, seconds, hashes))
     hashes, seconds, ids = hashes[order], seconds[order], ids[order]
     start = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (seconds[1:] != seconds[:-1])])
     smallest = ids[np.flatnonzero(start)][np.cumsum(start) - 1]
-    late = order[ids > smallest]
-    late = late[np.lexsort((places[late], keys[late]))]
-    keys, places = keys[late], places[late]
-    edges = np.flatnonzero(np.diff(keys)) + 1 if len(keys) else []
-    rows = [(int(keys[x[0]]), pack_rising(np.unique(places[x]))) for x in np.split(np.arange(len(keys)), edges) if len(x)]
-    return pa.table([pa.array([r[0] for r in rows], type=pa.int64()), pa.array([r[1] for r in rows], type=pa.binary())], names=["row_key", "starts"])
+    late = np.zeros(len(order), dtype=bool)
+    late[order] = ids > smallest
+    rows, at = [], 0
+    for flush, keys, places in zip(*(table.column(c).to_pylist() for c in ("flush", "rows", "places"))):
+        keys, places = np.frombuffer(keys, dtype=np.int64), np.frombuffer(places, dtype=np.uint32)
+        own = late[at : at + len(keys)]
+        at += len(keys)
+        if own.any():
+            rows.append((flush, keys[own].tobytes(), places[own].tobytes()))
+    cols = list(zip(*rows)) or [()] * 3
+    return pa.table([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], names=["flush", "rows", "places"])
+
+
+def _by_row(table: pa.Table) -> pa.Table:
+    keys, places = joined(table, "rows", np.int64), joined(table, "places", np.uint32)
+    order = np.lexsort((places, keys))
+    keys, places = keys[order], places[order]
+    edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+    starts = [pack_rising(places[a:b]) for a, b in zip(edges, edges[1:])]
+    return pa.table([pa.array(keys[edges[:-1]], type=pa.int64()), pa.array(starts, type=pa.binary())], names=["row_key", "starts"])
 
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """row_key, starts (array of pack_rising): of keyed docs, the windows that
-    also start in a document with a smaller id."""
+    """row_key, starts (pack_rising): of keyed docs, the windows that also
+    start in a document with a smaller id."""
     hits = cut(shared_places(docs, block_anchors(width)), "hits")
     release(docs.sparkSession)
     parts = parts_for(docs)
     texts = docs.join(hits, "row_key").dropDuplicates(["row_key"])
     windows = texts.select("doc_id", "row_key", "text", "hits").mapInArrow(_send_windows(width, parts), "flush long, part long, hashes binary, seconds binary, ids binary, rows binary, places binary")
-    late = windows.groupBy("part").applyInArrow(_later, "row_key long, starts binary")
-    late = cut(late.groupBy("row_key").agg(F.collect_list("starts").alias("starts")), "late")
+    late = windows.groupBy("part").applyInArrow(_later, "flush long, rows binary, places binary")
+    late = cut(late.groupBy("flush").applyInArrow(_by_row, "row_key long, starts binary"), "late")
     release(docs.sparkSession)
     return late
 
@@ -154,7 +167,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
             out = [[], [], [], []]
             for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
                 words = text.encode("utf-8", "surrogatepass").split()
-                runs = spans(np.unique(np.concatenate([unpack_rising(x) for x in starts])), width) if starts else []
+                runs = spans(unpack_rising(starts), width) if starts else []
                 kept, at = [], 0
                 for a, b in runs:
                     kept += words[at:a]

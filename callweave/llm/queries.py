@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, bpe, jaccard, packing, quality
+from . import blocks, bpe, jaccard, packing, quality, suffix
 from . import license as license_scan
 from .common import read
 
@@ -19,6 +19,11 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix.dedup(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(read(spark, sf_dir, "documents"), packing.vocabulary("word_bpe_49k.json"))
     n = F.octet_length("ids") / 4
@@ -52,6 +57,7 @@ def op10_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_jaccard": op2_jaccard,
+    "op3_suffix": op3_suffix,
     "op4_bpe": op4_bpe,
     "op6_license": op6_license,
     "op8_quality": op8_quality,
