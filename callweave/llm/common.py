@@ -44,6 +44,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_later(spark: SparkSession, path: str) -> None:
+    """Delete path when the program ends."""
+    _written.append((spark, path))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished stages now."""
     import gc

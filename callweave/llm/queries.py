@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, bpe, jaccard, packing, quality, suffix
+from . import ann, blocks, bpe, jaccard, lm, packing, quality, suffix
 from . import license as license_scan
 from .common import read
 
@@ -45,10 +45,18 @@ def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.train_and_score(read(spark, sf_dir, "documents"))
+
+
 def op10_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = blocks.dedup(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -60,7 +68,9 @@ QUERIES = {
     "op3_suffix": op3_suffix,
     "op4_bpe": op4_bpe,
     "op6_license": op6_license,
+    "op7_ann": op7_ann,
     "op8_quality": op8_quality,
+    "op9_lm": op9_lm,
     "op10_blocks": op10_blocks,
 }
 ORACLE_SQL: dict[str, str] = {}
