@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, blocks, bpe, jaccard, lm, packing, quality, suffix
+from . import ann, blocks, bpe, chat, jaccard, lm, packing, quality, suffix
 from . import license as license_scan
 from .common import read
 
@@ -30,6 +30,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", n.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat.format_chats(read(spark, sf_dir, "conversations"))
+    return chats.select("conv_id", "position", "turn", "role", "parent", "root", "depth", F.size("quotes").cast("long").alias("n_quotes"), "text")
+
+
 def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(read(spark, sf_dir, "documents"))
     base = F.array_distinct("places.label")
@@ -67,6 +72,7 @@ QUERIES = {
     "op2_jaccard": op2_jaccard,
     "op3_suffix": op3_suffix,
     "op4_bpe": op4_bpe,
+    "op5_chat": op5_chat,
     "op6_license": op6_license,
     "op7_ann": op7_ann,
     "op8_quality": op8_quality,

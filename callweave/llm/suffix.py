@@ -24,9 +24,11 @@ result. Only the id and text columns are read.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .anchors import parts_for, shared_places, unpack_rising
 from .blocks import joined
@@ -369,3 +371,27 @@ def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, type=f.type) for c, f in zip(out, list(schema)[1:]))], schema=schema)
 
     return found.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,end:long>>, kept binary")
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are but for the text, of which
+    repeats are removed (and what a cut leaves of a character). A text that
+    loses everything stays as an empty one."""
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, packed in zip(texts, spans):
+            if packed is None or text is None:
+                out.append(text)
+                continue
+            data, kept, at = text.encode("utf-8", "surrogatepass"), [], 0
+            for a, b in np.frombuffer(packed, dtype=np.int64).reshape(-1, 2).tolist():
+                kept.append(data[at:a])
+                at = b
+            out.append(b"".join([*kept, data[at:]]).decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
+
+    row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    found = repeats(keyed(docs, id_col, text_col), width).select(F.col("row_key").alias("__row"), F.col("spans").alias("__spans"))
+    marked = docs.withColumn("__row", row).join(found, "__row", "left")
+    return marked.withColumn(text_col, without(F.col(text_col), F.col("__spans"))).select(docs.columns)
