@@ -67,25 +67,29 @@ def boundary_callers(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return edges.filter(F.col("rel_type") == BOUNDARY).select(F.col("dst_id").alias("target"), F.col("src_id").alias("caller")).distinct().join(targets.select(F.col("id").alias("target")), "target", "left_semi")
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Calls in either direction, written once: each hop reads them."""
+    e = calls(edges).select("src_id", "dst_id")
+    return cut(e.union(e.select("dst_id", "src_id")).distinct())
+
+
 def two_hops(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False) -> DataFrame:
     """id of what is at most two steps from the seeds, in either direction."""
-    e = calls(edges).select("src_id", "dst_id")
-    both = e.union(e.select("dst_id", "src_id")).distinct()
-    start = seeds.select("id").distinct()
+    both = both_ways(edges)
+    start = cut(seeds.select("id").distinct())
 
     def step(ids: DataFrame) -> DataFrame:
         return both.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct()
 
-    one = step(start)
+    one = cut(step(start))
     found = one.union(step(one)).distinct()
     return found.union(start).distinct() if include_seeds else found.join(start, "id", "left_anti")
 
 
 def boundary_warnings(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Boundary edges that touch the seeds or what is one step away."""
-    e = calls(edges).select("src_id", "dst_id")
-    both = e.union(e.select("dst_id", "src_id")).distinct()
-    start = seeds.select("id").distinct()
+    both = both_ways(edges)
+    start = cut(seeds.select("id").distinct())
     one = both.join(start.withColumnRenamed("id", "src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("id"))
     near = start.union(one).distinct()
     b = edges.filter(F.col("rel_type") == BOUNDARY).select("src_id", "dst_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..schema import BOUNDARY, EXTERNAL, IMPORT, LOCAL
 
 #: Areas of the fixture graph; files under tests/ are in none.
@@ -15,6 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_index: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def indexed(make):
+    """The view as an index holds it: written once a session, then read."""
+
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+        if key not in _index:
+            _index[key] = cut(make(spark, sf_dir).coalesce(max(1, spark.sparkContext.defaultParallelism)))
+        return _index[key]
+
+    return read
+
+
+@indexed
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     def rows(name, prefix, key, label, file, kind, start, end):
         k = F.concat(F.lit(prefix), F.col(key).cast("string"))
@@ -32,6 +49,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.union(brands.select(F.concat(F.lit("m:"), "b"), F.col("b"), F.concat(F.lit("catalog/"), "b", F.lit(".py")), F.lit("module"), F.lit(1).cast("long"), F.lit(100000).cast("long")))
 
 
+@indexed
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     def key(prefix, c):
         return F.concat(F.lit(prefix), (F.col(c) if isinstance(c, str) else c).cast("string"))

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 SCHEMA_VERSION = 1
 
-UNITS = StructType.fromDDL("id string, name string, file string, type string, line_start int, line_end int, signature string, docstring string, hash string")
-EDGES = StructType.fromDDL("src_id string, dst_id string, rel_type string, file string")
-CAPTURES = StructType.fromDDL("capture_name string, text string, file string, line int")
-VECTORS = StructType.fromDDL("id string, embedding array<float>")
-META = StructType.fromDDL("key string, value string")
-FILE_HASHES = StructType.fromDDL("file string, hash string")
-SNAPSHOTS = StructType.fromDDL("build_ts long, commit_hash string, coupling double, avg_blast double, dead_code_pct double, cohesion double, test_surface double, drift_velocity double, hub_concentration double, unit_count long, edge_count long")
-NOTES = StructType.fromDDL("id string, unit_id string, area string, type string, title string, body string, author string, created_ts long, tags array<string>, decay_score double, status string")
-NOTE_EDGES = StructType.fromDDL("from_id string, to_id string, rel_type string, created_ts long, author string")
-NOTE_VECTORS = StructType.fromDDL("id string, embedding array<float>")
-AREAS = StructType.fromDDL("name string, path string, ord int")
+
+def names(ddl: str) -> list[str]:
+    """Column names of one of the schemas below."""
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
+
+UNITS = "id string, name string, file string, type string, line_start int, line_end int, signature string, docstring string, hash string"
+EDGES = "src_id string, dst_id string, rel_type string, file string"
+CAPTURES = "capture_name string, text string, file string, line int"
+VECTORS = "id string, embedding array<float>"
+META = "key string, value string"
+FILE_HASHES = "file string, hash string"
+SNAPSHOTS = "build_ts long, commit_hash string, coupling double, avg_blast double, dead_code_pct double, cohesion double, test_surface double, drift_velocity double, hub_concentration double, unit_count long, edge_count long"
+NOTES = "id string, unit_id string, area string, type string, title string, body string, author string, created_ts long, tags array<string>, decay_score double, status string"
+NOTE_EDGES = "from_id string, to_id string, rel_type string, created_ts long, author string"
+NOTE_VECTORS = "id string, embedding array<float>"
+AREAS = "name string, path string, ord int"
 
 # The kinds of edges; other kinds are treated like calls.
 LOCAL, EXTERNAL, IMPORT, BOUNDARY = "LOCAL_CALL", "EXTERNAL_CALL", "IMPORT", "RUNTIME_BOUNDARY"
