@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_width
 
 #: Anchors in a flush, and how many of one hash are too many to send.
-FLUSH, OFTEN = 2_000_000, 64
+FLUSH, OFTEN = 1_000_000, 64
 #: Marks an entry that stands for all of a flush.
 ALL = np.uint32(0xFFFFFFFF)
 DOCS, SURE, ENTRIES = -2, -1, 0

@@ -241,9 +241,14 @@ def _send_segments(width: int, k: int, parts: int):
     return run
 
 
-def _later(width: int):
+#: Strings that are sorted at once, and equal hashes kept together.
+CHUNK = 250_000
+
+
+def _later(width: int, chunk: int = CHUNK):
     """Of a part's segments, the stretches of strings that start in a smaller
-    document too, by flush."""
+    document too, by flush. Only hashes of two documents matter; these are
+    taken in chunks of bounded size, whole hashes at a time."""
 
     def of_part(table: pa.Table) -> pa.Table:
         hashes, counts, ids = joined(table, "hashes", np.uint64), joined(table, "counts", np.uint32).astype(np.int64), joined(table, "ids", np.int64)
@@ -251,57 +256,74 @@ def _later(width: int):
         flushes = np.repeat(np.array(table.column("flush").to_pylist()), [len(x) // 8 for x in table.column("hashes").to_pylist()])
         length = counts + width - 1
         at = np.cumsum(length) - length
-        # Only hashes of two documents matter; equal segments are sorted once.
-        sorts = Suffixes(data, width)
-        content = (sorts.prefix[at + length] - sorts.prefix[at]) * sorts.inverse[at]
-        order = np.lexsort((ids, content, length, hashes))
+        order = np.argsort(hashes, kind="stable")
         h = hashes[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        edge = np.flatnonzero(new)
+        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         low, high = np.minimum.reduceat(ids[order], edge), np.maximum.reduceat(ids[order], edge)
-        order = order[(low < high)[np.cumsum(new) - 1]]
+        size = np.diff(np.append(edge, len(order)))
+        order = order[np.repeat(low < high, size)]
         if not len(order):
             return _ranges([])
-        c, n, h = content[order], length[order], hashes[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (n[1:] != n[:-1]) | (c[1:] != c[:-1])])
-        lead = np.flatnonzero(new)
-        which = np.cumsum(new) - 1  # each segment's representative
-        if (bad := _differ(sorts, at[order], at[order[lead]][which], length[order])).any():
-            # A content hash has lied: those segments stand for themselves.
-            new |= bad
-            lead = np.flatnonzero(new)
-            which = np.cumsum(new) - 1
-        rep = order[lead]
-        smallest = np.minimum.reduceat(ids[order], lead)
-        n_starts = counts[rep]
-        offset = np.arange(n_starts.sum()) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)
-        start = np.repeat(at[rep], n_starts) + offset
-        _, group = np.unique(hashes[rep], return_inverse=True)
-        ranked, equal = sorts.sort(start, start + width, np.repeat(group, n_starts))
-        run = np.cumsum(~equal) - 1
-        owner = np.repeat(smallest, n_starts)[ranked]
-        least = np.minimum.reduceat(owner, np.flatnonzero(~equal))
-        of_start = np.empty(len(start), dtype=np.int64)
-        of_start[ranked] = least[run]
-        # Back to every segment: stretches of its starts with a smaller id.
-        n = counts[order]
-        seg = np.repeat(np.arange(len(order)), n)
-        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        base = np.cumsum(n_starts) - n_starts
-        late = of_start[base[which[seg]] + offset] < ids[order][seg]
-        edge = np.diff(np.concatenate([[False], late, [False]]).astype(np.int8))
-        same = np.concatenate([[True], seg[1:] != seg[:-1], [True]])
-        begin = np.flatnonzero(late & ((edge[:-1] == 1) | same[:-1]))
-        stop = np.flatnonzero(late & ((edge[1:] == -1) | same[1:]))
-        own = order[seg[begin]]
-        out = np.stack([keys[own], places[own] + offset[begin], places[own] + offset[stop] + width], axis=1).astype(np.int64)
-        by = np.argsort(flushes[own], kind="stable")
-        parts = np.split(by, np.flatnonzero(np.diff(flushes[own][by])) + 1) if len(by) else []
-        return _ranges([(int(flushes[own[x[0]]]), out[x].tobytes()) for x in parts])
+        h = hashes[order]
+        edge = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(order))
+        upto = np.concatenate([[0], np.cumsum(counts[order])])[edge]
+        out, first = [], 0
+        while first < len(edge) - 1:
+            last = max(first + 1, int(np.searchsorted(upto, upto[first] + chunk, side="right")) - 1)
+            own = order[edge[first] : edge[last]]
+            seg, begin, stop = _late_stretches(hashes[own], counts[own], ids[own], at[own], data, width)
+            own = own[seg]
+            out.append(np.stack([flushes[own], keys[own], places[own] + begin, places[own] + stop], axis=1).astype(np.int64))
+            first = last
+        got = np.concatenate(out)
+        got = got[np.argsort(got[:, 0], kind="stable")]
+        parts = np.split(got, np.flatnonzero(np.diff(got[:, 0])) + 1) if len(got) else []
+        return _ranges([(int(x[0, 0]), x[:, 1:].tobytes()) for x in parts])
 
     return of_part
 
 
+def _late_stretches(hashes, counts, ids, at, data, width: int):
+    """(segment, first and end byte in it) of what starts in a smaller document
+    too. Equal segments are found by their content first, and sorted once."""
+    length = counts + width - 1
+    n = np.arange(length.sum())
+    local = np.cumsum(length) - length
+    sorts = Suffixes(data[n + np.repeat(at - local, length)], width)
+    content = (sorts.prefix[local + length] - sorts.prefix[local]) * sorts.inverse[local]
+    order = np.lexsort((ids, content, length, hashes))
+    c, n, h = content[order], length[order], hashes[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (n[1:] != n[:-1]) | (c[1:] != c[:-1])])
+    lead = np.flatnonzero(new)
+    which = np.cumsum(new) - 1  # each segment's representative
+    if (bad := _differ(sorts, local[order], local[order[lead]][which], length[order])).any():
+        # A content hash has lied: those segments stand for themselves.
+        new |= bad
+        new[1:] |= bad[:-1]
+        lead = np.flatnonzero(new)
+        which = np.cumsum(new) - 1
+    rep = order[lead]
+    smallest = np.minimum.reduceat(ids[order], lead)
+    n_starts = counts[rep]
+    base = np.cumsum(n_starts) - n_starts
+    start = np.arange(n_starts.sum()) + np.repeat(local[rep] - base, n_starts)
+    group = np.cumsum(np.concatenate([[True], hashes[rep][1:] != hashes[rep][:-1]]))
+    ranked, equal = sorts.sort(start, start + width, np.repeat(group, n_starts))
+    least = np.minimum.reduceat(np.repeat(smallest, n_starts)[ranked], np.flatnonzero(~equal))
+    of_start = np.empty(len(start), dtype=np.int64)
+    of_start[ranked] = least[np.cumsum(~equal) - 1]
+    # Back to every segment: stretches of its starts with a smaller id.
+    n = counts[order]
+    seg = np.repeat(np.arange(len(order)), n)
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    late = of_start[base[which[seg]] + offset] < ids[order][seg]
+    edge = np.diff(np.concatenate([[False], late, [False]]).astype(np.int8))
+    same = np.concatenate([[True], seg[1:] != seg[:-1], [True]])
+    begin = np.flatnonzero(late & ((edge[:-1] == 1) | same[:-1]))
+    stop = np.flatnonzero(late & ((edge[1:] == -1) | same[1:]))
+    return order[seg[begin]], offset[begin], offset[stop] + width
+
+
 def _differ(sorts: Suffixes, a, b, length) -> np.ndarray:
     """Whether stretches of at least 8 bytes differ, byte for byte."""
     wrong = np.zeros(len(a), dtype=bool)
