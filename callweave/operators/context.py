@@ -52,7 +52,7 @@ def fill(ranked: DataFrame, budget: int = 8000, max_candidates: int = 100_000) -
             out.append((r.id, k, chosen[0], chosen[1]))
         return pd.DataFrame(out, columns=["id", "ord", "tier", "tokens"])
 
-    return ranked.groupBy(F.lit(1)).applyInPandas(run, "id string, ord long, tier string, tokens long")
+    return ranked.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "id string, ord long, tier string, tokens long")
 
 
 def export_xml(filled: DataFrame) -> DataFrame:

@@ -656,7 +656,7 @@ def import_name(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.import_name(F.concat(F.lit("from x import "), "p_name", F.lit(", y"))).alias("imported"))
 
 
-@query("SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(p_type || ', ,' || p_name, ','), x -> trim(x)), x -> x <> ''), '|') AS tags FROM part")
+@query("SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(p_type || ', ,' || p_name, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS tags FROM part")
 def tags_array(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(text.tags_array(F.concat("p_type", F.lit(", ,"), "p_name")), "|").alias("tags"))
 
