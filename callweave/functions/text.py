@@ -64,7 +64,7 @@ def loc(start, end) -> Column:
 
 
 def tags_array(csv) -> Column:
-    return F.filter(F.transform(F.split(col(csv), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col(csv), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def has_dynamic(sig, doc) -> Column:
