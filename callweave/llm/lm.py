@@ -96,6 +96,12 @@ def _slices(keys: np.ndarray, bits: int):
     return [(int(part[a]), slice(a, b)) for a, b in zip(edges, edges[1:]) if b > a]
 
 
+def word_bits(bits: int) -> int:
+    """Words are fewer than bigrams and go to fewer parts, so that what all
+    bigram parts send to all word parts grows slower than the parts squared."""
+    return max(4, bits - 4)
+
+
 def _count(bits: int):
     def run(batches):
         held, size = [], 0
@@ -108,7 +114,7 @@ def _count(bits: int):
                 yield BIGRAMS, part, _pack_codes(first[s]), _pack_codes(second[s]), n[s].tobytes()
             words, n = np.unique(np.concatenate(held), return_counts=True)
             n = n.astype(np.uint32)
-            for part, s in _slices(words, bits):
+            for part, s in _slices(words, word_bits(bits)):
                 yield WORDS, part, words[s].tobytes(), n[s].tobytes(), b""
 
         for batch in batches:
@@ -169,10 +175,10 @@ def _bigram_part(folder: str, bits: int):
         _save(folder, f"bigram-{part}.more", np.stack([more, n[more]]).astype(np.int64))
         rows = [(COUNTS, part, _counts_of(n).tobytes(), b"", b"")]
         words, times = _summed(second, np.ones(len(second), dtype=np.int64))
-        for p, s in _slices(words << CODE, bits):
+        for p, s in _slices(words << CODE, word_bits(bits)):
             rows.append((SECONDS, p, _pack_codes(words[s]), times[s].astype(np.uint32).tobytes(), b""))
         words, one, two, more, total = _summed(first, *((x).astype(np.int64) for x in (n == 1, n == 2, n > 2)), n)
-        for p, s in _slices(words << CODE, bits):
+        for p, s in _slices(words << CODE, word_bits(bits)):
             rows.append((FIRSTS, p, _pack_codes(words[s]), np.stack([x[s] for x in (one, two, more)]).astype(np.uint32).tobytes(), total[s].tobytes()))
         return pa.Table.from_batches([_batch(rows)])
 
@@ -290,7 +296,7 @@ class Shards:
     def words(self, hashes: np.ndarray) -> np.ndarray:
         """The word table's rows of rising hashes, zero for unknown words."""
         out = np.zeros(len(hashes), dtype=WORD)
-        for part, s in _slices(hashes, self.m.bits):
+        for part, s in _slices(hashes, word_bits(self.m.bits)):
             shard = self.map(f"word-{part}", WORD)
             if shard is not None:
                 at = np.minimum(np.searchsorted(shard["hash"], hashes[s]), len(shard) - 1)
