@@ -38,7 +38,7 @@ WIDTH = 50
 #: Bytes of the shorter strings whose hashes choose a segment.
 CHOSEN = 26
 #: Bytes of segments that a task sends at once.
-FLUSH = 24 << 20
+FLUSH = 8 << 20
 
 
 class Suffixes:
