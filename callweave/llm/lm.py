@@ -109,7 +109,10 @@ def _count(bits: int):
         def rows():
             first, second, key = _bigrams(held)
             own, at, n = np.unique(key, return_index=True, return_counts=True)
-            first, second, n = first[at], second[at], n.astype(np.uint32)
+            # Within a part by the first word, so that its code compresses.
+            order = np.lexsort((first[at], own >> np.uint64(64 - bits)))
+            own, at, n = own[order], at[order], n[order].astype(np.uint32)
+            first, second = first[at], second[at]
             for part, s in _slices(own, bits):
                 yield BIGRAMS, part, _pack_codes(first[s]), _pack_codes(second[s]), n[s].tobytes()
             words, n = np.unique(np.concatenate(held), return_counts=True)
