@@ -137,8 +137,12 @@ def _verifier(similarity: float):
         copies = np.asarray(table.column("copies"))
         block = np.asarray(table.column("block"))
         sizes = np.array([len(x) for x in sets])
-        left = np.flatnonzero(block == block.min())
-        right = np.flatnonzero(block == block.max())
+        # The task's own pair: where one of two blocks is empty, the other
+        # one's links belong to its task with itself.
+        left = np.flatnonzero(block == table.column("low")[0].as_py())
+        right = np.flatnonzero(block == table.column("high")[0].as_py())
+        if not len(left) or not len(right):
+            return None
         common = _common(sets, left, right)
         # common / (a + b - common) >= s, in integers
         found = common.astype(np.int64) * (s.denominator + s.numerator) >= s.numerator * (sizes[left][:, None] + sizes[right])
@@ -185,8 +189,9 @@ def join(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: fl
     sets = texts.select("node", "copies", "root", "blocks", "text").mapInArrow(lambda b: _sets(b, n), "node binary, copies long, root binary, blocks long, set binary")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    paired = sets.withColumn("block", block).withColumn("other", other).withColumn("task", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")))
-    verified = cut(stream_groups(paired.select("task", "node", "copies", "blocks", "block", "set"), "task", _verifier(similarity), VERIFIED, ("node",)), "verified")
+    pair = {"low": F.least("block", "other"), "high": F.greatest("block", "other")}
+    paired = sets.withColumn("block", block).withColumn("other", other).withColumns(pair).withColumn("task", F.xxhash64("root", "low", "high"))
+    verified = cut(stream_groups(paired.select("task", "node", "copies", "blocks", "block", "low", "high", "set"), "task", _verifier(similarity), VERIFIED, ("node",)), "verified")
     release(docs.sparkSession)
 
     stars = verified.filter("other is not null")

@@ -203,6 +203,14 @@ def test_jaccard_links_and_classes(docs, rows, none, block, monkeypatch):
         assert jaccard.join(none).count() == 0 and jaccard.keep_first(none).count() == 0
 
 
+@pytest.mark.parametrize("size", [10, 60])
+def test_jaccard_counts_a_link_once_where_a_block_is_empty(spark, size, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", size)
+    pairs = [[" ".join(f"{p}w{i}" for i in range(100)) + end for end in ("", " more")] for p in "abcdef"]
+    df = spark.createDataFrame([(10 * k + j, t) for k, pair in enumerate(pairs) for j, t in enumerate(pair)], "doc_id long, text string")
+    same(jaccard.join(df).select("doc_id", "class_id", "n_links"), [(10 * k + j, 10 * k, 1) for k in range(len(pairs)) for j in range(2)])
+
+
 def test_bands_follow_from_recall():
     b = jaccard.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**4) ** b >= 0.999 > 1 - (1 - 0.8**4) ** (b - 1)
