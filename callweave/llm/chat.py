@@ -2,18 +2,22 @@
 
 A message's lines are parsed into quote levels (leading `>` marks, with at
 most one space between). Lines of level 0 are the message's own words. Every
-line's normalised text (lower case, white space collapsed) is hashed; hashes of
-own lines are reduced to the first turn that has them, and quoted lines are
-joined to these. A message replies to the turn that most of its outermost
-quoted text comes from; deeper levels are linked in the same way. Following the
-replies gives each message its thread and depth, and conversations are
-numbered thread by thread, each in the order of its turns, so an answer stands
-behind what it answers. Quotes, and a line `... wrote:` before one, are left
-out of the text.
-
-Only DataFrame operations; a hash that many messages hold is aggregated before
-it is joined, so joins make at most a row per quoted line, and the numbering
-is by ranges, so a conversation of any length is many tasks' work.
+line's normalised text (lower case, white space collapsed) is hashed, and so
+are an own text, its paragraphs and all that is quoted of a level, with lines
+joined, so a passage that was wrapped anew is found where it is a paragraph or
+a text as a whole. A message replies to the earlier turn that holds most of its
+outermost quoted text, every turn that holds a part of it being weighed; one
+that holds all of a level in one piece goes first. Deeper levels are linked in
+the same way. Following the replies gives each message its thread and depth,
+and conversations are numbered thread by thread, each in the order of its turns,
+so an answer stands behind what it answers. Quotes, and a line `... wrote:`
+before one, are left out of the text.
+
+Only DataFrame operations. A piece that few turns of a conversation hold is
+joined to each of them; turns that hold the same set of common pieces weigh the
+same, so these sets are weighed and the latest turn of each is looked up. The
+rows are a message's times the different sets that share a piece with it. The
+numbering is by ranges, so a conversation of any length is many tasks' work.
 
 Null text counts as empty. Messages without a conversation or turn link to
 nothing and keep a position of null. Quotes that match nothing are dropped like
@@ -24,10 +28,14 @@ the other. An empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, shuffle_width
 
+#: Turns of a conversation that hold a piece, from which on it is common; turns
+#: of a slice.
+COMMON, SLICE = 16, 4096
 MARKS = r"^((?: ?>)+) ?"
 WROTE = r"\bwrote:\s*$"
 
@@ -51,15 +59,69 @@ def parse(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     return out.select("conv_id", "turn", "role", "message", lines.alias("lines"), F.trim(F.array_join(own, "\n")).alias("own"))
 
 
+def _flat(text):
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def pieces(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """held: conv_id, turn, hash of what a turn says itself - lines, paragraphs
+    and the whole. asked: conv_id, turn, message, level, hash, size of what a
+    message quotes - lines, and all of a level joined."""
+    known = parsed.filter("conv_id is not null and turn is not null")
+    lines = F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["normal"])
+    paragraphs = F.transform(F.split("own", r"\n\s*\n"), _flat)
+    held = known.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(lines, paragraphs, F.array(_flat(F.col("own")))))).alias("normal")).filter("normal <> ''")
+    held = held.select("conv_id", "turn", F.xxhash64("normal").alias("hash")).distinct()
+
+    levels = F.array_distinct(F.transform(F.filter("lines", lambda x: x["level"] > 0), lambda x: x["level"]))
+    asked = known.select("conv_id", "turn", "message", "lines", F.explode(levels).alias("level"))
+    quoted = F.transform(F.filter("lines", lambda x: (x["level"] == F.col("level")) & (x["normal"] != "")), lambda x: x["normal"])
+    asked = asked.withColumn("quoted", quoted).withColumn("normal", F.explode(F.array_distinct(F.concat("quoted", F.array(F.array_join("quoted", " ")))))).filter("normal <> ''")
+    return held, asked.select("conv_id", "turn", "message", "level", F.xxhash64("normal").alias("hash"), F.length("normal").alias("size")).distinct()
+
+
+def latest_before(asks: DataFrame, holds: DataFrame) -> DataFrame:
+    """asks (conv_id, own_set, turn) with the latest turn of holds (the same
+    columns) before each: within slices of turns, then over the slices."""
+    both = asks.withColumn("origin", F.lit(None).cast("long")).unionByName(holds.withColumn("origin", F.col("turn"))).withColumn("slice", F.floor(F.col("turn") / SLICE))
+    key = ["conv_id", "own_set", "slice"]
+    # An ask comes before a hold of the same turn, as nulls come first.
+    own = F.max("origin").over(W.partitionBy(*key).orderBy("turn", "origin").rowsBetween(W.unboundedPreceding, W.currentRow))
+    earlier = F.max("last").over(W.partitionBy("conv_id", "own_set").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
+    slices = both.groupBy(*key).agg(F.max("origin").alias("last")).select(*key, earlier.alias("earlier"))
+    found = both.withColumn("within", own).filter("origin is null").join(slices, key)
+    return found.select("conv_id", "own_set", "turn", F.coalesce("within", "earlier").alias("origin")).filter("origin is not null")
+
+
 def links(parsed: DataFrame) -> DataFrame:
     """message, quotes (array of level, turn): where its quotes come from."""
-    line = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "message", F.explode("lines").alias("line")).filter("line.normal <> ''")
-    line = line.select("conv_id", "turn", "message", "line.level", F.xxhash64("line.normal").alias("hash"), F.length("line.normal").alias("size"))
-    first = line.filter("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    quoted = line.filter("level > 0").groupBy("conv_id", "turn", "message", "level", "hash").agg(F.max("size").alias("size"))
-    found = quoted.join(first, ["conv_id", "hash"]).filter("origin < turn")
-    weight = found.groupBy("message", "level", "origin").agg(F.sum("size").alias("size"))
-    best = weight.groupBy("message", "level").agg(F.max_by("origin", F.struct("size", "origin")).alias("origin"))
+    held, asked = pieces(parsed)
+    asked = cut(asked, "asked")
+    held = cut(held.join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi"), "held")
+    counts = held.groupBy("conv_id", "hash").agg((F.count("*") > COMMON).alias("often"))
+    asked = cut(asked.join(counts, ["conv_id", "hash"]), "counted")
+    common = counts.filter("often").select("conv_id", "hash")
+
+    # Rare pieces: every earlier turn that holds them.
+    rare = asked.filter("not often").join(held.join(common, ["conv_id", "hash"], "left_anti").withColumnRenamed("turn", "origin"), ["conv_id", "hash"]).filter("origin < turn")
+    rare = rare.groupBy("conv_id", "message", "level", "origin").agg(F.sum("size").alias("size"))
+
+    # Common ones: turns that hold the same set of them are weighed once.
+    own = held.join(common, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "turn").agg(F.sort_array(F.collect_set("hash")).alias("set"))
+    own = cut(own.withColumn("own_set", F.xxhash64("set")), "own")
+    wanted = asked.filter("often").groupBy("conv_id", "turn", "message", "level").agg(F.sort_array(F.collect_set(F.struct("hash", "size"))).alias("set"))
+    wanted = cut(wanted.withColumn("want_set", F.xxhash64("set")), "wanted")
+    sets = own.groupBy("conv_id", "own_set").agg(F.first("set").alias("set")).select("conv_id", "own_set", F.explode("set").alias("hash"))
+    wants = wanted.groupBy("conv_id", "want_set").agg(F.first("set").alias("set")).select("conv_id", "want_set", F.inline("set"))
+    shared = cut(wants.join(sets, ["conv_id", "hash"]).groupBy("conv_id", "want_set", "own_set").agg(F.sum("size").alias("more")), "shared")
+
+    rare = rare.join(wanted.select("message", "level", "want_set"), ["message", "level"], "left").join(own.select("conv_id", F.col("turn").alias("origin"), "own_set"), ["conv_id", "origin"], "left")
+    rare = rare.join(shared, ["conv_id", "want_set", "own_set"], "left").select("message", "level", "origin", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+    often = wanted.join(shared, ["conv_id", "want_set"]).select("conv_id", "own_set", "turn", "message", "level", F.col("more").alias("size"))
+    latest = latest_before(often.select("conv_id", "own_set", "turn").distinct(), own.select("conv_id", "own_set", "turn"))
+    often = often.join(latest, ["conv_id", "own_set", "turn"]).select("message", "level", "origin", "size")
+
+    best = rare.unionByName(often).groupBy("message", "level").agg(F.max_by("origin", F.struct("size", "origin")).alias("origin"))
     return best.groupBy("message").agg(F.array_sort(F.collect_list(F.struct("level", F.col("origin").alias("turn")))).alias("quotes"))
 
 

@@ -86,3 +86,29 @@ def test_long_chains_and_hot_conversations(spark):
     one = {r.turn: r for r in got if r.conv_id == 1}
     assert all(one[k].depth == k and one[k].root == 0 and one[k].position == k for k in range(60))
     assert sorted(r.position for r in got if r.conv_id == 2) == list(range(200))
+
+
+def test_every_turn_that_holds_a_quote_is_weighed(spark, monkeypatch):
+    sign = "Hi\nKind regards,\nA. N. Author of Somewhere"
+    quote = "\n".join("> " + x for x in f"{sign}\nyes".split("\n"))
+    rows = [(1, 0, sign), (1, 1, "no"), (1, 2, f"{sign}\nyes"), (1, 3, quote), (2, 0, "same"), (2, 1, "same"), (2, 2, "> same\nx")]
+    rows += [(3, 0, "a text that\nis long enough"), (3, 1, "> a text\n> that is long\n> enough\nok")]
+    words = ["Hi", "Bye", "Thanks", "aa", "bbb", "cccc"]
+    rng = np.random.default_rng(5)
+    for k in range(60):
+        rows.append((4, k, "\n".join([*("> " + w for w in rng.choice(words, 2, replace=False)), *rng.choice(words, rng.integers(1, 4), replace=False)])))
+    df = spark.createDataFrame([(c, t, "u", x, "p", 1) for c, t, x in rows], CHAT)
+    expected = {(1, 3): 2, (2, 2): 1, (3, 1): 0}
+    said = []
+    for c, t, x in rows[-60:]:
+        lines = x.lower().split("\n")
+        want, own = [y[2:] for y in lines if y[0] == ">"], [y for y in lines if y[0] != ">"]
+        whole = " ".join(want)
+        weigh = [(sum(len(w) for w in want if w in o) + len(whole) * (" ".join(o) == whole), k) for k, o in enumerate(said)]
+        expected[c, t] = max(weigh)[1] if weigh and max(weigh)[0] else None
+        said.append(own)
+    for common, piece in ((16, 4096), (0, 4), (1000, 4)):
+        monkeypatch.setattr(chat, "COMMON", common)
+        monkeypatch.setattr(chat, "SLICE", piece)
+        got = {(r.conv_id, r.turn): r.parent for r in chat.format_chats(df).collect()}
+        assert {k: got[k] for k in expected} == expected
