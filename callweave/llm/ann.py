@@ -3,7 +3,8 @@
 The tree is fitted on a bounded sample of the vectors (FIT_ROWS); every row is
 then dealt to a leaf. A query walks the tree best bin first: a priority queue
 gives the node whose centre is nearest, until enough leaves are found. How many
-is calibrated on the sample, widening until the recall aimed at is reached.
+is calibrated on the sample, widening until the recall aimed at is reached; a
+query goes on past these until its leaves hold k rows other than its own.
 
 Leaves are cut into blocks of bounded size, so a leaf that holds a third of all
 rows is many tasks' work, and queries are dealt in lanes. A block answers each
@@ -84,16 +85,19 @@ class Tree:
                 todo += [(kid, own[near == j]) for j, kid in enumerate(kids)]
         return out
 
-    def visits(self, queries: np.ndarray, most: int | None = None) -> list[list[int]]:
-        """For each query its leaves, best bin first."""
+    def visits(self, queries: np.ndarray, most: int | None = None, sizes: list[int] | None = None, needed: list[int] | None = None) -> list[list[int]]:
+        """For each query its leaves, best bin first; beyond `most`, as long as
+        they hold fewer rows by `sizes` than the query's `needed`."""
         most = most or len(self.leaf_nodes)
         out = []
-        for far in squared(queries, self.centre).tolist():
-            queue, found = [(far[0], 0)], []
-            while queue and len(found) < most:
+        for i, far in enumerate(squared(queries, self.centre).tolist()):
+            queue, found, held = [(far[0], 0)], [], 0
+            least = needed[i] if needed is not None else 0
+            while queue and (len(found) < most or held < least):
                 _, node = heapq.heappop(queue)
                 if not self.children[node]:
                     found.append(self.leaf_of[node])
+                    held += sizes[found[-1]] if sizes is not None else 0
                 for kid in self.children[node]:
                     heapq.heappush(queue, (far[kid], kid))
             out.append(found)
@@ -198,8 +202,9 @@ def search(vectors: DataFrame, is_query, k: int = 10, recall: float = RECALL, le
 
     dealt = cut(rows.mapInArrow(deal, "vec_id long, vec array<double>, leaf long"), "leaves")
     sizes = {r["leaf"]: r["count"] for r in dealt.groupBy("leaf").count().collect()}  # a row a leaf
-    blocks = [max(1, -(-sizes.get(leaf, 0) // BLOCK)) for leaf in range(len(tree.leaf_nodes))]
-    queries = dealt.filter(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"), F.min("leaf").alias("leaf"))
+    sizes = [sizes.get(leaf, 0) for leaf in range(len(tree.leaf_nodes))]
+    blocks = [max(1, -(-n // BLOCK)) for n in sizes]
+    queries = dealt.filter(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"), F.min("leaf").alias("leaf"), F.count("*").alias("copies"))
     lanes = max(1, -(-queries.count() // LANE))
 
     n_blocks = F.element_at(F.array(*map(F.lit, blocks)), (F.col("leaf") + 1).cast("int"))
@@ -212,8 +217,9 @@ def search(vectors: DataFrame, is_query, k: int = 10, recall: float = RECALL, le
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 ids, q = np.asarray(part.column("vec_id")), _matrix(part.column("vec"), width)
+                needed = [k + n for n in part.column("copies").to_pylist()]  # a query's own rows are no neighbours
                 visited = np.zeros((len(ids), len(blocks)), dtype=bool)
-                for i, own in enumerate(tree.visits(q, visits)):
+                for i, own in enumerate(tree.visits(q, visits, sizes, needed)):
                     visited[i, own] = True
                 lane = (ids // 100) % lanes
                 out = []
@@ -223,7 +229,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, recall: float = RECALL, le
                         out += [(int(leaf) * (1 << 32) + b, int(one), ids[own].tobytes(), q[own].tobytes()) for b in range(blocks[leaf])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    asked = queries.repartition(shuffle_width(spark), "leaf").sortWithinPartitions("leaf").select("vec_id", "vec").mapInArrow(ask, "block long, lane int, ids binary, vecs binary")
+    asked = queries.repartition(shuffle_width(spark), "leaf").sortWithinPartitions("leaf").select("vec_id", "vec", "copies").mapInArrow(ask, "block long, lane int, ids binary, vecs binary")
     found = base.select("block", "lane", "vec_id", "vec").groupBy("block", "lane").cogroup(asked.groupBy("block", "lane")).applyInArrow(_answer(width, k), FOUND)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

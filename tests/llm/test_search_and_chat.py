@@ -46,6 +46,13 @@ def test_tree_visits_every_leaf_once():
     assert t.calibrate(x, 10, 1.0) >= t.calibrate(x, 10, 0.8)
 
 
+def test_search_finds_k_where_leaves_are_small(spark):
+    x = np.random.default_rng(2).normal(size=(301, 8))
+    df = vectors(spark, [(i, v.tolist(), "l", 1) for i, v in enumerate(x)])
+    found = ann.search(df, F.col("vec_id") % 100 == 0, recall=0.01, leaves=64)  # one leaf, by calibration
+    assert {r.query_id: r["count"] for r in found.groupBy("query_id").count().collect()} == dict.fromkeys((0, 100, 200, 300), 10)
+
+
 CHAT = "conv_id long, turn long, role string, text string, parent string, message long"
 
 
