@@ -4,6 +4,8 @@ share, so a lost executor costs no earlier round."""
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +14,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder where it is unset."""
+    """spark.checkpoint.dir of the session. Where it is unset, a local folder
+    does if there is one machine only; a cluster has to name a shared one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (found or "file:///tmp/checkpoints").rstrip("/")
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = f"file://{tempfile.gettempdir()}/checkpoints"
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
