@@ -4,12 +4,17 @@ cuts of the lineage, and vectorised hashing of byte and word windows."""
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import shared_dir
+
 #: Documents without an id sort behind every other one.
 NO_ID = (1 << 63) - 1
 #: Bytes that separate words: space and 0x09-0x0D, which bytes.split() uses too.
@@ -25,21 +30,43 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session;
-    where it is unset (tests, one machine) a local one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (found or "file:///tmp/checkpoints").rstrip("/")
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+#: Bytes of packed rows that one task takes, and of a batch that a Python
+#: worker gets at once.
+PART_BYTES, BATCH_BYTES = 12 << 20, 8 << 20
+
+
+def parts_for(spark: SparkSession, size: float) -> int:
+    """Tasks for so many bytes, at least as many as a shuffle has."""
+    return max(shuffle_width(spark), int(size // PART_BYTES) + 1)
+
+
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each hash; rises with the hash."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def part_slices(hashes: np.ndarray, parts: int):
+    """(part, slice) of rising hashes."""
+    part = part_of(hashes, parts)
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return [(int(part[a]), slice(a, b)) for a, b in zip(edges, edges[1:]) if b > a]
+
+
+#: Bytes of a file, where it is known how many there will be.
+FILE_BYTES = 32 << 20
+
+
+def cut(df: DataFrame, name: str, size: float | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage
-    ends there, so a lost executor costs no earlier stage."""
+    ends there, so a lost executor costs no earlier stage. size: about how many
+    bytes this is, for small results of many tasks to become few files."""
     spark = df.sparkSession
+    if size is not None:
+        df = df.coalesce(int(size // FILE_BYTES) + 1)
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}/{name}"
     # What is written needs its shuffles no more; Spark drops them at once.
     before = spark.conf.get(CLEANUP)
@@ -57,20 +84,14 @@ def discard_later(spark: SparkSession, path: str) -> None:
     _written.append((spark, path))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished stages now."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete what cut() wrote for df; df can't be read afterwards."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
-        if "/cut-" in path:
-            _delete(spark, path)
+def drop_cut(*cuts: DataFrame) -> None:
+    """Delete what cut() wrote for these; they can't be read afterwards."""
+    for df in cuts:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
+            if "/cut-" in path:
+                _delete(spark, path)
+                _written[:] = [w for w in _written if w != (spark, path)]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -86,12 +107,80 @@ def _sweep() -> None:
             _delete(spark, path)
 
 
+#: What tells rows apart: 128 bits over id and text.
+KEYS = ["key1", "key2"]
+
+
+def row_keys(id_col: str, text_col: str) -> list:
+    """The columns KEYS. Rows that repeat an id with another text differ in
+    them; whole repeats share them and their results."""
+    own = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return [F.xxhash64(*own).alias(KEYS[0]), F.xxhash64(F.lit("key2"), *own).alias(KEYS[1])]
+
+
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (null: empty) and a row key. Rows that repeat an id with
-    another text differ in the key; whole repeats share it and its results."""
+    """doc_id, text (null: empty) and KEYS; Arrow batches of it are bounded in
+    bytes, whatever the length of a text."""
+    bounded_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    return out.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *row_keys(id_col, text_col))
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts of keyed docs."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+# ------------------------------------------------------------ Python workers
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+@functools.cache
+def _libc():
+    """The C library, told to give large freed blocks back at once."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def frugal(run):
+    """run(batches) of mapInArrow in a worker that returns what it has freed:
+    workers live on between stages, and beside the next one's."""
+
+    def own(batches):
+        libc = _libc()
+        try:
+            yield from run(batches)
+        finally:
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return own
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Integers byte by byte, all first bytes, then all second ones: high bytes
+    are mostly zero, and compress to nothing."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def from_planes(packed: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def arrow_batch(schema: pa.Schema, rows) -> pa.RecordBatch:
+    """A batch of rows given as tuples."""
+    cols = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
 # ---------------------------------------------------------------- hashing
@@ -158,7 +247,6 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def map_texts(df: DataFrame, of_text, names: list[str], types: list[str]) -> DataFrame:
     """doc_id and the columns that of_text(text) returns as a tuple, a row for
     each row of keyed(df); Arrow keeps null ids and long integers as they are."""
-    import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -172,4 +260,4 @@ def map_texts(df: DataFrame, of_text, names: list[str], types: list[str]) -> Dat
             arrays = [batch.column("doc_id"), *(pa.array(c, type=f.type) for c, f in zip(cols, list(out)[1:]))]
             yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
-    return df.select("doc_id", "text").mapInArrow(run, schema)
+    return df.select("doc_id", "text").mapInArrow(frugal(run), schema)

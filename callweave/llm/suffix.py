@@ -3,16 +3,20 @@
 Every string of `width` bytes has a smallest hash of `width - k + 1` shorter
 strings in it; equal strings have equal smallest hashes. So texts are cut into
 segments of strings that share this hash, only segments whose hash occurs
-twice are looked at, and all equal strings meet in one part.
+twice are looked at, and all equal strings meet in one part. Of equal segments
+a flush of documents sends one, and a hash that occurs in very many places would
+make one part large, so each of its strings is dealt by all of its bytes.
 
 There the segments' suffixes are sorted. Two suffixes compare in a logarithm
 of their common length: prefix polynomial hashes tell whether two stretches
 are equal, and a binary search over their length finds the first byte that
 differs. A bottom-up mergesort that works on all groups at once uses this
-comparison wherever the first eight bytes are equal. Neighbours that agree in
-`width` bytes are checked byte for byte; if a hash has lied, their group is
-sorted by its bytes. Strings of a run of equal neighbours start in the run's
-documents; those of all but the smallest document are removed.
+comparison wherever the first eight bytes are equal. Strings whose hash is alone
+equal no other and are left out; of strings with equal hashes one is merged, and
+the others stand behind it. Neighbours that agree in `width` bytes are checked
+byte for byte; if a hash has lied, their group is sorted by its bytes. Strings of
+a run of equal neighbours start in the run's documents; those of all but the
+smallest document are removed.
 
 Texts are UTF-8 bytes; matches never cross documents; strings are judged on
 the input. Null, empty and shorter texts lose nothing. Rows without an id sort
@@ -23,6 +27,8 @@ result. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,9 +36,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import parts_for, shared_places, unpack_rising
-from .blocks import joined
-from .common import NO_ID, _power, cut, keyed, prefix_hashes, release, rolling
+from .anchors import OFTEN, runs, shared_places, unpack_rising
+from .common import KEYS, NO_ID, _power, arrow_batch, cut, drop_cut, from_planes, frugal, keyed, mix, part_slices, parts_for, planes, prefix_hashes, rolling, row_keys, span_hashes, text_bytes
+from .groups import stream_groups
 
 WIDTH = 50
 #: Bytes of the shorter strings whose hashes choose a segment.
@@ -41,15 +47,24 @@ CHOSEN = 26
 FLUSH = 8 << 20
 
 
+def padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """A view of padded data: the eight bytes from each place on."""
+    return np.ndarray((len(data) - 7,), dtype=">u8", buffer=data, strides=(1,))
+
+
 class Suffixes:
     """Suffixes of data, each up to its own end, and at most `limit` bytes."""
 
     def __init__(self, data: np.ndarray, limit: int):
-        self.data = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+        self.data = padded(data)
         self.limit = limit
         self.prefix = prefix_hashes(data)
         self.inverse = _power(len(data) + 1, True)
-        self.word = np.ndarray((len(data) + 1,), dtype=">u8", buffer=self.data, strides=(1,))
+        self.word = eights(self.data)
 
     def _equal(self, a, b, n):
         left = (self.prefix[a + n] - self.prefix[a]) * self.inverse[a]
@@ -90,7 +105,7 @@ class Suffixes:
         size = np.diff(np.append(base, len(order)))
         tied = np.repeat(size > 1, size)
         if tied.any():
-            order[tied] = self._merge(order[tied], size[size > 1], start, end)
+            order[tied] = self._merge_distinct(order[tied], size[size > 1], start, end)
         equal = np.zeros(len(order), dtype=bool)
         at = np.flatnonzero(~new)
         a, b = order[at - 1], order[at]
@@ -104,6 +119,24 @@ class Suffixes:
             equal[own] = [False, *(x == y for x, y in zip(texts, texts[1:]))]
         return order, equal
 
+    def _merge_distinct(self, items: np.ndarray, sizes: np.ndarray, start, end) -> np.ndarray:
+        """Classes of items in order. Of suffixes with equal hashes one is sorted,
+        and the others stand behind it; sort() checks their bytes."""
+        room = np.minimum(end[items] - start[items], self.limit)
+        content = mix(span_hashes(self.prefix, start[items], start[items] + room) + room.astype(np.uint64))
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        by = np.lexsort((content, group))
+        g, c = group[by], content[by]
+        lead = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])]))
+        count = np.diff(np.append(lead, len(by)))
+        # Places in `lead`, class by class, are what is merged.
+        rep = items[by[lead]]
+        number = np.empty(len(start), dtype=np.int64)
+        number[rep] = np.arange(len(rep))
+        place = number[self._merge(rep, np.bincount(g[lead], minlength=len(sizes)), start, end)]
+        n = count[place]
+        return items[by[np.arange(n.sum()) + np.repeat(lead[place] - np.cumsum(n) + n, n)]]
+
     def _same(self, a, b, end_a, end_b):
         room_a, room_b = np.minimum(end_a - a, self.limit), np.minimum(end_b - b, self.limit)
         return (room_a == room_b) & self._equal(a, b, np.minimum(room_a, room_b))
@@ -167,9 +200,9 @@ def suffix_array(data: bytes) -> np.ndarray:
     return Suffixes(text, len(text)).sort(start, np.full(len(text), len(text)), np.zeros(len(text), dtype=np.int64))[0]
 
 
-def chosen_hashes(data: np.ndarray, width: int, k: int) -> np.ndarray:
+def chosen_hashes(prefix: np.ndarray, width: int, k: int) -> np.ndarray:
     """For each string of width bytes the smallest hash of k bytes in it."""
-    hashes = rolling(prefix_hashes(data), k)
+    hashes = rolling(prefix, k)
     w = width - k + 1
     n = len(hashes) - w + 1
     if n <= 0:
@@ -182,136 +215,213 @@ def chosen_hashes(data: np.ndarray, width: int, k: int) -> np.ndarray:
     return np.minimum(back[:n], fore[w - 1 : w - 1 + n])
 
 
-def segments(data: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(prefix: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first start and number of starts of each run of strings that
     share their smallest hash."""
-    chosen = chosen_hashes(data, width, k)
+    chosen = chosen_hashes(prefix, width, k)
     if not len(chosen):
         return chosen, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     first = np.concatenate([[0], np.flatnonzero(chosen[1:] != chosen[:-1]) + 1])
-    return chosen[first], first, np.diff(np.append(first, len(chosen)))
+    # Smallest hashes are small; mixed anew they are spread over all parts.
+    return mix(chosen[first]), first, np.diff(np.append(first, len(chosen)))
 
 
 def segment_anchors(width: int, k: int):
     def of_text(data: np.ndarray):
-        hashes, first, _ = segments(data, width, k)
+        hashes, first, _ = segments(prefix_hashes(data), width, k)
         return hashes, first.astype(np.uint32), np.ones(len(hashes), dtype=bool)
 
     return of_text
 
 
-_SEG = pa.schema([("flush", pa.int64()), ("part", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("rows", pa.binary()), ("places", pa.binary()), ("bytes", pa.binary())])
+_SENT = pa.schema([("part", pa.int32()), ("flush", pa.int64()), ("kind", pa.int32()), ("first", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+_SENT_DDL = "part int, flush long, kind int, first long, a binary, b binary, c binary, d binary"
+_FOUND = pa.schema(list(_SENT)[1:3] + list(_SENT)[4:])
+_FOUND_DDL = "flush long, kind int, a binary, b binary, c binary, d binary"
+_SPANS = pa.schema([(KEYS[0], pa.int64()), (KEYS[1], pa.int64()), ("spans", pa.binary())])
+PLACES, SEGMENTS, LATE = range(3)
 
 
-def _send_segments(width: int, k: int, parts: int):
-    bits = parts.bit_length() - 1
+def _send_segments(width: int, k: int, parts: int, flush_bytes: int):
+    """A flush's different segments go to their parts, each with the smallest
+    document that holds it here; where each stands goes to the flush itself. Of
+    hot hashes every string goes for itself, dealt by all of its bytes."""
 
     def run(batches):
         flush = TaskContext.get().partitionId() << 32
-        held, size = [], 0
+        held, docs, size = [], [], 0
 
         def rows():
-            hashes, counts, ids, keys, places, at = (np.concatenate(x) for x in zip(*(h[:-1] for h in held)))
-            data = np.concatenate([h[-1] for h in held])
-            part = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cols = [[] for _ in _SEG]
-            for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-                length = counts[own].astype(np.int64) + width - 1
-                ends = np.cumsum(length)
-                took = data[np.arange(ends[-1]) + np.repeat(at[own] - (ends - length), length)]
-                for c, v in zip(cols, (flush, int(part[own[0]]), *(x[own].tobytes() for x in (hashes, counts, ids, keys, places)), took.tobytes())):
-                    c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, _SEG)], schema=_SEG)
+            hashes, content, counts, doc, first, at = (np.concatenate(x) for x in zip(*(h[:-1] for h in held)))
+            data = padded(np.concatenate([h[-1] for h in held]))
+            ids = np.array([d[2] for d in docs], dtype=np.int64)[doc]
+            length = counts + width - 1
+            order, lead = equal_segments(eights(data), content, hashes, at, length)
+            least = np.minimum.reduceat(ids[order], lead)
+            rep = order[lead]
+            # Different segments are numbered in the order of their hashes.
+            rank = np.argsort(hashes[rep], kind="stable")
+            number = np.empty(len(rep), dtype=np.uint32)
+            number[rank] = np.arange(len(rep), dtype=np.uint32)
+            of = np.empty(len(order), dtype=np.uint32)
+            of[order] = np.repeat(number, np.diff(np.append(lead, len(order))))
+            rep, least = rep[rank], least[rank]
+            own = ids == least[of]
+            # The flush's own: keys and number of places of its documents; places
+            # as steps; counts by segment; each place's segment, and whether its
+            # document is the smallest that holds it here.
+            table = np.array([(*d[:2], n) for d, n in zip(docs, np.bincount(doc, minlength=len(docs)).tolist())], dtype=np.int64)
+            mine = planes(of) + np.packbits(own).tobytes()
+            yield flush % parts, flush, PLACES, 0, table.tobytes(), planes(np.diff(first, prepend=0).astype(np.int32)), planes(counts[rep].astype(np.uint32)), mine
+            short = hashes[rep].astype(np.uint32)
+            for part, s in part_slices(hashes[rep], parts):
+                one = rep[s]
+                ends = np.cumsum(length[one])
+                took = data[np.arange(ends[-1]) + np.repeat(at[one] - (ends - length[one]), length[one])]
+                yield part, flush, SEGMENTS, s.start, short[s].tobytes(), planes(counts[one].astype(np.uint32)), planes(least[s]), took.tobytes()
 
         for batch in batches:
-            for doc_id, key, text, hits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "text", "hits"))):
+            for doc_id, key1, key2, text, hits, hot in zip(*(batch.column(c).to_pylist() for c in ("doc_id", *KEYS, "text", "hits", "hot"))):
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                hashes, first, count = segments(data, width, k)
-                own = np.searchsorted(first, unpack_rising(hits))
-                n = len(own)
-                held.append((hashes[own], count[own].astype(np.uint32), np.full(n, NO_ID if doc_id is None else doc_id), np.full(n, key), first[own].astype(np.uint32), first[own] + size, data))
+                prefix = prefix_hashes(data)
+                hashes, first, count = segments(prefix, width, k)
+                own, warm = (np.searchsorted(first, unpack_rising(x)) for x in (hits, hot))
+                start, hashes, every = first[own], hashes[own], count
+                count = every[own]
+                if len(warm):
+                    n = every[warm]
+                    strings = np.repeat(first[warm] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    start = np.concatenate([start, strings])
+                    hashes = np.concatenate([hashes, rolling(prefix, width)[strings]])
+                    count = np.concatenate([count, np.ones(len(strings), dtype=np.int64)])
+                content = span_hashes(prefix, start, start + count + width - 1)
+                held.append((hashes, content, count, np.full(len(start), len(docs)), start, start + size, data))
+                docs.append((key1, key2, NO_ID if doc_id is None else doc_id))
                 size += len(data)
-                if size >= FLUSH:
-                    yield rows()
-                    held, size, flush = [], 0, flush + 1
+                if size >= flush_bytes:
+                    yield arrow_batch(_SENT, rows())
+                    held, docs, size, flush = [], [], 0, flush + 1
         if held:
-            yield rows()
+            yield arrow_batch(_SENT, rows())
 
     return run
 
 
+def equal_segments(word, content, hashes, at, length) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal segments are neighbours, and the first places of
+    the runs of these. Hashes of the content find them, bytes decide."""
+    key = mix(hashes ^ mix(content + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    order = np.argsort(key, kind="stable")
+    k, n = key[order], length[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    which = np.cumsum(new) - 1
+    lead = np.flatnonzero(new)
+    bad = n != n[lead][which]
+    same = np.flatnonzero(~bad)
+    bad[same] = _differ(word, at[order[same]], at[order[lead]][which[same]], n[same])
+    if bad.any():
+        # A hash has lied: those segments stand for themselves.
+        new |= bad
+        new[1:] |= bad[:-1]
+        lead = np.flatnonzero(new)
+    return order, lead
+
+
 #: Strings that are sorted at once, and equal hashes kept together.
 CHUNK = 250_000
 
 
-def _later(width: int, chunk: int = CHUNK):
+def _later(width: int, chunk: int):
     """Of a part's segments, the stretches of strings that start in a smaller
     document too, by flush. Only hashes of two documents matter; these are
     taken in chunks of bounded size, whole hashes at a time."""
 
-    def of_part(table: pa.Table) -> pa.Table:
-        hashes, counts, ids = joined(table, "hashes", np.uint64), joined(table, "counts", np.uint32).astype(np.int64), joined(table, "ids", np.int64)
-        keys, places, data = joined(table, "rows", np.int64), joined(table, "places", np.uint32), joined(table, "bytes", np.uint8)
-        flushes = np.repeat(np.array(table.column("flush").to_pylist()), [len(x) // 8 for x in table.column("hashes").to_pylist()])
+    def run(batches):
+        rows: list[tuple] = []
+        for batch in batches:
+            kinds = np.asarray(batch.column("kind"))
+            passing, own = (pa.array(np.flatnonzero(kinds == kind)) for kind in (PLACES, SEGMENTS))
+            if len(passing):
+                yield pa.RecordBatch.from_arrays([batch.column(f.name).take(passing) for f in _FOUND], schema=_FOUND)
+            rows += zip(*(batch.column(c).take(own).to_pylist() for c in ("flush", "first", "a", "b", "c", "d")))
+        if not rows:
+            return
+        flush, start, *packed = zip(*rows)
+        rows.clear()
+        size = np.array([len(x) // 4 for x in packed[0]])
+        hashes, data = (np.frombuffer(b"".join(x), dtype=t) for x, t in ((packed[0], np.uint32), (packed[3], np.uint8)))
+        counts = np.concatenate([from_planes(x, np.uint32) for x in packed[1]])
+        ids = np.concatenate([from_planes(x, np.int64) for x in packed[2]])
+        flushes = np.repeat(np.array(flush), size)
+        numbers = np.arange(len(hashes)) + np.repeat(np.array(start) - np.cumsum(size) + size, size)
+        del packed
+        counts = counts.astype(np.int64)
         length = counts + width - 1
         at = np.cumsum(length) - length
         order = np.argsort(hashes, kind="stable")
-        h = hashes[order]
-        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        edge = runs(hashes[order])
         low, high = np.minimum.reduceat(ids[order], edge), np.maximum.reduceat(ids[order], edge)
-        size = np.diff(np.append(edge, len(order)))
-        order = order[np.repeat(low < high, size)]
+        order = order[np.repeat(low < high, np.diff(np.append(edge, len(order))))]
         if not len(order):
-            return _ranges([])
-        h = hashes[order]
-        edge = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(order))
+            return
+        edge = np.append(runs(hashes[order]), len(order))
         upto = np.concatenate([[0], np.cumsum(counts[order])])[edge]
-        out, first = [], 0
+        first = 0
         while first < len(edge) - 1:
             last = max(first + 1, int(np.searchsorted(upto, upto[first] + chunk, side="right")) - 1)
             own = order[edge[first] : edge[last]]
-            seg, begin, stop = _late_stretches(hashes[own], counts[own], ids[own], at[own], data, width)
-            own = own[seg]
-            out.append(np.stack([flushes[own], keys[own], places[own] + begin, places[own] + stop], axis=1).astype(np.int64))
             first = last
-        got = np.concatenate(out)
-        got = got[np.argsort(got[:, 0], kind="stable")]
-        parts = np.split(got, np.flatnonzero(np.diff(got[:, 0])) + 1) if len(got) else []
-        return _ranges([(int(x[0, 0]), x[:, 1:].tobytes()) for x in parts])
+            seg, begin, stop = _late_stretches(hashes[own], counts[own], ids[own], at[own], data, width)
+            if not len(seg):
+                continue
+            seg = own[seg]
+            by = np.argsort(flushes[seg], kind="stable")
+            got = np.stack([numbers[seg], begin, stop])[:, by].astype(np.uint32)
+            f = flushes[seg][by]
+            cuts = np.append(runs(f), len(f))
+            yield arrow_batch(_FOUND, [(int(f[a]), LATE, *(planes(x[a:b]) for x in got), b"") for a, b in zip(cuts, cuts[1:])])
 
-    return of_part
+    return run
 
 
 def _late_stretches(hashes, counts, ids, at, data, width: int):
     """(segment, first and end byte in it) of what starts in a smaller document
     too. Equal segments are found by their content first, and sorted once."""
     length = counts + width - 1
-    n = np.arange(length.sum())
     local = np.cumsum(length) - length
-    sorts = Suffixes(data[n + np.repeat(at - local, length)], width)
-    content = (sorts.prefix[local + length] - sorts.prefix[local]) * sorts.inverse[local]
-    order = np.lexsort((ids, content, length, hashes))
-    c, n, h = content[order], length[order], hashes[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (n[1:] != n[:-1]) | (c[1:] != c[:-1])])
-    lead = np.flatnonzero(new)
-    which = np.cumsum(new) - 1  # each segment's representative
-    if (bad := _differ(sorts, local[order], local[order[lead]][which], length[order])).any():
-        # A content hash has lied: those segments stand for themselves.
-        new |= bad
-        new[1:] |= bad[:-1]
-        lead = np.flatnonzero(new)
-        which = np.cumsum(new) - 1
-    rep = order[lead]
-    smallest = np.minimum.reduceat(ids[order], lead)
+    sorts = Suffixes(data[np.arange(length.sum()) + np.repeat(at - local, length)], width)
+    order, lead = equal_segments(sorts.word, span_hashes(sorts.prefix, local, local + length), hashes, local, length)
+    which = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(order))))
+    rep, smallest = order[lead], np.minimum.reduceat(ids[order], lead)
+    # Where a hash has one segment only, its strings are in the same documents.
+    by_hash = np.argsort(hashes[rep], kind="stable")
+    group = runs(hashes[rep][by_hash])
+    several = np.empty(len(rep), dtype=bool)
+    several[by_hash] = np.repeat(np.diff(np.append(group, len(rep))) > 1, np.diff(np.append(group, len(rep))))
+    alone = np.flatnonzero(~several[which] & (ids[order] > smallest[which]))
+    whole = order[alone], np.zeros(len(alone), dtype=np.int64), length[order[alone]]
+    # The others' strings are sorted.
+    rep = by_hash[several[by_hash]]
+    if not len(rep):
+        return whole
+    back = np.zeros(len(lead), dtype=np.int64)
+    back[rep] = np.arange(len(rep))
+    own = several[which]
+    order, which, smallest, rep = order[own], back[which[own]], smallest[rep], order[lead[rep]]
     n_starts = counts[rep]
     base = np.cumsum(n_starts) - n_starts
     start = np.arange(n_starts.sum()) + np.repeat(local[rep] - base, n_starts)
-    group = np.cumsum(np.concatenate([[True], hashes[rep][1:] != hashes[rep][:-1]]))
-    ranked, equal = sorts.sort(start, start + width, np.repeat(group, n_starts))
-    least = np.minimum.reduceat(np.repeat(smallest, n_starts)[ranked], np.flatnonzero(~equal))
-    of_start = np.empty(len(start), dtype=np.int64)
-    of_start[ranked] = least[np.cumsum(~equal) - 1]
+    group = np.repeat(np.cumsum(np.concatenate([[True], hashes[rep][1:] != hashes[rep][:-1]])), n_starts)
+    # A string whose hash is alone equals no other, and isn't sorted.
+    of_start = np.repeat(smallest, n_starts)
+    own_hash = span_hashes(sorts.prefix, start, start + width)
+    by = np.argsort(own_hash, kind="stable")
+    again = own_hash[by][1:] == own_hash[by][:-1]
+    shared = np.sort(by[np.concatenate([[False], again]) | np.concatenate([again, [False]])])
+    if len(shared):
+        ranked, equal = sorts.sort(start[shared], start[shared] + width, group[shared])
+        least = np.minimum.reduceat(of_start[shared][ranked], np.flatnonzero(~equal))
+        of_start[shared[ranked]] = least[np.cumsum(~equal) - 1]
     # Back to every segment: stretches of its starts with a smaller id.
     n = counts[order]
     seg = np.repeat(np.arange(len(order)), n)
@@ -321,60 +431,83 @@ def _late_stretches(hashes, counts, ids, at, data, width: int):
     same = np.concatenate([[True], seg[1:] != seg[:-1], [True]])
     begin = np.flatnonzero(late & ((edge[:-1] == 1) | same[:-1]))
     stop = np.flatnonzero(late & ((edge[1:] == -1) | same[1:]))
-    return order[seg[begin]], offset[begin], offset[stop] + width
+    return tuple(np.concatenate(x) for x in zip(whole, (order[seg[begin]], offset[begin], offset[stop] + width)))
 
 
-def _differ(sorts: Suffixes, a, b, length) -> np.ndarray:
+def _differ(word: np.ndarray, a, b, length) -> np.ndarray:
     """Whether stretches of at least 8 bytes differ, byte for byte."""
     wrong = np.zeros(len(a), dtype=bool)
     at = np.zeros(len(a), dtype=np.int64)
     going = np.flatnonzero(a != b)
     while len(going):
         k = np.minimum(at[going], length[going] - 8)
-        wrong[going] |= sorts.word[a[going] + k] != sorts.word[b[going] + k]
+        wrong[going] |= word[a[going] + k] != word[b[going] + k]
         at[going] += 8
         going = going[(at[going] < length[going]) & ~wrong[going]]
     return wrong
 
 
-def _ranges(rows) -> pa.Table:
-    cols = list(zip(*rows)) or [(), ()]
-    return pa.table([pa.array(cols[0], type=pa.int64()), pa.array(cols[1], type=pa.binary())], names=["flush", "ranges"])
-
-
-def _by_row(table: pa.Table) -> pa.Table:
-    """A flush's stretches, joined into maximal ones, by row."""
-    got = joined(table, "ranges", np.int64).reshape(-1, 3)
-    got = got[np.lexsort((got[:, 1], got[:, 0]))]
-    keys = got[:, 0]
-    edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-    out = []
-    for a, b in zip(edges, edges[1:]):
-        first, end = got[a:b, 1], np.maximum.accumulate(got[a:b, 2])
-        new = np.concatenate([[True], first[1:] > end[:-1]])
-        at = np.flatnonzero(new)
-        out.append(np.stack([first[at], end[np.append(at[1:] - 1, b - a - 1)]], axis=1).tobytes())
-    return pa.table([pa.array(keys[edges[:-1]], type=pa.int64()), pa.array(out, type=pa.binary())], names=["row_key", "spans"])
-
-
-def repeats(docs: DataFrame, width: int = WIDTH, k: int = CHOSEN) -> DataFrame:
-    """row_key, spans (pairs of int64): of keyed docs, the maximal stretches
-    that strings cover which also start in a document with a smaller id."""
-    hits = cut(shared_places(docs, segment_anchors(width, k)), "hits")
-    release(docs.sparkSession)
-    texts = docs.join(hits, "row_key").dropDuplicates(["row_key"])
-    sent = texts.select("doc_id", "row_key", "text", "hits").mapInArrow(_send_segments(width, k, parts_for(docs)), "flush long, part long, hashes binary, counts binary, ids binary, rows binary, places binary, bytes binary")
-    late = sent.groupBy("part").applyInArrow(_later(width), "flush long, ranges binary")
-    late = cut(late.groupBy("flush").applyInArrow(_by_row, "row_key long, spans binary"), "late")
-    release(docs.sparkSession)
-    return late
-
-
-def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _by_row(table: pa.Table, width: int) -> pa.RecordBatch | None:
+    """A flush's places and late stretches -> maximal stretches, by row."""
+    late = []
+    for kind, a, b, c, d in zip(*(table.column(x).to_pylist() for x in ("kind", "a", "b", "c", "d"))):
+        if kind == LATE:
+            late.append(np.stack([from_planes(x, np.uint32) for x in (a, b, c)]))
+            continue
+        docs = np.frombuffer(a, dtype=np.int64).reshape(-1, 3)
+        keys, doc = docs[:, :2], np.repeat(np.arange(len(docs)), docs[:, 2])
+        first = np.cumsum(from_planes(b, np.int32), dtype=np.int64)
+        of = from_planes(d[: 4 * len(doc)], np.uint32)
+        own = np.unpackbits(np.frombuffer(d, dtype=np.uint8, offset=4 * len(doc)), count=len(doc)).astype(bool)
+        length = (from_planes(c, np.uint32).astype(np.int64) + width - 1)[of]
+    number, begin, stop = (np.concatenate(late, axis=1) if late else np.zeros((3, 0))).astype(np.int64)
+    order = np.argsort(number, kind="stable")
+    number, begin, stop = number[order], begin[order], stop[order]
+    # Where the flush has a smaller document with the same segment, all of it
+    # goes; elsewhere what the part has found.
+    low, high = (np.searchsorted(number, of, side=side) for side in ("left", "right"))
+    n = np.where(own, high - low, 0)
+    answer = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+    doc_of, from_, to = np.concatenate([doc[~own], np.repeat(doc, n)]), np.concatenate([first[~own], np.repeat(first, n) + begin[answer]]), np.concatenate([(first + length)[~own], np.repeat(first, n) + stop[answer]])
+    if not len(doc_of):
+        return None
+    order = np.lexsort((from_, doc_of))
+    doc_of, from_, to = doc_of[order], from_[order], to[order]
+    far = np.int64(1) << np.int64(33)  # beyond any place in a text
+    end = np.maximum.accumulate(doc_of * far + to)
+    new = np.flatnonzero(np.concatenate([[True], doc_of[1:] * far + from_[1:] > end[:-1]]))
+    doc_of, spans = doc_of[new], np.stack([from_[new], end[np.append(new[1:] - 1, len(end) - 1)] % far], axis=1)
+    cuts = np.append(runs(doc_of), len(doc_of))
+    return arrow_batch(_SPANS, [(*keys[doc_of[a]].tolist(), spans[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])])
+
+
+#: Occurrences of a hash from which on its strings are dealt one by one.
+HOT = 10_000
+
+
+def repeats(docs: DataFrame, width: int = WIDTH, k: int = CHOSEN, flush_bytes: int = FLUSH, chunk: int = CHUNK, hot: int = HOT, often: int = OFTEN) -> DataFrame:
+    """KEYS, spans (pairs of int64): of keyed docs, the maximal stretches that
+    strings cover which also start in a document with a smaller id."""
+    spark = docs.sparkSession
+    # About a segment every 13 bytes, in 6 bytes.
+    size = text_bytes(docs)
+    hits = cut(shared_places(docs, segment_anchors(width, k), parts_for(spark, size / 2), hot, often=often), "hits", size / 8)
+    found = hits.agg(F.sum("n")).first()[0] or 0
+    parts = parts_for(spark, found * (2 * width))
+    sent = docs.join(hits, KEYS).select("doc_id", *KEYS, "text", "hits", "hot").mapInArrow(frugal(_send_segments(width, k, parts, flush_bytes)), _SENT_DDL)
+    late = sent.repartitionById(parts, F.col("part")).mapInArrow(frugal(_later(width, chunk)), _FOUND_DDL)
+    spans = stream_groups(late, "flush", lambda table: _by_row(table, width), f"{KEYS[0]} long, {KEYS[1]} long, spans binary", parts=parts)
+    # Repeated rows share their keys, and so their spans.
+    out = cut(spans.groupBy(*KEYS).agg(F.first("spans").alias("spans")), "late", size / 16)
+    drop_cut(hits)
+    return out
+
+
+def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, spans (maximal removed stretches,
-    in bytes), kept (the bytes that stay)."""
+    in bytes), kept (the bytes that stay). settings: those of repeats."""
     docs = keyed(docs, id_col, text_col)
-    found = docs.join(repeats(docs, width), "row_key", "left")
+    found = docs.join(repeats(docs, width, **settings), KEYS, "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     def run(batches):
@@ -392,10 +525,10 @@ def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, type=f.type) for c, f in zip(out, list(schema)[1:]))], schema=schema)
 
-    return found.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,end:long>>, kept binary")
+    return found.select("doc_id", "text", "spans").mapInArrow(frugal(run), "doc_id long, n_bytes long, n_removed long, spans array<struct<first:long,end:long>>, kept binary")
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of docs, all columns as they are but for the text, of which
     repeats are removed (and what a cut leaves of a character). A text that
     loses everything stays as an empty one."""
@@ -413,7 +546,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
             out.append(b"".join([*kept, data[at:]]).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    found = repeats(keyed(docs, id_col, text_col), width).select(F.col("row_key").alias("__row"), F.col("spans").alias("__spans"))
-    marked = docs.withColumn("__row", row).join(found, "__row", "left")
-    return marked.withColumn(text_col, without(F.col(text_col), F.col("__spans"))).select(docs.columns)
+    names = [f"__{uuid.uuid4().hex}" for _ in range(3)]
+    found = repeats(keyed(docs, id_col, text_col), width, **settings).select(*(F.col(c).alias(n) for c, n in zip([*KEYS, "spans"], names)))
+    marked = docs.select("*", *(k.alias(n) for k, n in zip(row_keys(id_col, text_col), names))).join(found, names[:2], "left")
+    return marked.withColumn(text_col, without(F.col(text_col), F.col(names[2]))).select(docs.columns)
