@@ -21,13 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .anchors import pack_rising, parts_for, shared_places, unpack_rising
-from .common import NO_ID, cut, keyed, mix, prefix_hashes, release, rolling, word_hashes, word_spans
+from .anchors import OFTEN, pack_rising, runs, shared_places, unpack_rising
+from .common import KEYS, NO_ID, arrow_batch, cut, drop_cut, from_planes, frugal, keyed, mix, part_slices, parts_for, planes, prefix_hashes, rolling, span_hashes, text_bytes, word_hashes
+from .groups import stream_groups
 
 WIDTH = 13
 #: Windows that a task sends at once.
-FLUSH = 1_000_000
+FLUSH = 500_000
 
 
 def block_anchors(width: int):
@@ -53,92 +55,147 @@ def around(hits: np.ndarray, reach: int, n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(mark)[:n] > 0)
 
 
-_WIN = pa.schema([("flush", pa.int64()), ("part", pa.int64()), ("hashes", pa.binary()), ("seconds", pa.binary()), ("ids", pa.binary()), ("rows", pa.binary()), ("places", pa.binary())])
+_SENT = pa.schema([("part", pa.int32()), ("flush", pa.int64()), ("kind", pa.int32()), ("first", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_SENT_DDL = "part int, flush long, kind int, first long, a binary, b binary, c binary"
+_FOUND = pa.schema(list(_SENT)[1:3] + list(_SENT)[4:])
+_FOUND_DDL = "flush long, kind int, a binary, b binary, c binary"
+_STARTS = pa.schema([(KEYS[0], pa.int64()), (KEYS[1], pa.int64()), ("starts", pa.binary())])
+PLACES, WINDOWS, LATE = range(3)
 
 
-def _send_windows(width: int, parts: int):
-    """Packed windows around the hits: hash, second hash, document, place."""
-    block, bits = (width + 1) // 2, parts.bit_length() - 1
+def _equal_windows(hashes, seconds, ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal windows are neighbours, the first places of the
+    runs of these, and the smallest id of each."""
+    order = np.argsort(hashes, kind="stable")
+    h, s = hashes[order], seconds[order]
+    if ((h[1:] == h[:-1]) & (s[1:] != s[:-1])).any():  # different windows share the first hash
+        order = np.lexsort((seconds, hashes))
+        h, s = hashes[order], seconds[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])]))
+    return order, first, np.minimum.reduceat(ids[order], first)
+
+
+def _send_windows(width: int, parts: int, flush_size: int):
+    """A flush's different windows around the hits go to their parts, each with
+    the smallest document that holds it here; where each stands goes to the
+    flush itself."""
+    block = (width + 1) // 2
 
     def run(batches):
         flush = TaskContext.get().partitionId() << 32
-        held, size = [], 0
+        held, docs, size = [], [], 0
 
         def rows():
-            hashes, seconds, ids, keys, places = (np.concatenate(x) for x in zip(*held))
-            part = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            edges = np.flatnonzero(np.diff(part[order])) + 1
-            cols = [[] for _ in _WIN]
-            for own in np.split(order, edges):
-                for c, v in zip(cols, (flush, int(part[own[0]]), hashes[own].tobytes(), seconds[own].tobytes(), ids[own].tobytes(), keys[own].tobytes(), places[own].tobytes())):
-                    c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, _WIN)], schema=_WIN)
+            hashes, seconds, doc, places = (np.concatenate(x) for x in zip(*held))
+            ids = np.array([d[2] for d in docs], dtype=np.int64)[doc]
+            order, first, least = _equal_windows(hashes, seconds, ids)
+            count = np.diff(np.append(first, len(order)))
+            of = np.empty(len(order), dtype=np.uint32)
+            of[order] = np.repeat(np.arange(len(first), dtype=np.uint32), count)
+            # The flush's own: keys and number of places of its documents; places
+            # as steps; each place's window, and whether its document is the
+            # smallest that holds it here.
+            table = np.array([(*d[:2], n) for d, n in zip(docs, np.bincount(doc, minlength=len(docs)).tolist())], dtype=np.int64)
+            mine = planes(of) + np.packbits(ids == least[of]).tobytes()
+            yield flush % parts, flush, PLACES, 0, table.tobytes(), planes(np.diff(places, prepend=0).astype(np.int32)), mine
+            hashes, seconds = hashes[order[first]], seconds[order[first]]
+            for part, s in part_slices(hashes, parts):
+                yield part, flush, WINDOWS, s.start, planes(np.diff(hashes[s], prepend=np.uint64(0))), seconds[s].tobytes(), planes(least[s])
 
         for batch in batches:
-            for doc_id, key, text, hits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "text", "hits"))):
-                words, _, _ = word_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8))
+            for doc_id, key1, key2, text, hits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", *KEYS, "text", "hits"))):
+                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+                words, begin, end = word_hashes(data)
                 starts = around(unpack_rising(hits), width - block, len(words) - width + 1)
                 if not len(starts):
                     continue
                 first = rolling(prefix_hashes(words), width)[starts]
-                second = rolling(prefix_hashes(mix(words ^ np.uint64(0x5851F42D4C957F2D))), width)[starts]
-                held.append((first, second, np.full(len(starts), NO_ID if doc_id is None else doc_id), np.full(len(starts), key), starts.astype(np.uint32)))
+                # Of other hashes of the bytes, so that both would have to lie.
+                others = span_hashes(prefix_hashes(mix(data + np.uint64(0x5851F42D4C957F2D))), begin, end)
+                second = rolling(prefix_hashes(others), width)[starts]
+                held.append((first, second, np.full(len(starts), len(docs)), starts))
+                docs.append((key1, key2, NO_ID if doc_id is None else doc_id))
                 size += len(starts)
-                if size >= FLUSH:
-                    yield rows()
-                    held, size, flush = [], 0, flush + 1
+                if size >= flush_size:
+                    yield arrow_batch(_SENT, rows())
+                    held, docs, size, flush = [], [], 0, flush + 1
         if held:
-            yield rows()
+            yield arrow_batch(_SENT, rows())
 
     return run
 
 
-def joined(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()])
-
-
-def _later(table: pa.Table) -> pa.Table:
-    """Windows of a part that a smaller document holds too, by flush."""
-    hashes, seconds, ids = joined(table, "hashes", np.uint64), joined(table, "seconds", np.uint64), joined(table, "ids", np.int64)
-    order = np.lexsort((ids, seconds, hashes))
-    hashes, seconds, ids = hashes[order], seconds[order], ids[order]
-    start = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (seconds[1:] != seconds[:-1])])
-    smallest = ids[np.flatnonzero(start)][np.cumsum(start) - 1]
+def _later(batches):
+    """Of a part's windows, those that a smaller document of another flush
+    holds too, by flush."""
+    rows: list[tuple] = []
+    for batch in batches:
+        kinds = np.asarray(batch.column("kind"))
+        passing, own = (pa.array(np.flatnonzero(kinds == kind)) for kind in (PLACES, WINDOWS))
+        if len(passing):
+            yield pa.RecordBatch.from_arrays([batch.column(f.name).take(passing) for f in _FOUND], schema=_FOUND)
+        rows += zip(*(batch.column(c).take(own).to_pylist() for c in ("flush", "first", "a", "b", "c")))
+    if not rows:
+        return
+    flush, start, *packed = zip(*rows)
+    rows.clear()
+    size = [len(x) // 8 for x in packed[1]]
+    hashes = np.concatenate([np.cumsum(from_planes(x, np.uint64), dtype=np.uint64) for x in packed[0]])
+    seconds = np.frombuffer(b"".join(packed[1]), dtype=np.uint64)
+    ids = np.concatenate([from_planes(x, np.int64) for x in packed[2]])
+    del packed
+    order, first, least = _equal_windows(hashes, seconds, ids)
     late = np.zeros(len(order), dtype=bool)
-    late[order] = ids > smallest
-    rows, at = [], 0
-    for flush, keys, places in zip(*(table.column(c).to_pylist() for c in ("flush", "rows", "places"))):
-        keys, places = np.frombuffer(keys, dtype=np.int64), np.frombuffer(places, dtype=np.uint32)
-        own = late[at : at + len(keys)]
-        at += len(keys)
-        if own.any():
-            rows.append((flush, keys[own].tobytes(), places[own].tobytes()))
-    cols = list(zip(*rows)) or [()] * 3
-    return pa.table([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], names=["flush", "rows", "places"])
-
-
-def _by_row(table: pa.Table) -> pa.Table:
-    keys, places = joined(table, "rows", np.int64), joined(table, "places", np.uint32)
-    order = np.lexsort((places, keys))
-    keys, places = keys[order], places[order]
-    edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-    starts = [pack_rising(places[a:b]) for a, b in zip(edges, edges[1:])]
-    return pa.table([pa.array(keys[edges[:-1]], type=pa.int64()), pa.array(starts, type=pa.binary())], names=["row_key", "starts"])
-
-
-def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """row_key, starts (pack_rising): of keyed docs, the windows that also
-    start in a document with a smaller id."""
-    hits = cut(shared_places(docs, block_anchors(width)), "hits")
-    release(docs.sparkSession)
-    parts = parts_for(docs)
-    texts = docs.join(hits, "row_key").dropDuplicates(["row_key"])
-    windows = texts.select("doc_id", "row_key", "text", "hits").mapInArrow(_send_windows(width, parts), "flush long, part long, hashes binary, seconds binary, ids binary, rows binary, places binary")
-    late = windows.groupBy("part").applyInArrow(_later, "flush long, rows binary, places binary")
-    late = cut(late.groupBy("flush").applyInArrow(_by_row, "row_key long, starts binary"), "late")
-    release(docs.sparkSession)
-    return late
+    late[order] = ids[order] > np.repeat(least, np.diff(np.append(first, len(order))))
+    out, at = [], 0
+    for f, number, n in zip(flush, start, size):
+        found = np.flatnonzero(late[at : at + n])
+        at += n
+        if len(found):
+            out.append((f, LATE, planes((found + number).astype(np.uint32)), b"", b""))
+    if out:
+        yield arrow_batch(_FOUND, out)
+
+
+def _by_row(table: pa.Table) -> pa.RecordBatch | None:
+    """A flush's places and late windows -> late starts by row."""
+    late = []
+    for kind, a, b, c in zip(*(table.column(x).to_pylist() for x in ("kind", "a", "b", "c"))):
+        if kind == LATE:
+            late.append(from_planes(a, np.uint32))
+            continue
+        docs = np.frombuffer(a, dtype=np.int64).reshape(-1, 3)
+        doc = np.repeat(np.arange(len(docs)), docs[:, 2])
+        places = np.cumsum(from_planes(b, np.int32), dtype=np.int64).astype(np.uint32)
+        of = from_planes(c[: 4 * len(doc)], np.uint32)
+        own = np.unpackbits(np.frombuffer(c, dtype=np.uint8, offset=4 * len(doc)), count=len(doc)).astype(bool)
+    gone = np.zeros(int(of.max()) + 1, dtype=bool)
+    for x in late:
+        gone[x] = True
+    # Rows stand in the order of documents and places.
+    hit = ~own | gone[of]
+    doc, places = doc[hit], places[hit]
+    cuts = np.append(runs(doc), len(doc))
+    rows = [(*docs[doc[a], :2].tolist(), pack_rising(places[a:b])) for a, b in zip(cuts, cuts[1:])]
+    return arrow_batch(_STARTS, rows) if rows else None
+
+
+def repeats(docs: DataFrame, width: int = WIDTH, flush_size: int = FLUSH, often: int = OFTEN) -> DataFrame:
+    """KEYS, starts (pack_rising): of keyed docs, the windows that also start
+    in a document with a smaller id."""
+    spark = docs.sparkSession
+    # About a word every 6 bytes, in 6 bytes; around a hit up to 13 windows.
+    size = text_bytes(docs)
+    hits = cut(shared_places(docs, block_anchors(width), parts_for(spark, size), often=often).drop("hot"), "hits", size / 8)
+    found = hits.agg(F.sum("n")).first()[0] or 0
+    parts = parts_for(spark, found * 40)
+    windows = docs.join(hits, KEYS).select("doc_id", *KEYS, "text", "hits").mapInArrow(frugal(_send_windows(width, parts, flush_size)), _SENT_DDL)
+    late = windows.repartitionById(parts, F.col("part")).mapInArrow(frugal(_later), _FOUND_DDL)
+    starts = stream_groups(late, "flush", _by_row, f"{KEYS[0]} long, {KEYS[1]} long, starts binary", parts=parts)
+    # Repeated rows share their keys, and so their windows.
+    out = cut(starts.groupBy(*KEYS).agg(F.first("starts").alias("starts")), "late", size / 8)
+    drop_cut(hits)
+    return out
 
 
 def spans(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -155,11 +212,11 @@ def spans(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
 SCHEMA = "doc_id long, n_words long, n_removed long, spans array<struct<first:long,end:long>>, kept string"
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, spans (maximal repeats, in words),
-    kept (the words that stay, joined by one space)."""
+    kept (the words that stay, joined by one space). settings: of repeats."""
     docs = keyed(docs, id_col, text_col)
-    found = docs.join(repeats(docs, width), "row_key", "left")
+    found = docs.join(repeats(docs, width, **settings), KEYS, "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string())])
 
     def run(batches):
@@ -177,4 +234,4 @@ def dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, type=f.type) for c, f in zip(out, list(schema)[1:]))], schema=schema)
 
-    return found.select("doc_id", "text", "starts").mapInArrow(run, SCHEMA)
+    return found.select("doc_id", "text", "starts").mapInArrow(frugal(run), SCHEMA)
