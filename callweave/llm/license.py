@@ -4,11 +4,16 @@ The automaton is built once on the driver from a fixed set of templates, so
 its size is bounded by them, and goes to the workers with the function. A file
 is streamed through it word by word; after each word the automaton knows the
 longest run of words ending there that occurs in some template (the matching
-statistics). Runs that can't grow further and are long enough become matches,
-matches of one template that lie in order are chained, and a chain that covers
-enough of the template is a span with the template's label.
+statistics). Runs that can't grow further and are long enough become matches.
 
-Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. Null and
+Matches of one template are chained: the chain of the most template words, in
+the order of both file and template, is found by dynamic programming, then what
+stands before and after it is looked at in the same way. A chain that covers
+enough of the template, and all of its numbers, is a span; so version numbers
+decide between templates that differ only there. Of spans over the same words
+that of the most words stays, so a licence's name isn't taken for a shorter one.
+
+Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z. Null and
 empty texts have no word, no span and score 0; texts are streamed whole; ties
 between templates go to the one listed first; repeated rows are scanned each;
 an empty table gives an empty result; other columns are not read.
@@ -29,24 +34,41 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# Short public licence notices, by label.
+# Public licence notices, headings and names, by label.
 TEMPLATES = (
     ("mit", "released under the mit license"),
+    ("mit", "licensed under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2", "apache license version 2 0 january 2004"),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
     ("cc-by", "creative commons attribution 4 0 international license"),
     ("cc-by-sa", "creative commons attribution sharealike 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    ("cc-by-nd", "creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives 4 0 international license"),
+    ("cc0", "cc0 1 0 universal public domain dedication"),
+    ("gpl-3", "licensed under the gnu general public license version 3"),
+    ("gpl-3", "gnu general public license version 3 29 june 2007"),
     ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-2", "licensed under the gnu general public license version 2"),
+    ("gpl-2", "gnu general public license version 2 june 1991"),
     ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("lgpl-3", "gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl-3", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-2.1", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("agpl-3", "gnu affero general public license version 3 19 november 2007"),
+    ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", "mozilla public license version 2 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost-1", "boost software license version 1 0 august 17th 2003"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
@@ -143,6 +165,7 @@ class Scanner:
         self.phrases = [(words_of(p), label) for p, label in phrases]
         self.labels = [label for label, _ in templates] + [label for _, label in phrases]
         self.sequences = [words_of(t) for _, t in templates] + [p for p, _ in self.phrases]
+        self.numbers = [[i for i, w in enumerate(seq) if w.isdigit()] for seq in self.sequences]
         self.automaton = SuffixAutomaton(self.sequences)
         self.min_match, self.min_cover = min_match, min_cover
         self.first_of = len(templates)
@@ -163,9 +186,11 @@ class Scanner:
                         matches.setdefault(k, []).append((end - n, e - n, n))
                 s = self.automaton.link[s]
         found = Scan(len(words), sorted(set(places)))
+        spans = []
         for k, runs in sorted(matches.items()):
-            if k < self.first_of:
-                found.spans.extend(self._chains(k, runs))
+            if k < self.first_of and sum(n for _, _, n in runs) >= self.min_cover * len(self.sequences[k]):
+                spans.extend(self._chains(k, sorted(set(runs))))
+        found.spans = sorted(longest_of_overlaps(spans))
         return found
 
     def _phrases_in(self, words, start: int, end: int, places) -> None:
@@ -178,20 +203,53 @@ class Scanner:
                     places.append((i, label))
 
     def _chains(self, k: int, runs: list[tuple[int, int, int]]):
-        """Greedy chains: matches in order in file and template, with gaps in
-        the file of at most the template's length."""
+        """(first word, end, label, cover, words) of template k's spans, from
+        runs in the order of the file."""
         size = len(self.sequences[k])
-        runs = sorted(set(runs))
-        chain: list[tuple[int, int, int]] = []
-        for run in [*runs, None]:
-            if chain and (run is None or run[0] - (chain[-1][0] + chain[-1][2]) > size or run[1] < chain[-1][1] + chain[-1][2]):
-                cover = min(1.0, sum(n for _, _, n in chain) / size)
-                if cover >= self.min_cover:
-                    yield chain[0][0], chain[-1][0] + chain[-1][2], self.labels[k], cover
-                chain = []
-            if run:
-                if not chain or run[0] >= chain[-1][0] + chain[-1][2]:
-                    chain.append(run)
+        todo = [runs]
+        while todo:
+            runs = todo.pop()
+            chain, words = best_chain(runs, size)
+            if words < self.min_cover * size:
+                continue
+            first, end = chain[0][0], max(f + n for f, _, n in chain)
+            if all(any(t <= i < t + n for _, t, n in chain) for i in self.numbers[k]):
+                yield first, end, self.labels[k], words / size, words
+            todo += [own for own in ([r for r in runs if r[0] + r[2] <= first], [r for r in runs if r[0] >= end]) if own]
+
+
+def best_chain(runs: list[tuple[int, int, int]], size: int) -> tuple[list[tuple[int, int, int]], int]:
+    """Of runs (place in the file, place in the template, words), in the order
+    of the file, the chain of the most template words, and these. A chain's runs
+    follow each other in file and template; where two overlap, the later one
+    counts from the end of the other; no gap in the file is above size."""
+    best, back = [], []
+    for i, (f, t, n) in enumerate(runs):
+        most, at = n, -1
+        for j in range(i - 1, -1, -1):
+            g, u, m = runs[j]
+            if f - g > 2 * size:
+                break
+            gain = n - max(0, g + m - f, u + m - t)
+            if gain > 0 and t > u and f - g - m <= size and best[j] + gain > most:
+                most, at = best[j] + gain, j
+        best.append(most)
+        back.append(at)
+    i = max(range(len(best)), key=lambda i: (best[i], -i))
+    words, chain = best[i], []
+    while i >= 0:
+        chain.append(runs[i])
+        i = back[i]
+    return chain[::-1], words
+
+
+def longest_of_overlaps(spans):
+    """Spans without those of which half or more lies in a span of more words."""
+    kept: list[tuple] = []
+    for s in sorted(spans, key=lambda s: (-s[4], -s[3])):
+        if all(2 * (min(s[1], x[1]) - max(s[0], x[0])) < s[1] - s[0] for x in kept):
+            kept.append(s)
+    return [s[:4] for s in kept]
 
 
 def scan_licenses(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
