@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a cheap test on a text's features. On a bounded sample the
-cascade measures what a rule costs (seconds a text) and how often it rejects,
-and orders the rules by rejection per cost; a text is then given up at the
-first rule that rejects it, and no later feature is computed. The verdict
-doesn't depend on the order, only the work does.
+Each rule is a cheap test on a text's features. On a bounded sample, spread over
+the whole table, the cascade measures what a rule costs and how often it rejects,
+and takes the rules by rejection per cost: the best one first, then the best one
+on what the first leaves, with the features that it has computed at no cost, and
+so on. A text is given up at the first rule that rejects it, and no later feature
+is computed. The verdict doesn't depend on the order, only the work does.
 
 Null text counts as empty, and empty texts fail the length rule. Texts are
 judged whole, however long; repeated rows get the same verdict each; an empty
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, map_texts
+from .common import bounded_batches, keyed, map_texts
 
 SYMBOLS = "#*$%&|<>"
 #: Rows on which costs and selectivities are measured (a documented bound;
@@ -42,6 +43,11 @@ class Features:
             self._got[name] = make()
         return self._got[name]
 
+    def copy(self) -> Features:
+        out = Features(self.text)
+        out._got = dict(self._got)
+        return out
+
     @property
     def words(self) -> list[bytes]:
         return self._once("words", lambda: self.text.encode("utf-8", "surrogatepass").split())
@@ -119,35 +125,54 @@ RULES = BASE_RULES + METHOD_RULES
 
 @dataclass(frozen=True)
 class Measured:
+    """A rule's place in the cascade: seconds a text, and the share of texts
+    that it rejects of those that the rules before it leave."""
+
     name: str
     seconds: float
     rejected: float
 
 
+def greedy(texts: list[str], rules: tuple[Rule, ...], clock: Callable[[], float] = time.perf_counter) -> list[Measured]:
+    """The rules by rejection per cost, each measured on the texts that those
+    before it leave, with the features that these have computed. Ties, and rules
+    that reject nothing, keep the given order and come last."""
+    left, todo, out = [Features(t) for t in texts], list(rules), []
+    while todo:
+        tried = []
+        for rule in todo:
+            own, gone = [f.copy() for f in left], []
+            began = clock()
+            for f in own:
+                gone.append(rule.rejects(f))
+            cost = max(clock() - began, 1e-9)
+            tried.append((sum(gone) / cost, rule, cost, own, gone))
+        _, rule, cost, own, gone = max(tried, key=lambda x: x[0])
+        out.append(Measured(rule.name, cost / max(1, len(left)), sum(gone) / max(1, len(left))))
+        left = [f for f, g in zip(own, gone) if not g]
+        todo.remove(rule)
+    return out
+
+
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Measured]:
-    """Cost and selectivity of each rule on at most sample_rows texts, taken
-    on an executor; only one row a rule comes to the driver."""
+    """greedy() on at most sample_rows texts from all of docs, by one task; only
+    a row a rule comes to the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for rule in rules:
-                began, n = time.perf_counter(), 0
-                for text in pdf["text"]:
-                    n += bool(rule.rejects(Features(text)))
-                out.append((rule.name, time.perf_counter() - began, n, len(pdf)))
-            yield pd.DataFrame(out, columns=["name", "seconds", "n", "rows"])
+        texts = [t for pdf in batches for t in pdf["text"]]
+        yield pd.DataFrame([(k, m.name, m.seconds, m.rejected) for k, m in enumerate(greedy(texts, rules))], columns=["ord", "name", "seconds", "rejected"])
 
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).limit(sample_rows)
-    got = texts.mapInPandas(run, "name string, seconds double, n long, rows long").groupBy("name").agg(F.sum("seconds").alias("seconds"), F.sum("n").alias("n"), F.sum("rows").alias("rows")).collect()
-    by = {r["name"]: Measured(r["name"], r["seconds"] / r["rows"], r["n"] / r["rows"]) for r in got}
-    return [by.get(r.name, Measured(r.name, 0.0, 0.0)) for r in rules]
+    bounded_batches(docs.sparkSession)
+    share = min(1.0, 4 * sample_rows / max(1, docs.count()))
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).sample(share, seed=5).orderBy(F.rand(5)).limit(sample_rows)
+    got = texts.coalesce(1).mapInPandas(run, "ord long, name string, seconds double, rejected double").collect()
+    return [Measured(r["name"], r["seconds"], r["rejected"]) for r in sorted(got, key=lambda r: r["ord"])]
 
 
 def ordered(rules: tuple[Rule, ...], measured: list[Measured]) -> tuple[Rule, ...]:
-    """By rejection per cost, best first; ties keep the given order."""
-    gain = {m.name: m.rejected / max(m.seconds, 1e-9) for m in measured}
-    return tuple(sorted(rules, key=lambda r: -gain.get(r.name, 0.0)))
+    """The rules in the measured order; those not measured come last."""
+    place = {m.name: k for k, m in enumerate(measured)}
+    return tuple(sorted(rules, key=lambda r: place.get(r.name, len(place))))
 
 
 def rejected_by(f: Features, cascade: tuple[Rule, ...]) -> str | None:
