@@ -127,38 +127,34 @@ def links(parsed: DataFrame) -> DataFrame:
 
 def threads(replies: DataFrame) -> DataFrame:
     """conv_id, turn, root, depth of every (conv_id, turn, parent), by doubling
-    the stride of the parent pointers; a turn's parent comes before it."""
-    now = cut(replies.select("conv_id", "turn", F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "threads")
-    while True:
-        up = now.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
-        moved = now.join(up, ["conv_id", "root"], "left")
-        step = moved.select("conv_id", "turn", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        before, now = now, cut(step, "threads")
-        settled = now.agg(F.sum("depth")).first() == before.agg(F.sum("depth")).first()
+    the stride of the parent pointers; a turn's parent comes before it. A turn
+    whose pointer has met its thread's first turn is joined no more, so the
+    first turn of a long thread is a join's key once."""
+    own = F.col("parent").isNull()
+    now = cut(replies.select("conv_id", "turn", F.coalesce("parent", "turn").alias("root"), F.when(own, 0).otherwise(1).cast("long").alias("depth"), own.alias("top")), "threads")
+    while now.filter("not top").head(1):
+        up = now.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"), F.col("top").alias("ends"))
+        moved = now.filter("not top").join(up, ["conv_id", "root"], "left")
+        # A parent that is no turn of the table is a first turn itself.
+        step = moved.select("conv_id", "turn", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("ends", F.lit(True)).alias("top"))
+        before, now = now, cut(now.filter("top").unionByName(step), "threads")
         drop_cut(before)
-        if settled:
-            return now
+    return now.drop("top")
 
 
 def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """Rows of each group numbered from 0 in the given order, without bringing
-    a group into one task: rows are dealt by ranges, and only the number of
-    rows in each range comes to the driver."""
+    a group into one task: rows are dealt by ranges; a row's number is its place
+    in its range's share of the group, and the sizes of the shares before."""
     spark = df.sparkSession
     dealt = df.repartitionByRange(shuffle_width(spark), group, *order).sortWithinPartitions(group, *order)
     row = F.monotonically_increasing_id()
     dealt = cut(dealt.withColumn("__range", F.shiftright(row, 33)).withColumn("__row", row.bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
-    sizes = sorted((r["__range"], r["count"]) for r in dealt.groupBy("__range").count().collect())
-    if not sizes:
-        return dealt.withColumn(name, F.lit(0).cast("long")).drop("__range", "__row")
-    before, at = [], 0
-    for k, n in sizes:
-        before.append((k, at))
-        at += n
-    base = spark.createDataFrame(before, "__range long, __before long")
-    dealt = dealt.join(F.broadcast(base), "__range").withColumn(name, F.col("__before") + F.col("__row"))  # a row a range
-    first = dealt.groupBy(group).agg(F.min(name).alias("__first"))
-    return dealt.join(first, group).withColumn(name, F.col(name) - F.col("__first")).drop("__range", "__row", "__before", "__first")
+    shares = dealt.groupBy("__range", group).agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+    # A row a range and group: few for a group, as ranges are few.
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shares = shares.select("__range", group, "__first", before.alias("__before"))
+    return dealt.join(shares, ["__range", group]).withColumn(name, F.col("__before") + F.col("__row") - F.col("__first")).drop("__range", "__row", "__before", "__first")
 
 
 def format_chats(messages: DataFrame, **columns: str) -> DataFrame:
