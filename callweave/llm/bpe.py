@@ -6,8 +6,11 @@ fails where b, or the last part of b, was taken by an earlier merge with what
 follows. The longest such chain of the merge list, in symbols, is the list's
 sufficient lookahead. The transducer keeps a short buffer of symbols, and
 once that many symbols stand behind a token, no later symbol can change it:
-the token is emitted and leaves the buffer. Memory is constant, whatever the
-length of a pre-token.
+the token is emitted and leaves the buffer. A text is fed in pieces: a piece ends
+behind white space, or, where there is none for long, at a place that neither
+normalisation nor a word's beginning can reach over, and the pre-token that
+stands open there keeps its transducer. So the coder's memory is constant,
+whatever the length of a text or a pre-token.
 
 Decoder. Ids turn into text one at a time. For byte-level vocabularies with a
 byte decoder, an incremental UTF-8 machine keeps the incomplete character;
@@ -208,22 +211,115 @@ class WordEncoder:
             out.append(self.cache.joined(units))
         return b"".join(out)
 
+    def stream(self, pieces, hold: int | None = None):
+        """Packed ids of one text that comes in pieces, cut anywhere."""
+        own = TextStream(self, hold or HOLD)
+        for piece in pieces:
+            yield own.feed(piece)
+        yield own.finish()
+
     def decode(self, ids: bytes) -> str:
         machine = Decoder(self.merges)
         return machine.feed(np.frombuffer(ids, dtype="<u4").tolist()) + machine.finish()
 
 
+#: Characters of a piece, and of what is held back without white space.
+PIECE, HOLD = 1 << 16, 1 << 12
+
+
+class TextStream:
+    """Pieces of one text in, packed ids out, as soon as no later piece can
+    change them."""
+
+    def __init__(self, coder: WordEncoder, hold: int):
+        import regex
+
+        self.coder, self.hold, self.tail = coder, max(64, hold), ""
+        self.kinds = [regex.compile(r"\p{L}+"), regex.compile(r"[^\s\p{L}\p{N}]+")]
+        self.open: tuple[Transducer, int] | None = None  # and the kind of its pre-token
+
+    def feed(self, piece: str) -> bytes:
+        self.tail += piece
+        out = []
+        if "<|" in self.tail:
+            *closed, self.tail = self.coder.special.split(self.tail)
+            for part, special in zip(closed[::2], closed[1::2]):
+                out += [self._text(part, True), array("I", [self.coder.merges.special[special]]).tobytes()]
+        cut = 1 + max(self.tail.rfind(c) for c in " \n\t")
+        if not cut and len(self.tail) > self.hold:
+            cut = self._inner(self.tail)
+        if cut:
+            out.append(self._text(self.tail[:cut], False))
+            self.tail = self.tail[cut:]
+        return b"".join(out)
+
+    def finish(self) -> bytes:
+        text, self.tail = self.tail, ""
+        return self._text(text, True)
+
+    @staticmethod
+    def _inner(text: str) -> int:
+        """A place that no special token, composed character or contraction
+        spans; 0 if there is none near the end."""
+        for i in range(len(text) - 24, max(0, len(text) - 1024), -1):
+            if "'" in text[max(0, i - 3) : i + 3] or unicodedata.combining(text[i]):
+                continue
+            before = text[max(0, i - 64) : i]
+            if text[i - 1 : i + 1].isascii() or unicodedata.normalize("NFC", before + text[i]) == unicodedata.normalize("NFC", before) + unicodedata.normalize("NFC", text[i]):
+                return i
+        return 0
+
+    def _symbols(self, text: str) -> list[str]:
+        return list(map(self.coder.letters.__getitem__, text.encode("utf-8", "surrogatepass")))
+
+    def _text(self, text: str, ends: bool) -> bytes:
+        """Ids of what is stable of the text; all of it, if it ends here."""
+        text, out = self.coder.normalise(text), []
+        if self.open:
+            machine, kind = self.open
+            m = self.kinds[kind].match(text)
+            n = m.end() if m else 0
+            ids = machine.feed(self._symbols(text[:n]))
+            if n == len(text) and not ends:
+                return array("I", ids).tobytes()
+            self.open = None
+            out.append(array("I", ids + machine.finish()).tobytes())
+            text = text[n:]
+        units = self.coder.space.split(text)
+        if ends or not units[-1]:
+            return b"".join([*out, self.coder.cache.joined([u for u in units if u])])
+        *units, last = units
+        out.append(self.coder.cache.joined([u for u in units if u]))
+        found = self.coder.pre_tokens(last)
+        kind = next((k for k, x in enumerate(self.kinds) if found and x.fullmatch(found[-1]) and last.endswith(found[-1])), None)
+        if kind is not None:
+            machine = Transducer(self.coder.merges)
+            token = found.pop()
+        out += map(self.coder.transduce, found)
+        if kind is not None:
+            out.append(array("I", machine.feed(self._symbols(token))).tobytes())
+            self.open = machine, kind
+        return b"".join(out)
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, ids (little-endian uint32), decoded (their text)."""
+    """Per row: doc_id, ids (little-endian uint32), decoded (their text). Long
+    texts go through both machines piece by piece."""
 
     def of_text(text: str) -> tuple:
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
         coder = _encoders[path]
-        ids = coder.encode(text)
-        return ids, coder.decode(ids)
+        if len(text) <= PIECE:
+            ids = coder.encode(text)
+            return ids, coder.decode(ids)
+        machine, ids, decoded = Decoder(coder.merges), [], []
+        for part in coder.stream(text[at : at + PIECE] for at in range(0, len(text), PIECE)):
+            ids.append(part)
+            decoded.append(machine.feed(np.frombuffer(part, dtype="<u4").tolist()))
+        return b"".join(ids), "".join(decoded) + machine.finish()
 
     return map_texts(keyed(docs, id_col, text_col), of_text, ["ids", "decoded"], ["binary", "string"])
