@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import schema
+from . import schema, sinks
 from .functions.text import embedding_text
-from .operators import confidence, context, drift, graph, health, linking, notes, onboarding, reports, vectors, viz
+from .lineage import cut
+from .operators import areas as area_rules
+from .operators import confidence, context, drift, graph, health, intent, linking, notes, onboarding, reports, vectors, viz
+from .sources import config as config_source
 from .sources import files as file_source
 from .sources import parse
 from .store import Store
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, areas: dict[str, str] | None = None, tracked=file_source.TRACKED, embed=vectors.hashed_embedding):
-        self.spark, self.store, self.areas, self.tracked, self.embed = spark, Store(spark, root), areas or {}, tracked, embed
+    def __init__(self, spark: SparkSession, root: str, areas: dict[str, str] | None = None, tracked=file_source.TRACKED, embed=vectors.hashed_embedding, half_life: float = schema.HALF_LIFE):
+        """embed: a function of a text column, or the name of one; None searches
+        by vectors only."""
+        own = vectors.embedder(embed) if isinstance(embed, str) else embed
+        self.spark, self.store, self.areas, self.tracked, self.embed, self.half_life = spark, Store(spark, root), areas or {}, tracked, own, half_life
+
+    @classmethod
+    def of_config(cls, spark: SparkSession, root: str, path: str) -> Engine:
+        c = config_source.load_config(path)
+        return cls(spark, root, c.areas, c.tracked, c.embedding, c.half_life)
 
     @property
     def units(self) -> DataFrame:
@@ -25,27 +38,54 @@ class Engine:
     def edges(self) -> DataFrame:
         return self.store.read("edges")
 
+    # ------------------------------------------------------ build and update
+
     def _publish(self, units: DataFrame, captures: DataFrame, edges: DataFrame, hashes: DataFrame, built: str) -> str:
-        vecs = units.select("id", self.embed(embedding_text("name", "signature", "docstring")).alias("embedding"))
+        vecs = self.spark.createDataFrame([], schema.VECTORS)
+        if self.embed is not None:
+            vecs = units.select("id", self.embed(embedding_text("name", "signature", "docstring")).alias("embedding"))
         state = drift.state_hash(hashes).select(F.lit("state_hash").alias("key"), F.col("state_hash").alias("value"))
         meta = self.spark.createDataFrame([("schema_version", str(schema.SCHEMA_VERSION)), ("last_build", built)], schema.META).union(state)
         return self.store.publish({"units": units, "captures": captures, "edges": edges, "vectors": vecs, "file_hashes": hashes, "meta": meta})
 
-    def build(self, files: DataFrame, built: str) -> str:
-        """Index files (file, content, hash) anew; built is an ISO time."""
+    def build(self, files: DataFrame, built: str, now: int | None = None, commit: str | None = None, documents: str | None = None) -> str:
+        """Index files (file, content, hash) anew; built is an ISO time. Then
+        notes decay, the metrics join the history and, if a folder is named,
+        the areas' documents are written."""
         parsed = parse.parse(files)
         units, captures = parse.units_of(parsed), parse.captures_of(parsed)
-        return self._publish(units, captures, linking.link(captures, units), files.select("file", "hash"), built)
-
-    def changes(self, files: DataFrame) -> DataFrame:
+        name = self._publish(units, captures, linking.link(captures, units), files.select("file", "hash"), built)
+        self._after(None, now, commit, documents)
+        return name
+
+    def changes(self, files: DataFrame, listed: DataFrame | None = None, status: DataFrame | None = None) -> DataFrame:
+        """file, status of what differs: listed changes (file, status) as they
+        are; else what git says (text of name-status or status --porcelain, as
+        git.changed_files gives it), by the ignore rules and extensions; else by
+        hashes."""
+        if listed is not None:
+            return listed.select("file", "status")
+        if status is not None:
+            wanted = file_source.extension(F.col("file")).isin(*self.tracked) & ~file_source.ignored(F.col("file"))
+            return status.select("file", "status").filter(wanted)
         return drift.hash_diff(self.store.read("file_hashes"), files.select("file", "hash"))
 
-    def update(self, files: DataFrame, built: str) -> str:
+    def update(self, files: DataFrame, built: str, now: int | None = None, commit: str | None = None, documents: str | None = None, **found: DataFrame) -> str:
         """Bring the index to the state of files, parsing only what differs."""
-        changes = self.changes(files)
+        changes = cut(self.changes(files, **found))
         parsed = parse.parse(files.join(changes.filter("status <> 'D'").select("file"), "file", "left_semi"))
         u, c, e = drift.update(self.units, self.store.read("captures"), changes, parse.units_of(parsed), parse.captures_of(parsed))
-        return self._publish(u, c, e, files.select("file", "hash"), built)
+        touched = cut(self.units.join(changes.select("file"), "file", "left_semi").select("id"))
+        name = self._publish(u, c, e, files.select("file", "hash"), built)
+        self._after(touched, now, commit, documents)
+        return name
+
+    def _after(self, touched: DataFrame | None, now: int | None, commit: str | None, documents: str | None) -> None:
+        now = int(time.time()) if now is None else now
+        self.decay(now, touched)
+        self.snapshot_health(now, commit)
+        if documents is not None:
+            self.area_documents().write.mode("overwrite").json(documents)
 
     def validate(self, files: DataFrame) -> DataFrame:
         """file, status, drift of what differs between the index and files."""
@@ -54,20 +94,50 @@ class Engine:
         old = self.units.join(changes.select("file"), "file", "left_semi")
         return drift.classify(changes, drift.unit_drift(old, own))
 
+    # --------------------------------------------------------------- lookups
+
     def target(self, name: str) -> DataFrame:
         return reports.resolve(self.units, name)
 
-    def search(self, query, k: int = schema.TOP_K) -> DataFrame:
-        """By a vector, or by text through the embedding in use."""
-        if isinstance(query, str):
-            query = self.spark.range(1).select(self.embed(F.lit(query))).first()[0]
-        return vectors.hybrid(self.store.read("vectors"), self.units, self.edges, query, k, self.areas)
+    def find(self, **by) -> DataFrame:
+        return sinks.find_units(self.units, **by)
+
+    def list_areas(self) -> DataFrame:
+        """area, path, units of each configured area."""
+        table = self.area_table()
+        n = area_rules.like_prefix(self.units.select("file"), table).groupBy("area").agg(F.count("*").alias("units"))
+        return table.select(F.col("name").alias("area"), "path").join(n, "area", "left").na.fill(0, ["units"])
+
+    def area_table(self) -> DataFrame:
+        return self.spark.createDataFrame(area_rules.configured(self.areas), "name string, path string")
+
+    def area_documents(self) -> DataFrame:
+        """area, text: each area's document, and `map` for the whole."""
+        state = self.store.read("meta").filter("key = 'state_hash'").first()
+        whole = sinks.area_map(self.units, self.area_table(), state["value"] if state else "").select(F.lit("map").alias("area"), "text")
+        return sinks.area_documents(self.units, self.edges, self.area_table()).union(whole)
+
+    def _query_vector(self, text: str):
+        if self.embed is None:
+            raise ValueError("there is no embedding model to search by text")
+        return self.spark.range(1).select(self.embed(F.lit(text))).first()[0]
+
+    def search(self, query, k: int = schema.TOP_K, area: str | None = None) -> DataFrame:
+        """By a vector, or by text through the embedding in use; then only what
+        is in areas whose name holds the text."""
+        query = self._query_vector(query) if isinstance(query, str) else query
+        return vectors.hybrid(self.store.read("vectors"), self.units, self.edges, query, k, self.areas, area=area)
 
     def context(self, query, texts: DataFrame, budget: int = schema.BUDGET) -> DataFrame:
         found = self.search(query, 20).select("id", "similarity", (F.col("source") == "matched").alias("is_seed"))
         return context.fill(context.candidates(found, texts), budget)
 
-    def caller_closure(self, targets: DataFrame | None = None) -> DataFrame:
+    # --------------------------------------------------------------- reports
+
+    def caller_closure(self, targets: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+        """Of targets, of the units of changed files (file), or of all units."""
+        if files is not None:
+            targets = reports.units_of_files(self.units, files)
         return reports.closure_risk(self.units, self.edges, targets)
 
     def impact(self, target: str, depth: int = schema.DEPTH) -> DataFrame:
@@ -82,41 +152,100 @@ class Engine:
     def confidence(self, files: DataFrame, age: float) -> DataFrame:
         return confidence.state(self.units, self.edges, files, self.changes(files), list(self.tracked), age)
 
-    def silo(self, line_authors: DataFrame, top: int = schema.TOP, **filters) -> DataFrame:
-        return reports.top(reports.silos(self.units, self.edges, line_authors), "silo_score", top, **filters)
-
-    def coverage_gap(self, commits: DataFrame, now, covered: DataFrame | None = None, top: int = schema.TOP, **filters) -> DataFrame:
+    def decorated(self, rows: DataFrame, files: DataFrame, age: float, intents: DataFrame | None = None) -> DataFrame:
+        """Any result's rows as JSON with the confidence, and with the intent for
+        its areas where there is one and the rows name them."""
+        state = self.confidence(files, age).select("confidence", "caveats", "recommendation")
+        if intents is not None and "area" in rows.columns:
+            rows = intent.enrich(rows.withColumn("areas", F.array("area")), intents)
+        return intent.inject(rows, state)
+
+    def silo(self, line_authors: DataFrame, top: int = schema.TOP, now: int | None = None, **filters) -> DataFrame:
+        """now: the time of notes on the high rows, if these are to be written."""
+        out = reports.top(reports.silos(self.units, self.edges, line_authors), "silo_score", top, **filters)
+        if now is not None:
+            self.remember(notes.from_report(out, "silo", "silo_score", now))
+        return out
+
+    def coverage_gap(self, commits: DataFrame, at, covered: DataFrame | None = None, top: int = schema.TOP, now: int | None = None, **filters) -> DataFrame:
         lines = None if covered is None or covered.isEmpty() else reports.covered_by_lines(self.units, covered)
         own = lines if lines is not None else reports.covered_by_graph(self.units, self.edges)
-        return reports.top(reports.coverage_gaps(self.units, self.edges, own, reports.file_velocity(commits, now)), "gap_score", top, **filters)
+        out = reports.top(reports.coverage_gaps(self.units, self.edges, own, reports.file_velocity(commits, at)), "gap_score", top, **filters)
+        if now is not None:
+            self.remember(notes.from_report(out, "gap", "gap_score", now))
+        return out
 
-    def vuln(self, package: str, pinned: str | None = None) -> DataFrame:
+    def vuln(self, package: str, pinned: str | None = None, now: int | None = None) -> DataFrame:
         direct = reports.package_callers(self.units, self.edges, package)
-        return reports.remediation(reports.exposure(self.units, self.edges, direct), package, pinned)
+        exposed = reports.exposure(self.units, self.edges, direct)
+        if now is not None:
+            self.remember(notes.from_package(direct, exposed, package, now))
+        return reports.remediation(exposed, package, pinned)
 
-    def onboard(self) -> dict[str, DataFrame]:
-        return onboarding.plan(self.units, self.edges, self.areas)
+    def onboard(self, intents: DataFrame | None = None) -> dict[str, DataFrame]:
+        return onboarding.plan(self.units, self.edges, self.areas, notes=self.store.read("notes"), intent=intents)
 
     def viz_graph(self) -> tuple[DataFrame, DataFrame]:
         return viz.viz_nodes(self.units, self.edges, self.areas), viz.viz_edges(self.units, self.edges, self.areas)
 
+    # ----------------------------------------------------------------- notes
+
     def list_notes(self, **filters) -> DataFrame:
         return notes.list_notes(self.store.read("notes"), **filters)
 
     def remember(self, rows: DataFrame) -> None:
+        rows = cut(rows)
         self.store.append("notes", rows)
-        self.store.append("note_vectors", rows.select("id", self.embed(F.concat_ws(" ", "title", "body")).alias("embedding")))
+        if self.embed is not None:
+            self.store.append("note_vectors", rows.select("id", self.embed(F.concat_ws(" ", "title", "body")).alias("embedding")))
+
+    def forget(self, ids: DataFrame) -> None:
+        """Delete notes (id), their vectors and the edges at them."""
+        ids = cut(ids.select("id").distinct())
+        edges = notes.without(notes.without(self.store.read("note_edges"), ids, "from_id"), ids, "to_id")
+        # The notes go last: until then a repeated call finds them.
+        for table, rows in (("note_edges", edges), ("note_vectors", notes.without(self.store.read("note_vectors"), ids)), ("notes", notes.without(self.store.read("notes"), ids))):
+            self.store.replace(table, rows)
+
+    def link(self, rows: DataFrame) -> None:
+        """Upsert note edges, whose ends have to be notes."""
+        rows = cut(rows)
+        bad = notes.dangling(rows, self.store.read("notes")).first()
+        if bad is not None:
+            raise ValueError(f"no such note: {bad['from_id']} or {bad['to_id']}")
+        self.store.replace("note_edges", notes.upsert_edges(self.store.read("note_edges"), rows))
+
+    def export_notes(self, **filters) -> DataFrame:
+        return notes.to_markdown(self.list_notes(**filters))
 
     def recall(self, query: str, limit: int = schema.RECALL, **filters) -> DataFrame:
-        q = self.spark.range(1).select(self.embed(F.lit(query))).first()[0]
-        return notes.recall(self.store.read("notes"), self.store.read("note_vectors"), q, limit, **filters)
+        return notes.recall(self.store.read("notes"), self.store.read("note_vectors"), self._query_vector(query), limit, **filters)
 
     def trace(self, start: DataFrame, depth: int = schema.TRACE_DEPTH) -> DataFrame:
         return graph.note_ancestry(self.store.read("note_edges"), start, depth)
 
+    def decay(self, now: int, changed: DataFrame | None = None) -> int:
+        """Recompute the notes' decay; notes on changed units (id) pay for it.
+        How many have changed."""
+        before = self.store.read("notes")
+        if before.isEmpty():
+            return 0
+        after = cut(notes.recompute_decay(before, now, changed, self.half_life))
+        n = notes.changed_rows(before, after).first()["changed"]
+        if n:
+            self.store.replace("notes", after)
+        return n
+
+    # --------------------------------------------------------------- history
+
     def snapshot_health(self, now: int, commit: str | None = None) -> None:
         """Append the metrics to the history, which later builds keep."""
-        row = self.health()
+        row = cut(self.health())
         current = row.first()["unit_count"]
-        v = health.drift_velocity(self.store.read("health"), current, now)
-        self.store.append("health", row.crossJoin(v).withColumn("build_ts", F.lit(now)).withColumn("commit_hash", F.lit(commit)))  # one row each
+        v = cut(health.drift_velocity(self.store.read("health"), current, now))
+        self.store.append("health", row.crossJoin(v).withColumn("build_ts", F.lit(now).cast("long")).withColumn("commit_hash", F.lit(commit).cast("string")))  # one row each
+
+    def health_history(self, metric: str) -> DataFrame:
+        return health.deltas(self.store.read("health"), metric)
+
+

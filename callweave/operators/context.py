@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,32 +27,35 @@ def candidates(found: DataFrame, texts: DataFrame, summaries: DataFrame | None =
     return rows.select("id", "area", score.alias("score"), tiers.alias("tiers"))
 
 
-def fill(ranked: DataFrame, budget: int = 8000, max_candidates: int = 100_000) -> DataFrame:
+def fill(ranked: DataFrame, budget: int = 8000) -> DataFrame:
     """id, ord, tier, tokens of what fits, best first; null tier for what
-    doesn't. The fill depends on the order, so it is one task's work; a query's
-    candidates are its seeds and their neighbours, and their number is checked."""
-    n = ranked.count()
-    if n > max_candidates:
-        raise ValueError(f"{n} candidates; at most {max_candidates} are filled in")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, seen, out = 0, set(), []
-        for k, r in enumerate(pdf.sort_values(["score", "id"], ascending=[False, True]).itertuples(), 0):
-            left, chosen = budget - used, (None, 0)
-            for t in r.tiers if left > NAME_ONLY else ():
-                name, size = t["tier"], t["size"]
-                if name in ("full", "area") and not size or name == "area" and (not r.area or r.area in seen):
-                    continue
-                if t["tokens"] <= left:
-                    chosen = (name, t["tokens"])
-                    if name == "area":
-                        seen.add(r.area)
-                    break
-            used += chosen[1]
-            out.append((r.id, k, chosen[0], chosen[1]))
-        return pd.DataFrame(out, columns=["id", "ord", "tier", "tokens"])
-
-    return ranked.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "id string, ord long, tier string, tokens long")
+    doesn't. The fill depends on the order, so one task does it: candidates
+    are sorted, which may spill, and pass through row by row; it holds the areas
+    that it has told of, which are at most as many as the budget has tokens."""
+    schema = pa.schema([("id", pa.string()), ("ord", pa.int64()), ("tier", pa.string()), ("tokens", pa.int64())])
+
+    def run(batches):
+        used, seen, k = 0, set(), 0
+        for batch in batches:
+            out = []
+            for id_, area, tiers in zip(*(batch.column(c).to_pylist() for c in ("id", "area", "tiers"))):
+                left, chosen = budget - used, (None, 0)
+                for t in tiers if left > NAME_ONLY else ():
+                    name, size = t["tier"], t["size"]
+                    if name in ("full", "area") and not size or name == "area" and (not area or area in seen):
+                        continue
+                    if t["tokens"] <= left:
+                        chosen = (name, t["tokens"])
+                        if name == "area":
+                            seen.add(area)
+                        break
+                used += chosen[1]
+                out.append((id_, k, *chosen))
+                k += 1
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    return ranked.repartition(1).sortWithinPartitions(F.desc("score"), "id").mapInArrow(run, "id string, ord long, tier string, tokens long")
 
 
 def export_xml(filled: DataFrame) -> DataFrame:

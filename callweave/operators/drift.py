@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +26,18 @@ def last_status(changes: DataFrame) -> DataFrame:
 
 def state_hash(hashes: DataFrame) -> DataFrame:
     """One row: the hash of all file hashes in order. The hash is defined over
-    the whole list, 65 bytes a file, so the list is joined in one task."""
-    return hashes.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), "\n"), 256).alias("state_hash"))
+    the whole list, so one task digests it, as it sorts it: spilled, not held."""
+    hashes = hashes.select("hash").filter("hash is not null").repartition(1).sortWithinPartitions("hash")
+
+    def digest(batches):
+        state, first = hashlib.sha256(), True
+        for batch in batches:
+            for value in batch.column("hash"):
+                state.update((b"" if first else b"\n") + value.as_py().encode())
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], names=["state_hash"])
+
+    return hashes.mapInArrow(digest, "state_hash string")
 
 
 def unit_drift(indexed: DataFrame, current: DataFrame) -> DataFrame:

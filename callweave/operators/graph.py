@@ -73,8 +73,20 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return cut(e.union(e.select("dst_id", "src_id")).distinct())
 
 
-def two_hops(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False) -> DataFrame:
-    """id of what is at most two steps from the seeds, in either direction."""
+def two_hops(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False, few: bool = False) -> DataFrame:
+    """id of what is at most two steps from the seeds, in either direction.
+    few: the seeds are known to be few (a search's top k), so that nothing need
+    be written between the steps."""
+    if few:
+        e = calls(edges)
+        both = e.select("src_id", "dst_id").union(e.select("dst_id", "src_id"))
+        near = lambda ids: both.join(F.broadcast(ids.withColumnRenamed("id", "src_id")), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct()
+        start = seeds.select("id").distinct()
+        one = near(start)
+        # The neighbours of a few units can be many: no broadcast.
+        two = both.join(one.withColumnRenamed("id", "src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("id"))
+        found = one.union(two).distinct()
+        return found.union(start).distinct() if include_seeds else found.join(start, "id", "left_anti")
     both = both_ways(edges)
     start = cut(seeds.select("id").distinct())
 
@@ -105,39 +117,56 @@ def update_scope(units: DataFrame, edges: DataFrame, files: DataFrame) -> DataFr
     return units.join(near, "id", "left_semi").select("file").union(files.select("file")).distinct()
 
 
-def reach(units: DataFrame, edges: DataFrame, seeds: DataFrame, through: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+def reach(units: DataFrame, edges: DataFrame, seeds: DataFrame, through: DataFrame | None = None) -> DataFrame:
     """id of the units that the seeds reach along calls. With `through` only
     its units are entered, and only they are returned; without it any unit is,
-    and the seeds aren't returned. Each round is written, so lineage stays
-    short; the frontier shrinks to nothing on any graph."""
+    and the seeds aren't returned. Rounds go on until nothing new is met, which
+    every graph comes to; each is written, so lineage stays short, and what has
+    been seen is written anew every few rounds, so it is few files."""
     adj = cut(adjacency(units, edges) if through is None else adjacency(units, edges).join(through.select(F.col("id").alias("dst_id")), "dst_id", "left_semi").select("src_id", "dst_id"))
-    seen = cut(seeds.select("id").distinct())
-    frontier, found = seen, None
-    for _ in range(max_rounds):
-        step = adj.join(frontier.withColumnRenamed("id", "src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct()
-        frontier = cut(step.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            break
-        found = frontier if found is None else found.union(frontier)
-        seen = seen.union(frontier)
-    else:
-        raise RuntimeError(f"reachability did not end in {max_rounds} rounds")
-    return found if found is not None else seeds.select("id").limit(0)
+    start = cut(seeds.select("id").distinct())
+    seen = _rounds(start, ["id"], lambda frontier: adj.join(frontier.withColumnRenamed("id", "src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct())
+    return seen.join(start, "id", "left_anti")
 
 
-def transitive_callers(units: DataFrame, edges: DataFrame, roots: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """root, n: how many units reach each root along calls."""
-    back = cut(adjacency(units, edges).select(F.col("dst_id").alias("id"), F.col("src_id").alias("caller")))
-    seen = cut(roots.select(F.col("id").alias("root"), F.col("id")).distinct())
-    frontier = seen
-    for _ in range(max_rounds):
-        step = frontier.join(back, "id").select("root", F.col("caller").alias("id")).distinct()
-        frontier = cut(step.join(seen, ["root", "id"], "left_anti"))
+#: Rounds after which what has been seen is written as one.
+MERGE = 16
+
+
+def _rounds(seen: DataFrame, key: list[str], step) -> DataFrame:
+    """All that step leads to from the rows seen, round by round."""
+    frontier, parts = seen, 1
+    while True:
+        frontier = cut(step(frontier).join(seen, key, "left_anti"))
         if frontier.isEmpty():
-            break
-        seen = seen.union(frontier)
-    else:
-        raise RuntimeError(f"closure did not end in {max_rounds} rounds")
+            return seen
+        seen, parts = seen.union(frontier), parts + 1
+        if parts == MERGE:
+            seen, parts = cut(seen), 1
+
+
+def layers(nodes: DataFrame, successors: DataFrame) -> DataFrame:
+    """id, layer: 0 for nodes (id) without a successor (src_id, dst_id), else
+    one more than the highest layer of the successors; nodes on a cycle, and
+    those that lead to one, share a layer behind all others. A round a layer."""
+    left, edges, done, k = cut(nodes.select("id").distinct()), cut(successors.filter("src_id <> dst_id").select("src_id", "dst_id").distinct()), None, 0
+    while True:
+        free = cut(left.join(edges.select(F.col("src_id").alias("id")), "id", "left_anti").select("id", F.lit(k).cast("long").alias("layer")))
+        rest = left.join(free, "id", "left_anti")
+        if free.isEmpty():
+            held = rest.select("id", F.lit(k).cast("long").alias("layer"))
+            return held if done is None else done.union(held)
+        done = free if done is None else done.union(free)
+        left, edges, k = cut(rest), cut(edges.join(free.select(F.col("id").alias("dst_id")), "dst_id", "left_anti")), k + 1
+
+
+def transitive_callers(units: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, n: how many units reach each root along calls. The pairs of root
+    and caller are written, so the roots are an area or a report's top, not all
+    units."""
+    back = cut(adjacency(units, edges).select(F.col("dst_id").alias("id"), F.col("src_id").alias("caller")))
+    start = cut(roots.select(F.col("id").alias("root"), F.col("id")).distinct())
+    seen = _rounds(start, ["root", "id"], lambda frontier: frontier.join(back, "id").select("root", F.col("caller").alias("id")).distinct())
     return seen.groupBy("root").agg((F.count("*") - 1).alias("n"))
 
 

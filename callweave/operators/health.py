@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import trend
 from ..functions.text import is_test_name
+from ..lineage import cut
 from . import graph
 from .areas import first_prefix
 
@@ -21,8 +22,12 @@ def _share(part, whole, times: float = 1.0) -> Column:
 
 def placed_edges(units: DataFrame, edges: DataFrame, areas) -> DataFrame:
     """Valid edges with the areas of both ends."""
+    return placed(units, graph.valid_edges(units, edges), areas)
+
+
+def placed(units: DataFrame, valid: DataFrame, areas) -> DataFrame:
     area = units.select("id", first_prefix("file", areas).alias("area"))
-    e = graph.valid_edges(units, edges).select("src_id", "dst_id", "rel_type")
+    e = valid.select("src_id", "dst_id", "rel_type")
     e = e.join(area.select(F.col("id").alias("src_id"), F.col("area").alias("src_area")), "src_id")
     return e.join(area.select(F.col("id").alias("dst_id"), F.col("area").alias("dst_area")), "dst_id")
 
@@ -67,6 +72,11 @@ def test_surface(units: DataFrame, edges: DataFrame) -> DataFrame:
 
 def hub_concentration(units: DataFrame, edges: DataFrame) -> DataFrame:
     """Share of edges at the best-linked twentieth of units, ties included."""
+    return hub_edges(units, edges).crossJoin(graph.calls(edges).agg(F.count("*").alias("n"))).select(_share(F.col("hub"), F.col("n"), 100.0).alias("hub_concentration"))  # one row each
+
+
+def hub_edges(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row, hub: valid edges at the best-linked twentieth of units."""
     degree = graph.degrees(units, edges).select("id", (F.col("n_in") + F.col("n_out")).alias("degree"))
     # The threshold row from counts by degree, not from ranking all units.
     by = degree.groupBy("degree").agg(F.count("*").alias("n"))
@@ -75,8 +85,7 @@ def hub_concentration(units: DataFrame, edges: DataFrame) -> DataFrame:
     hubs = degree.crossJoin(above).filter("degree >= least and degree > 0").select("id")  # one row
     e = graph.valid_edges(units, edges).select("src_id", "dst_id")
     e = e.join(hubs.select(F.col("id").alias("src_id"), F.lit(True).alias("a")), "src_id", "left").join(hubs.select(F.col("id").alias("dst_id"), F.lit(True).alias("b")), "dst_id", "left")
-    touched = e.agg(F.count_if(F.col("a").isNotNull() | F.col("b").isNotNull()).alias("hub"))
-    return touched.crossJoin(graph.calls(edges).agg(F.count("*").alias("n"))).select(_share(F.col("hub"), F.col("n"), 100.0).alias("hub_concentration"))  # one row each
+    return e.agg(F.count_if(F.col("a").isNotNull() | F.col("b").isNotNull()).alias("hub"))
 
 
 def caller_counts(units: DataFrame, edges: DataFrame, areas) -> DataFrame:
@@ -121,9 +130,15 @@ def sparkline(snapshots: DataFrame, metric: str) -> DataFrame:
 
 
 def metrics(units: DataFrame, edges: DataFrame, areas) -> DataFrame:
-    """All metrics of the graph itself in one row."""
-    out = coupling(units, edges, areas)
-    for one in (average_closure(units, edges), dead_share(units, edges), cohesion(units, edges, areas), test_surface(units, edges), hub_concentration(units, edges)):
-        out = out.crossJoin(one)  # one row each
-    counts = units.agg(F.count("*").alias("unit_count")).crossJoin(graph.calls(edges).agg(F.count("*").alias("edge_count")))
-    return out.crossJoin(counts)
+    """All metrics of the graph itself in one row. Valid edges are found once
+    and written; what divides by all edges but boundaries gets their number."""
+    valid = cut(graph.valid_edges(units, edges).select("src_id", "dst_id", "rel_type"))
+    n = graph.calls(edges).agg(F.count("*").alias("edge_count"))
+    own = units.agg(F.count("*").alias("unit_count"))
+    cross = placed(units, valid, areas).agg(F.count_if(F.col("src_area") != F.col("dst_area")).alias("cross"))
+    out = cross.crossJoin(n).crossJoin(own)  # one row each
+    for one in (average_closure(units, valid), dead_share(units, valid), cohesion(units, valid, areas), test_surface(units, valid), hub_edges(units, valid)):
+        out = out.crossJoin(one)
+    coupling_ = _share(F.col("cross"), F.col("edge_count")).alias("coupling")
+    hub = _share(F.col("hub"), F.col("edge_count"), 100.0).alias("hub_concentration")
+    return out.select(coupling_, "avg_blast", "dead_code_pct", "cohesion", "test_surface", hub, "unit_count", "edge_count")

@@ -1,5 +1,6 @@
-"""Captures and units -> edges. A capture is matched with one equi-join on its
-file or callee, and the first match is taken with a partial aggregation."""
+"""Captures and units -> edges. A capture meets the units over its line in bins
+of lines, names in an equi-join on the callee, and the first match is taken with
+a partial aggregation."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import callee_name, import_name
 from ..schema import BOUNDARY, EXTERNAL, EXTERNAL_PREFIX, IMPORT, LOCAL
+from .spans import within
 
 
 def keyed(captures: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def containing(captures: DataFrame, units: DataFrame, mode: str = "first") -> Da
     spans = units.select(F.col("id").alias("uid"), "file", "line_start", "line_end")
     key = F.struct("line_start", "uid")
     pick = F.min_by("uid", key) if mode == "first" else F.max_by("uid", key)
-    held = captures.join(spans, "file").filter("line between line_start and line_end")
+    held = within(captures, spans)
     return held.groupBy("cap", "capture_name", "text", "file", "line").agg(pick.alias("src_id"))
 
 

@@ -10,7 +10,7 @@ from ..schema import HALF_LIFE
 from . import vectors
 from .graph import note_ancestry
 
-__all__ = ["list_notes", "recall", "recompute_decay", "stale_count", "attach", "anchor", "note_ancestry", "from_report"]
+__all__ = ["list_notes", "recall", "recompute_decay", "stale_count", "attach", "anchor", "note_ancestry", "from_report", "from_package", "upsert_edges", "without"]
 
 
 def list_notes(notes: DataFrame, unit: str | None = None, area: str | None = None, type_: str | None = None, include_stale: bool = False, limit: int | None = None) -> DataFrame:
@@ -69,6 +69,34 @@ def _all():
     return Window.partitionBy(F.lit(1))
 
 
+def without(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Notes, their vectors or edges without those of the given notes (id)."""
+    return rows.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_anti").select(rows.columns)
+
+
+def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Note edges with new ones in place of those of the same ends and kind."""
+    key = ["from_id", "to_id", "rel_type"]
+    latest = new.groupBy(key).agg(F.max(F.struct("created_ts", "author")).alias("e")).select(*key, "e.created_ts", "e.author")
+    return edges.join(latest.select(key), key, "left_anti").select(edges.columns).unionByName(latest.select(edges.columns))
+
+
+def dangling(edges: DataFrame, notes: DataFrame) -> DataFrame:
+    """Edges of which an end is no note."""
+    ends = edges.select("from_id", "to_id", F.explode(F.array("from_id", "to_id")).alias("id"))
+    return ends.join(notes.select("id"), "id", "left_anti").select("from_id", "to_id").distinct()
+
+
+def from_package(direct: DataFrame, exposed: DataFrame, package: str, now: int) -> DataFrame:
+    """A warning for each direct caller of a package (id, dst; and what exposure
+    tells of it: id, entry, level)."""
+    rows = direct.join(exposed.select("id", "entry", "level"), "id")
+    open_ = F.when(F.col("entry") == F.col("id"), "An entry: input from outside reaches this call.").otherwise("Called from inside; follow its callers to the entries.")
+    body = F.concat(F.format_string(f"Calls %s of {package}. ", F.col("dst")), open_)
+    key = F.sha2(F.concat_ws("|", F.lit("vuln"), F.lit(package), F.col("id"), F.lit(now).cast("string")), 256)
+    return rows.select(key.alias("id"), F.col("id").alias("unit_id"), F.substring_index(F.substring_index("id", "::", 1), "/", 1).alias("area"), F.lit("warning").alias("type"), F.lit(f"Calls {package}: look for advisories before a change").alias("title"), body.alias("body"), F.lit("agent:vuln").alias("author"), F.lit(now).cast("long").alias("created_ts"), F.array(F.lit("security"), F.lit("vuln"), F.lit(package)).alias("tags"), F.lit(1.0).alias("decay_score"), F.lit("active").alias("status"))
+
+
 def from_report(report: DataFrame, kind: str, score: str, now: int) -> DataFrame:
     """Notes for the high and critical rows of a report."""
     rows = report.filter(F.col("label").isin("HIGH", "CRITICAL"))

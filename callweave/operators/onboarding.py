@@ -82,8 +82,14 @@ def things_to_know(notes: DataFrame) -> DataFrame:
     return notes.filter("status <> 'stale'").withColumn("rank", rank).filter("rank is not null").select("rank", "id", "title").orderBy("rank", "id")
 
 
-def plan(units: DataFrame, edges: DataFrame, areas, top: int = 10) -> dict[str, DataFrame]:
-    return {
+def plan(units: DataFrame, edges: DataFrame, areas, top: int = 10, notes: DataFrame | None = None, intent: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The parts of a plan; things to know and the intent where there are any."""
+    more = {}
+    if notes is not None:
+        more["things_to_know"] = things_to_know(notes)
+    if intent is not None:
+        more["intent"] = intent
+    return more | {
         "entry_points": entry_points(units, edges, areas, top),
         "hotspots": hotspots(units, edges, areas, top),
         "sections": sections(units, edges, areas),

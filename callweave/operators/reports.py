@@ -8,8 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from ..lineage import cut
 from ..schema import BOUNDARY, EXTERNAL_PREFIX
 from . import areas, graph
+from .spans import within
 
 
 def depth_counts(closure: DataFrame) -> DataFrame:
@@ -21,7 +23,7 @@ def closure_risk(units: DataFrame, edges: DataFrame, targets: DataFrame | None =
     """Of each target (all units, if none are given): callers at one and two
     steps, areas, tests, risk and its label."""
     targets = units if targets is None else targets
-    closure = graph.callers(units, edges, depth, targets)
+    closure = cut(graph.callers(units, edges, depth, targets))  # read three times
     tests = graph.covering_tests(units, edges, closure, targets).groupBy("target").agg(F.count("*").alias("tests"))
     out = targets.select(F.col("id").alias("target")).join(depth_counts(closure), "target", "left").join(graph.area_spread(units, closure, targets), "target", "left").join(tests, "target", "left")
     out = out.na.fill(0, ["direct", "indirect", "callers", "tests"]).crossJoin(areas.total(units))  # one row
@@ -30,6 +32,11 @@ def closure_risk(units: DataFrame, edges: DataFrame, targets: DataFrame | None =
     return out.select("target", "direct", "indirect", "spread", "tests", "risk", scores.risk_label("risk").alias("label"))
 
 
+def units_of_files(units: DataFrame, files: DataFrame) -> DataFrame:
+    """Units of changed files (file), modules left out: targets of the reports."""
+    return units.filter("type <> 'module'").join(files.select("file").distinct(), "file", "left_semi").select(units.columns)
+
+
 def risk_rollup(units: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
     """One row: distinct callers of all targets, and the highest label."""
     rank = F.when(F.col("label") == "HIGH", 3).when(F.col("label") == "MEDIUM", 2).otherwise(1)
@@ -60,7 +67,7 @@ def impact(units: DataFrame, edges: DataFrame, targets: DataFrame, depth: int =
 
 
 def impact_summary(units: DataFrame, edges: DataFrame, targets: DataFrame, depth: int = 3) -> DataFrame:
-    closure = graph.callers(units, edges, depth, targets)
+    closure = cut(graph.callers(units, edges, depth, targets))
     rows = targets.select(F.col("id").alias("target"), text.loc("line_start", "line_end").alias("loc"))
     n = closure.groupBy("target").agg(F.count("*").alias("callers"))
     tests = graph.covering_tests(units, edges, closure, targets).groupBy("target").agg(F.count("*").alias("tests"))
@@ -71,7 +78,7 @@ def impact_summary(units: DataFrame, edges: DataFrame, targets: DataFrame, depth
 def ownership(units: DataFrame, line_authors: DataFrame) -> DataFrame:
     """id, authors, primary_author (most lines; of equals the one seen first),
     share. line_authors: file, line, author. Without lines: unknown, 1.0."""
-    own = units.select("id", "file", "line_start", "line_end").join(line_authors, "file").filter("line between line_start and line_end")
+    own = within(line_authors, units.select("id", "file", "line_start", "line_end"))
     by = own.groupBy("id", "author").agg(F.count("*").alias("lines"), F.min("line").alias("first"))
     best = by.groupBy("id").agg(F.count("*").alias("authors"), F.max_by("author", F.struct("lines", -F.col("first"), "author")).alias("primary_author"), (F.max("lines") / F.sum("lines")).alias("share"))
     out = units.select("id").join(best, "id", "left")
@@ -107,7 +114,7 @@ def file_velocity(commits: DataFrame, now, days: int = 30) -> DataFrame:
 def covered_by_lines(units: DataFrame, lines: DataFrame) -> DataFrame:
     """id of units over a covered line (file, line)."""
     spans = units.select("id", "file", "line_start", "line_end")
-    return spans.join(lines.select("file", "line").distinct(), "file").filter("line between line_start and line_end").select("id").distinct()
+    return within(lines.select("file", "line").distinct(), spans).select("id").distinct()
 
 
 def covered_by_graph(units: DataFrame, edges: DataFrame) -> DataFrame:
@@ -120,7 +127,7 @@ def coverage_gaps(units: DataFrame, edges: DataFrame, covered: DataFrame, veloci
     rows = units.filter("type <> 'module'").filter(~text.in_tests("file"))
     total = rows.agg(F.greatest(F.count_distinct(areas.head("file")), F.lit(1)).alias("total_areas"))
     open_ = rows.join(covered.select("id"), "id", "left_anti").filter("file <> '' and line_start > 0")
-    closure = graph.callers(units, edges, 2, open_)
+    closure = cut(graph.callers(units, edges, 2, open_))
     n = depth_counts(closure).withColumnRenamed("target", "id")
     spread = graph.area_spread(units, closure, open_).withColumnRenamed("target", "id")
     out = open_.join(n, "id", "left").join(spread, "id", "left").join(velocity, "file", "left").na.fill(0, ["direct", "indirect", "callers", "velocity"])
@@ -168,44 +175,22 @@ def upstream_count(units: DataFrame, edges: DataFrame, direct: DataFrame, depth:
     return graph.callers(units, edges, depth, inner).agg(F.count_distinct("caller").alias("upstream"))
 
 
-def refactor_sequence(units: DataFrame, edges: DataFrame, target: DataFrame, depth: int = 2, max_callers: int = 100_000) -> DataFrame:
-    """step, file, ids: files of the callers, direct ones first, then the
-    target. The order of one target's caller graph is found on the driver; its
-    size is checked first."""
-    spark = units.sparkSession
-    closure = graph.callers(units, edges, depth, target)
-    ids = graph.with_target(closure, target).select("id").distinct()
+def refactor_sequence(units: DataFrame, edges: DataFrame, target: DataFrame, depth: int = 2) -> DataFrame:
+    """step, file, ids: the files of one target's callers in the order of work,
+    then the target's own. What calls nothing else among the callers comes
+    first, then what only calls that, by graph.layers; callers on a cycle and
+    above it come last. A file is worked on where its first caller stands; ties
+    by name. No target gives no step."""
+    goal = cut(target.select("id").distinct())
+    ids = cut(graph.with_target(graph.callers(units, edges, depth, goal), goal).select("id").distinct())
     own = units.join(ids, "id", "left_semi").select("id", "file")
-    if own.count() > max_callers:
-        raise ValueError(f"more than {max_callers} callers")
     inner = graph.adjacency(units, edges)
     inner = inner.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
-    calls: dict[str, list[str]] = {}
-    for r in inner.collect():
-        calls.setdefault(r["src_id"], []).append(r["dst_id"])
-    files = {r["id"]: r["file"] for r in own.collect()}
-    goal = target.first()["id"]
-    order = topological(files, calls)[::-1]
-    steps: dict[str, list[str]] = {}
-    for i in order:
-        if i != goal:
-            steps.setdefault(files[i], []).append(i)
-    rows = [(k, f, sorted(own_ids)) for k, (f, own_ids) in enumerate(steps.items(), 1)]
-    return spark.createDataFrame([*rows, (len(rows) + 1, files[goal], [goal])], "step long, file string, ids array<string>")
-
-
-def topological(nodes, successors: dict[str, list[str]]) -> list[str]:
-    """Kahn's order; ties by name; what cycles hold back comes last."""
-    degree = dict.fromkeys(sorted(nodes), 0)
-    for out in successors.values():
-        for n in out:
-            degree[n] += 1
-    ready, order = [n for n, d in degree.items() if not d], []
-    for n in ready:
-        order.append(n)
-        for m in sorted(successors.get(n, ())):
-            degree[m] -= 1
-            if not degree[m]:
-                ready.append(m)
-    done = set(order)
-    return order + [n for n in degree if n not in done]
+    inner = inner.join(goal.withColumnRenamed("id", "src_id"), "src_id", "left_anti")  # the target's own calls don't count
+    callers = own.join(goal, "id", "left_anti").join(graph.layers(ids, inner), "id")
+    by_file = callers.groupBy("file").agg(F.min("layer").alias("layer"), F.array_sort(F.collect_set("id")).alias("ids"))
+    last = own.join(goal, "id", "left_semi").groupBy("file").agg(F.lit(None).cast("long").alias("layer"), F.array_sort(F.collect_set("id")).alias("ids"))
+    every = by_file.withColumn("last", F.lit(0)).unionByName(last.withColumn("last", F.lit(1)))
+    # A row a file of one target's callers.
+    step = F.row_number().over(W.orderBy("last", "layer", "file"))
+    return every.select(step.cast("long").alias("step"), "file", "ids")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import similarity
 from . import graph
-from .areas import relative
+from .areas import contains, relative
 
-#: Query vectors that one search may bring: they are copied to every task.
+#: Query vectors that one pass brings: they are copied to every task.
 MAX_QUERIES = 10_000
 
 
@@ -27,12 +29,17 @@ def knn(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "l2")
     return found.orderBy("distance", "id").limit(k).withColumn("similarity", similarity("distance", metric))
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query, id, distance, rank for up to MAX_QUERIES queries (id, embedding).
-    Queries are counted before they are sent to all tasks."""
-    n = queries.count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"{n} queries; at most {MAX_QUERIES} are searched at once")
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, most: int = MAX_QUERIES) -> DataFrame:
+    """query, id, distance, rank for queries (id, embedding). Queries are counted
+    before they are sent to all tasks; more than most are dealt into blocks of
+    about that many, each with a pass of its own."""
+    blocks = -(-queries.count() // most) if most else 1
+    block = F.pmod(F.xxhash64("id"), F.lit(max(1, blocks)))
+    passes = [_knn_block(vectors, queries.filter(block == b), k) for b in range(max(1, blocks))]
+    return functools.reduce(DataFrame.unionByName, passes)
+
+
+def _knn_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     q = F.broadcast(queries.select(F.col("id").alias("query"), F.col("embedding").cast("array<double>").alias("q")))
     v = vectors.select("id", F.col("embedding").cast("array<double>").alias("v"))
     far = q.join(v, F.col("query") != F.col("id")).select("query", "id", l2("v", "q").alias("distance"))
@@ -40,20 +47,32 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return far.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def hybrid(vectors: DataFrame, units: DataFrame, edges: DataFrame, query: list[float], k: int = 10, areas=None, metric: str = "l2") -> DataFrame:
+def hybrid(vectors: DataFrame, units: DataFrame, edges: DataFrame, query: list[float], k: int = 10, areas=None, metric: str = "l2", area: str | None = None) -> DataFrame:
     """id, source (matched or neighbour), distance, similarity, area: the k
-    nearest units and what is two steps from them."""
+    nearest units and what is two steps from them. area: a part of an area's
+    name, of which only the units stay; the k nearest are chosen before."""
     hits = knn(vectors, query, k, metric)
-    near = graph.two_hops(edges, hits).select("id", F.lit("neighbour").alias("source"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("double").alias("similarity"))
+    near = graph.two_hops(edges, hits, few=True).select("id", F.lit("neighbour").alias("source"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("double").alias("similarity"))
     every = hits.select("id", F.lit("matched").alias("source"), "distance", "similarity").unionByName(near)
-    area = relative("file", areas) if areas else F.lit(None).cast("string")
-    return every.join(units.select("id", "name", "file"), "id").withColumn("area", area)
+    place = relative("file", areas) if areas else F.lit(None).cast("string")
+    found = every.join(units.select("id", "name", "file"), "id").withColumn("area", place)
+    return found if area is None else found.filter(contains("area", area))
 
 
 def affected_areas(found: DataFrame) -> DataFrame:
     return found.agg(F.array_sort(F.collect_set("area")).alias("areas"))  # a set of configured areas
 
 
+def embedder(name: str):
+    """The embedding of a name: `local`, the words hashed; `none`, which is
+    None, and searches by text fail; other names are errors."""
+    if name == "local":
+        return hashed_embedding
+    if name == "none":
+        return None
+    raise ValueError(f"no embedding model {name!r}; there are local and none")
+
+
 def hashed_embedding(text: Column, width: int = 64) -> Column:
     """A deterministic stand-in for a model: words hashed into width places,
     scaled to length 1."""

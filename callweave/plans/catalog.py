@@ -146,12 +146,18 @@ def uncovered_callers(spark, sf):
     return graph.uncovered(u, e, graph.callers(u, e), u)
 
 
-@query("SELECT id, file FROM (" + G.replace("WITH RECURSIVE", "WITH") + "SELECT id, file, line_start FROM g_units WHERE file = 'supply/n3.py' AND line_start <= 40 AND line_end >= 40 AND type <> 'module') ORDER BY file, line_start, id LIMIT 1")
+_SPOT = ", spot AS (SELECT 'supply/n' || s_nationkey || '.py' AS at_file, s_suppkey + 3 AS at_line FROM supplier ORDER BY s_suppkey DESC LIMIT 1)"
+
+
+@query(G + _SPOT + " SELECT id, file FROM g_units, spot WHERE file = at_file AND line_start <= at_line AND line_end >= at_line AND type <> 'module' ORDER BY file, line_start, id LIMIT 1")
 def resolve_target(spark, sf):
-    return reports.resolve(units(spark, sf), "supply/n3.py:40").select("id", "file")
+    """A place in the file of the last supplier."""
+    s = table(spark, sf, "supplier").orderBy(F.desc("s_suppkey")).first()
+    return reports.resolve(units(spark, sf), f"supply/n{s['s_nationkey']}.py:{s['s_suppkey'] + 3}").select("id", "file")
 
 
-@query()
+# None of the callers calls another, so that all are of the first layer.
+@query(G + ", steps AS (SELECT p.file, 0 AS last, list_sort(list(id)) AS ids FROM closure JOIN placed p ON p.id = caller WHERE target = 's:5' GROUP BY 1 UNION ALL SELECT file, 1, [id] FROM placed WHERE id = 's:5') SELECT row_number() OVER (ORDER BY last, file) AS step, file, ids FROM steps")
 def refactor_sequence(spark, sf):
     u, e = graph_of(spark, sf)
     return reports.refactor_sequence(u, e, u.filter("id = 's:5'"))
@@ -282,7 +288,19 @@ def area_neighbours(spark, sf):
     return onboarding.neighbours(onboarding.area_dependencies(*graph_of(spark, sf), AREAS), "crm")
 
 
-@query()
+_STEP = "(SELECT c.area FROM config c WHERE NOT list_contains(done, c.area) ORDER BY (SELECT count(*) FROM needs n WHERE n.src_area = c.area AND NOT list_contains(done, n.dst_area)), c.area LIMIT 1)"
+_NEEDS = ", config AS (SELECT unnest(['geo', 'supply', 'catalog', 'crm']) AS area), needs AS (SELECT DISTINCT src_area, dst_area FROM e WHERE src_area <> dst_area AND src_area <> '__unknown__' AND dst_area <> '__unknown__')"
+
+
+def _reading(k: int) -> str:
+    """The areas read after k steps, one step inside the other."""
+    done = "CAST([] AS VARCHAR[])"
+    for _ in range(k):
+        done = f"(SELECT list_append(done, {_STEP}) FROM (SELECT {done} AS done))"
+    return done
+
+
+@query(G + _AREAS + _NEEDS + f" SELECT CAST(unnest(range(4)) AS BIGINT) AS ord, unnest({_reading(4)}) AS area")
 def reading_order(spark, sf):
     return onboarding.reading_order(*graph_of(spark, sf), AREAS)
 
@@ -427,13 +445,14 @@ def knn_batch(spark, sf):
 def vector_graph(spark, sf):
     """Vectors as units in a file a label, each calling the next of its label."""
     e = table(spark, sf, "embeddings")
+    n = e.count()
     key = F.concat(F.lit("v:"), F.col("vec_id").cast("string"))
     u = e.select(key.alias("id"), F.col("vec_id").cast("string").alias("name"), F.concat(F.lit("l"), F.col("label").cast("string"), F.lit("/a.py")).alias("file"))
-    step = e.select(key.alias("src_id"), F.concat(F.lit("v:"), ((F.col("vec_id") + 1) % 500).cast("string")).alias("dst_id"), F.lit("LOCAL_CALL").alias("rel_type"))
+    step = e.select(key.alias("src_id"), F.concat(F.lit("v:"), ((F.col("vec_id") + 1) % n).cast("string")).alias("dst_id"), F.lit("LOCAL_CALL").alias("rel_type"))
     return u, step
 
 
-@query(f"WITH e AS (SELECT 'v:' || vec_id AS src_id, 'v:' || ((vec_id + 1) % 500) AS dst_id FROM embeddings), b AS (SELECT * FROM e UNION SELECT dst_id, src_id FROM e), hits AS (SELECT 'v:' || v.vec_id AS id, {_DIST} AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, id LIMIT 10), one AS (SELECT DISTINCT dst_id AS id FROM b WHERE src_id IN (SELECT id FROM hits)), two AS (SELECT id FROM one UNION SELECT dst_id FROM b WHERE src_id IN (SELECT id FROM one)) SELECT id, 'matched' AS source, round(distance, 9) AS distance FROM hits UNION ALL SELECT id, 'neighbour', NULL FROM two WHERE id NOT IN (SELECT id FROM hits)")
+@query(f"WITH e AS (SELECT 'v:' || vec_id AS src_id, 'v:' || ((vec_id + 1) % (SELECT count(*) FROM embeddings)) AS dst_id FROM embeddings), b AS (SELECT * FROM e UNION SELECT dst_id, src_id FROM e), hits AS (SELECT 'v:' || v.vec_id AS id, {_DIST} AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, id LIMIT 10), one AS (SELECT DISTINCT dst_id AS id FROM b WHERE src_id IN (SELECT id FROM hits)), two AS (SELECT id FROM one UNION SELECT dst_id FROM b WHERE src_id IN (SELECT id FROM one)) SELECT id, 'matched' AS source, round(distance, 9) AS distance FROM hits UNION ALL SELECT id, 'neighbour', NULL FROM two WHERE id NOT IN (SELECT id FROM hits)")
 def hybrid_search(spark, sf):
     u, e = vector_graph(spark, sf)
     return rounded(vectors.hybrid(unit_vectors(spark, sf), u, e, first_vector(spark, sf)), "distance").select("id", "source", "distance")
@@ -481,13 +500,13 @@ def note_recall(spark, sf):
     return rounded(notes.recall(n, e.select("id", "embedding"), first_vector(spark, sf)).select("id", "distance"), "distance")
 
 
-_LINKS = "WITH RECURSIVE links AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS from_id, CAST(o_orderkey % 97 AS VARCHAR) AS to_id FROM orders), walk(start, id, depth) AS (SELECT DISTINCT to_id, to_id, 0 FROM links UNION SELECT w.start, l.from_id, w.depth + 1 FROM walk w JOIN links l ON l.to_id = w.id WHERE w.depth < 3)"
+_LINKS = "WITH RECURSIVE links AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS from_id, CAST(o_orderkey % 97 AS VARCHAR) AS to_id FROM orders), walk(start, id, depth) AS (SELECT DISTINCT to_id, to_id, 0 FROM links UNION SELECT w.start, l.from_id, w.depth + 1 FROM walk w JOIN links l ON l.to_id = w.id WHERE w.depth < 5)"
 
 
 @query(_LINKS + " SELECT start, id, min(depth) AS depth FROM walk GROUP BY 1, 2")
 def note_ancestry(spark, sf):
     e = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("from_id"), (F.col("o_orderkey") % 97).cast("string").alias("to_id")).distinct()
-    return graph.note_ancestry(e, e.select(F.col("to_id").alias("id")), 3)
+    return graph.note_ancestry(e, e.select(F.col("to_id").alias("id")))
 
 
 # --------------------------------------------------------- text, files, drift
@@ -578,13 +597,13 @@ def area_counts(spark, sf):
 def captures(spark, sf):
     """A line item as a call at its part's brand file, of its supplier or, for
     returned goods, of a name that no unit has."""
-    li = table(spark, sf, "lineitem").filter("l_linenumber = 1").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     callee = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("lib.f"), (F.col("l_orderkey") % 50).cast("string"))).when(F.col("l_returnflag") == "A", F.col("p_name")).otherwise(F.col("s_name"))
     return li.select(F.lit("call").alias("capture_name"), F.concat(callee, F.lit(" (x, y)")).alias("text"), F.concat(F.lit("catalog/"), F.translate("p_brand", "#", ""), F.lit(".py")).alias("file"), F.col("l_partkey").alias("line")).distinct()
 
 
 _CAPS = """, caps AS (SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 'lib.f' || (l_orderkey % 50) WHEN l_returnflag = 'A' THEN p_name ELSE s_name END AS callee, 'catalog/' || replace(p_brand, '#', '') || '.py' AS file, l_partkey AS line
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1),
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
 held AS (SELECT callee, c.file, line, min_by(id, (line_start, id)) AS first_id, max_by(id, (line_start, id)) AS inner_id FROM caps c JOIN g_units u ON u.file = c.file AND line BETWEEN line_start AND line_end GROUP BY 1, 2, 3)"""
 
 
@@ -673,7 +692,25 @@ def viz_graph(spark, sf):
     return viz.viz_nodes(*graph_of(spark, sf), AREAS)
 
 
-@query()
+# What the search finds, and a step of the fill for each candidate in order.
+_PACK = f"""WITH RECURSIVE e AS (SELECT 'v:' || vec_id AS src_id, 'v:' || ((vec_id + 1) % (SELECT count(*) FROM embeddings)) AS dst_id FROM embeddings),
+b AS (SELECT * FROM e UNION SELECT dst_id, src_id FROM e),
+hits AS (SELECT 'v:' || v.vec_id AS id, {_DIST} AS distance FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, id LIMIT 20),
+one AS (SELECT DISTINCT dst_id AS id FROM b WHERE src_id IN (SELECT id FROM hits)),
+two AS (SELECT id FROM one UNION SELECT dst_id FROM b WHERE src_id IN (SELECT id FROM one)),
+found AS (SELECT substr(id, 3) AS id, 0.6::DOUBLE * greatest(0, 1 - distance) + 0.4::DOUBLE AS score FROM hits UNION ALL SELECT substr(id, 3), 0.6::DOUBLE * 0 + 0.4::DOUBLE * 0.5::DOUBLE FROM two WHERE id NOT IN (SELECT id FROM hits)),
+texts AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, substr(text, 1, 200) AS head, source || '::' || doc_id AS label FROM documents),
+tiers AS (SELECT row_number() OVER (ORDER BY score DESC, id) - 1 AS ord, id, length(text) AS size, {", ".join(f"CASE WHEN length({c}) = 0 THEN 0 ELSE greatest(1, length({c}) // 4) END AS {n}" for c, n in (("text", "n_full"), ("head", "n_head"), ("label", "n_label")))} FROM found JOIN texts USING (id)),
+walk(ord, id, tier, tokens, used) AS (
+  SELECT CAST(-1 AS BIGINT), '', '', CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  UNION ALL SELECT t.ord, t.id, t.tier, t.tokens, w.used + t.tokens FROM walk w, LATERAL (
+    SELECT x.ord, x.id, CASE WHEN 8000 - w.used <= 12 THEN NULL WHEN size > 0 AND n_full <= 8000 - w.used THEN 'full' WHEN n_head <= 8000 - w.used THEN 'signature' WHEN n_label <= 8000 - w.used THEN 'name' END AS tier,
+      CAST(CASE WHEN 8000 - w.used <= 12 THEN 0 WHEN size > 0 AND n_full <= 8000 - w.used THEN n_full WHEN n_head <= 8000 - w.used THEN n_head WHEN n_label <= 8000 - w.used THEN n_label ELSE 0 END AS BIGINT) AS tokens
+    FROM tiers x WHERE x.ord = w.ord + 1) t)
+SELECT id, ord, tier, tokens FROM walk WHERE ord >= 0"""
+
+
+@query(_PACK)
 def context_pack(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("area"), F.col("text").alias("source"), F.substring("text", 1, 200).alias("signature"), F.concat_ws("::", "source", F.col("doc_id").cast("string")).alias("label"))
     u, e = vector_graph(spark, sf)

@@ -55,7 +55,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit(prefix), (F.col(c) if isinstance(c, str) else c).cast("string"))
 
     kind = F.when(F.col("l_returnflag") == "A", LOCAL).when(F.col("l_returnflag") == "N", EXTERNAL).otherwise(BOUNDARY)
-    out = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(key("p:", "l_partkey").alias("src_id"), key("s:", "l_suppkey").alias("dst_id"), kind.alias("rel_type")).distinct()
+    out = table(spark, sf_dir, "lineitem").select(key("p:", "l_partkey").alias("src_id"), key("s:", "l_suppkey").alias("dst_id"), kind.alias("rel_type")).distinct()
     out = out.union(table(spark, sf_dir, "supplier").select(key("s:", "s_suppkey"), key("n:", "s_nationkey"), F.lit(EXTERNAL)))
     out = out.union(table(spark, sf_dir, "customer").select(key("c:", "c_custkey"), key("n:", "c_nationkey"), F.lit(EXTERNAL)))
     n = table(spark, sf_dir, "nation")
@@ -71,7 +71,7 @@ SQL = """WITH RECURSIVE g_units AS (
   UNION ALL SELECT 'c:' || c_custkey, c_name, 'crm/' || c_mktsegment || '.py', 'function', CAST(c_custkey AS BIGINT), CAST(c_custkey + 4 AS BIGINT) FROM customer
   UNION ALL SELECT DISTINCT 'm:' || replace(p_brand, '#', ''), replace(p_brand, '#', ''), 'catalog/' || replace(p_brand, '#', '') || '.py', 'module', CAST(1 AS BIGINT), CAST(100000 AS BIGINT) FROM part
 ), g_edges AS (
-  SELECT DISTINCT 'p:' || l_partkey AS src_id, 's:' || l_suppkey AS dst_id, CASE l_returnflag WHEN 'A' THEN 'LOCAL_CALL' WHEN 'N' THEN 'EXTERNAL_CALL' ELSE 'RUNTIME_BOUNDARY' END AS rel_type FROM lineitem WHERE l_linenumber = 1
+  SELECT DISTINCT 'p:' || l_partkey AS src_id, 's:' || l_suppkey AS dst_id, CASE l_returnflag WHEN 'A' THEN 'LOCAL_CALL' WHEN 'N' THEN 'EXTERNAL_CALL' ELSE 'RUNTIME_BOUNDARY' END AS rel_type FROM lineitem
   UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey, 'EXTERNAL_CALL' FROM supplier
   UNION ALL SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 'EXTERNAL_CALL' FROM customer
   UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey, 'IMPORT' FROM nation

@@ -4,6 +4,8 @@ so that they are written by executors; and the lock of a build."""
 from __future__ import annotations
 
 import os
+import socket
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,23 @@ def as_json(rows: DataFrame, *extra: str) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns, *more)).alias("json"))
 
 
+def context_markdown(filled: DataFrame) -> DataFrame:
+    """A line of Markdown for each unit of a filled context."""
+    return filled.filter("tier is not null").select("ord", F.format_string("- `%s` (%s, %d tokens)", "id", "tier", "tokens").alias("line"))
+
+
+def health_table(snapshots: DataFrame, names: list[str]) -> DataFrame:
+    """A line of a table for each snapshot, with the given metrics to four
+    places, in the order of the builds."""
+    cells = [F.coalesce(F.format_number(F.col(n).cast("double"), 4), F.lit("-")) for n in names]
+    return snapshots.select("build_ts", F.concat(F.lit("| "), F.concat_ws(" | ", F.col("build_ts").cast("string"), *cells), F.lit(" |")).alias("line")).orderBy("build_ts")
+
+
+def exit_code(verdict: DataFrame) -> int:
+    """Of validate: 1 if the drift (one row) is structural, else 0."""
+    return int(verdict.first()["drift"] == "structural")
+
+
 def risk_comment(report: DataFrame, top: int = 20) -> DataFrame:
     """The lines of a review comment on the riskiest targets."""
     line = F.format_string("| %s | %s | %.2f | %d | %d |", "target", "label", "risk", "direct", "tests")
@@ -61,28 +80,45 @@ def find_units(units: DataFrame, name: str | None = None, file: str | None = Non
 
 
 class BuildLock:
-    """A file with the process that builds; one of a dead process is taken."""
+    """A file with the machine and process that build, created only where there
+    is none. One of a dead process of this machine, or one that names none, is
+    taken; whether a process of another machine lives is not known, so it holds."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.own = path, f"{socket.gethostname()} {os.getpid()}"
 
-    def _holder(self) -> int | None:
+    def _held(self) -> str | None:
         try:
             with open(self.path) as f:
-                pid = int(f.read())
-            os.kill(pid, 0)
-            return pid
+                held = f.read()
+            host, pid = held.split()
+            if host == socket.gethostname():
+                os.kill(int(pid), 0)
+            return held
         except PermissionError:
-            return -1
+            return held
         except (OSError, ValueError):
             return None
 
     def __enter__(self) -> BuildLock:
-        if (pid := self._holder()) is not None:
-            raise RuntimeError(f"process {pid} is building")
-        with open(self.path, "w") as f:
-            f.write(str(os.getpid()))
-        return self
+        # The name and its content appear in one step, and only if it is free.
+        draft = f"{self.path}.{uuid.uuid4().hex}"
+        with open(draft, "w") as f:
+            f.write(self.own)
+        try:
+            for last in (False, True):
+                try:
+                    os.link(draft, self.path)
+                    return self
+                except FileExistsError:
+                    held = self._held()
+                    if held is not None or last:
+                        raise RuntimeError(f"{held or 'another process'} is building") from None
+                    os.replace(self.path, f"{draft}.old")  # one of several takers gets it
+                    os.unlink(f"{draft}.old")
+        finally:
+            os.unlink(draft)
+        raise AssertionError
 
     def __exit__(self, *_) -> None:
         os.unlink(self.path)

@@ -27,11 +27,12 @@ def diff_files(diff: DataFrame) -> DataFrame:
 
 
 def log_commits(log: DataFrame) -> DataFrame:
-    """file, ts of `git log --name-only --format=%x01%ct` text."""
-    rows = log.select(F.posexplode(F.split("text", "\n")).alias("pos", "row"))
-    at = F.when(F.col("row").startswith("\x01"), F.timestamp_seconds(F.substring("row", 2, 20).cast("long")))
-    order = W.orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumn("ts", F.last(at, True).over(order)).filter(~F.col("row").startswith("\x01") & (F.trim("row") != "")).select(F.col("row").alias("file"), "ts")
+    """file, ts of `git log --name-only --format=%x01%ct` texts: each is cut at
+    its commits, whose first line is the time and whose other lines are files."""
+    commits = log.select(F.explode(F.split("text", "\x01")).alias("commit")).filter("trim(commit) <> ''")
+    lines = F.split("commit", "\n")
+    at = F.timestamp_seconds(F.trim(lines[0]).try_cast("long"))
+    return commits.select(F.explode(F.filter(lines, lambda x, i: (i > 0) & (F.trim(x) != ""))).alias("file"), at.alias("ts")).filter("ts is not null")
 
 
 def status_files(status: DataFrame) -> DataFrame:

@@ -153,12 +153,56 @@ def test_knn_and_hybrid(spark):
     u, e = make(spark, ["n1", "n2", "x"], calls(("x", "n1")))
     found = {r.id: r.source for r in vectors.hybrid(v, u, e, [1.0, 0, 0, 0], 1).collect()}
     assert found == {"n1": "matched", "x": "neighbour"}
+    whole = sorted(map(str, vectors.knn_batch(v, v, 2).collect()))
+    assert len(whole) == 10 and sorted(map(str, vectors.knn_batch(v, v, 2, most=2).collect())) == whole
+    assert vectors.knn_batch(v, v.limit(0)).count() == 0
+    u = u.withColumn("file", F.when(F.col("id") == "x", "lib/x.py").otherwise(F.col("file")))
+    in_area = vectors.hybrid(v, u, e, [1.0, 0, 0, 0], 1, {"Main": "a/", "lib": "lib/"}, area="AI")
+    assert [r.id for r in in_area.collect()] == ["n1"]
+    assert vectors.embedder("local") is vectors.hashed_embedding and vectors.embedder("none") is None
     with pytest.raises(ValueError):
-        vectors.MAX_QUERIES, old = 1, vectors.MAX_QUERIES
-        try:
-            vectors.knn_batch(v, v)
-        finally:
-            vectors.MAX_QUERIES = old
+        vectors.embedder("other")
+
+
+def test_long_chains_have_an_end(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MERGE", 4)
+    n = 260
+    u, e = make(spark, [f"n{k:03d}" for k in range(n)], calls(*((f"n{k:03d}", f"n{k + 1:03d}") for k in range(n - 1))))
+    e = e.unionByName(e.limit(1).withColumn("src_id", F.lit(f"n{n - 1:03d}")).withColumn("dst_id", F.lit("n200")))
+    assert graph.reach(u, e, u.filter("id = 'n000'")).count() == n - 1
+
+
+def test_layers_and_refactor_sequence(spark):
+    u, e = make(spark, ["t", "a", "b", "c", "d", "x", "y"], calls(("a", "t"), ("b", "a"), ("b", "t"), ("c", "b"), ("x", "t"), ("x", "y"), ("y", "x"), ("t", "a"), ("d", "d")), {"t": "t.py", "a": "z.py", "b": "m.py", "c": "m.py", "x": "c.py", "y": "c.py"})
+    got = {r.id: r.layer for r in graph.layers(u, e.filter("src_id <> 't'")).collect()}
+    assert (got["t"], got["a"], got["b"], got["c"], got["d"]) == (0, 1, 2, 3, 0) and got["x"] == got["y"] == 4
+    steps = [(r.step, r.file, r.ids) for r in reports.refactor_sequence(u, e, u.filter("id = 't'")).orderBy("step").collect()]
+    assert steps == [(1, "z.py", ["a"]), (2, "m.py", ["b", "c"]), (3, "c.py", ["x", "y"]), (4, "t.py", ["t"])]
+    assert reports.refactor_sequence(u, e, u.limit(0)).count() == 0
+
+
+def test_lines_within_spans(spark):
+    import random
+
+    from callweave.operators.spans import within
+
+    r = random.Random(3)
+    lines = [(r.choice("ab"), r.randint(-5, 3000), k) for k in range(300)] + [("a", None, 900), (None, 5, 901)]
+    spans = []
+    for k in range(60):
+        start = r.randint(0, 2500)
+        spans.append((r.choice("ab"), start, start + r.choice([-1, 0, 3, 31, 32, 33, 500, 2000, 10**6]), k))
+    spans += [("b", 0, 10**9, 60), (None, 1, 5, 61), ("a", None, 7, 62)]
+    got = within(spark.createDataFrame(lines, "file string, line int, k int"), spark.createDataFrame(spans, "file string, line_start int, line_end int, s int"))
+    want = [(k, s) for f, n, k in lines for g, a, b, s in spans if f is not None and f == g and None not in (n, a) and a <= n <= b]
+    assert sorted((r.k, r.s) for r in got.collect()) == sorted(want)
+
+
+def test_targets_of_changed_files(spark):
+    u, e = make(spark, ["f", "m", "g"], [], {"f": "x.py", "m": "x.py", "g": "y.py"})
+    u = u.withColumn("type", F.when(F.col("id") == "m", "module").otherwise("function"))
+    files = spark.createDataFrame([("x.py",), ("x.py",)], "file string")
+    assert [r.id for r in reports.units_of_files(u, files).collect()] == ["f"]
 
 
 def test_decay(spark):

@@ -23,6 +23,12 @@ def test_documents_and_lookups(spark, tmp_path):
         f.write("broken")
     with sinks.BuildLock(lock):
         pass
+    with open(lock, "w") as f:
+        f.write("another-machine 1")
+    with pytest.raises(RuntimeError), sinks.BuildLock(lock):
+        pass
+    os.unlink(lock)
+    assert os.listdir(tmp_path) == []
     assert sinks.migration_steps(1, 3, [1, 2]) == [1, 2]
     with pytest.raises(ValueError):
         sinks.migration_steps(2, 1, [])

@@ -4,7 +4,7 @@ import pytest
 
 from callweave.engine import Engine
 from callweave.operators import confidence, intent
-from callweave.sources import coverage, files, git, parse
+from callweave.sources import config, coverage, files, git, parse
 from callweave.streaming import velocity
 from pyspark.sql import functions as F
 
@@ -46,7 +46,7 @@ def test_build_update_rebuild(spark, tmp_path):
     for table in ("units", "edges", "file_hashes"):
         assert sorted(map(str, e.store.read(table).collect())) == sorted(map(str, other.store.read(table).collect())), table
     e.snapshot_health(1704153600)
-    assert e.store.read("health").count() == 1
+    assert e.store.read("health").count() == 3  # one of the build, one of the update
     assert e.search("helper", 2).filter("source = 'matched'").count() == 2
     assert e.health().count() == 1 and set(e.onboard()) >= {"entry_points", "hotspots"}
     assert e.caller_closure().count() == e.units.count()
@@ -54,6 +54,124 @@ def test_build_update_rebuild(spark, tmp_path):
     assert e.confidence(later, 72.0).first().confidence < 0.9
 
 
+def test_trees_are_read_by_their_listing(spark, tmp_path):
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "a b").mkdir()
+    for name in ("node_modules/x.js", "a b/[odd]{1},2.py", "y.txt", "plain.py"):
+        (tmp_path / name).write_text(name)
+    assert sorted((r.file, r.content) for r in files.read_tree(spark, str(tmp_path)).collect()) == [("a b/[odd]{1},2.py",) * 2, ("plain.py",) * 2]
+    assert files.read_tree(spark, str(tmp_path / "node_modules")).count() == 1
+    assert files.read_tree(spark, str(tmp_path), tracked=(".nothing",)).count() == 0
+
+
+def test_state_hash(spark):
+    import hashlib
+
+    from callweave.operators import drift
+
+    rows = [(f"f{k}", hashlib.sha256(str(k).encode()).hexdigest()) for k in range(500)]
+    want = hashlib.sha256("\n".join(sorted(h for _, h in rows)).encode()).hexdigest()
+    df = spark.createDataFrame(rows, "file string, hash string")
+    assert drift.state_hash(df.repartition(7)).first()[0] == want
+    assert drift.state_hash(df.limit(0)).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+CONFIG = """lobes:
+  pkg: pkg/
+  lib: lib/
+tracked_extensions: [.py, .xyz]
+embedding_model: local
+memory:
+  decay_half_life_days: 7
+"""
+
+
+def test_config_and_intent(spark, tmp_path):
+    path = tmp_path / "config.yaml"
+    path.write_text(CONFIG)
+    c = config.load_config(str(path))
+    assert c.areas == {"pkg": "pkg/", "lib": "lib/"} and c.tracked == (".py", ".xyz") and c.half_life == 7.0 and c.stale == 0.1
+    assert len(c.warnings) == 1 and ".xyz" in c.warnings[0]
+    path.write_text("lobes: {}\ntracked_extensions: []\nembedding_model: odd\n")
+    assert len(config.load_config(str(path)).warnings) == 3
+    path.write_text("lobes: {}\n")
+    with pytest.raises(KeyError):
+        config.load_config(str(path))
+    with pytest.raises(FileNotFoundError):
+        config.load_config(str(tmp_path / "none.yaml"))
+    assert config.load_intent(spark, str(tmp_path / "none.yaml")) == (None, [])
+    doc = tmp_path / "intent.yaml"
+    doc.write_text("sprint:\n  name: s\n  priority_lobes: [pkg]\nincidents:\n  - id: 1\n    affected_lobes: [gone]\narchitecture:\n  avoid_patterns: [x]\n# " + "y" * 60_000 + "\n")
+    row, warnings = config.load_intent(spark, str(doc))
+    got = row.first()
+    assert (got.sprint, got.priority, got.avoid, got.incidents[0].status, got.goal, got.concerns) == ("s", ["pkg"], ["x"], "open", None, []) and len(warnings) == 1
+    assert [r.area for r in intent.unknown_areas(row, ["pkg"]).collect()] == ["gone"]
+
+
+def test_engine_hooks_notes_and_git(spark, tmp_path):
+    root = tree(tmp_path / "src", pkg__a_py=A, lib__b_py=B)
+    (tmp_path / "config.yaml").write_text(CONFIG)
+    e = Engine.of_config(spark, str(tmp_path / "index"), str(tmp_path / "config.yaml"))
+    day = 86400
+    e.build(files.read_tree(spark, root), "2024-01-01T00:00:00Z", now=10 * day, documents=str(tmp_path / "docs"))
+    assert {r.area for r in spark.read.json(str(tmp_path / "docs")).collect()} == {"pkg", "lib", "map"}
+    note = "id string, unit_id string, area string, type string, title string, body string, author string, created_ts long, tags array<string>, decay_score double, status string"
+    rows = [(i, u, "pkg", "warning", f"title {i}", "body", "me", 10 * day, ["t"], 1.0, "active") for i, u in (("1", "pkg/a.py::run"), ("2", "lib/b.py::helper"), ("3", None))]
+    e.remember(spark.createDataFrame(rows, note))
+    edge = "from_id string, to_id string, rel_type string, created_ts long, author string"
+    e.link(spark.createDataFrame([("1", "2", "caused", 1, "me"), ("2", "3", "caused", 1, "me")], edge))
+    e.link(spark.createDataFrame([("1", "2", "caused", 2, "you")], edge))
+    assert {(r.from_id, r.created_ts) for r in e.store.read("note_edges").collect()} == {("1", 2), ("2", 1)}
+    with pytest.raises(ValueError):
+        e.link(spark.createDataFrame([("1", "9", "caused", 2, "you")], edge))
+    assert [r.id for r in e.trace(spark.createDataFrame([("3",)], "id string")).orderBy("depth").collect()] == ["3", "2", "1"]
+    # An update by what git says: the changed unit's note pays, all decay by a half life.
+    (tmp_path / "src/lib/b.py").write_text("def helper(x):\n    return 1\n")
+    status = git.status_files(spark.createDataFrame([(" M lib/b.py\n?? notes.txt\n",)], "text string"))
+    assert [(r.file, r.status) for r in e.changes(None, status=status).collect()] == [("lib/b.py", "M")]
+    e.update(files.read_tree(spark, root), "2024-01-02T00:00:00Z", now=17 * day, status=status)
+    score = {r.id: r.decay_score for r in e.store.read("notes").collect()}
+    assert score["1"] == pytest.approx(0.5, abs=1e-3) and score["2"] == pytest.approx(0.15, abs=1e-3)
+    assert e.store.read("health").count() == 2 and e.edges.filter("dst_id = 'external::len'").count() == 0
+    e.forget(spark.createDataFrame([("2",)], "id string"))
+    assert {r.id for r in e.list_notes(include_stale=True).collect()} == {"1", "3"} == {r.id for r in e.store.read("note_vectors").collect()}
+    assert e.store.read("note_edges").count() == 0
+    e.vuln("helper", now=18 * day)
+    (tmp_path / "src/lib/b.py").write_text("import os\ndef helper(x):\n    return os.system(x)\n")
+    e.update(files.read_tree(spark, root), "2024-01-03T00:00:00Z", now=18 * day)
+    e.vuln("os.system", now=18 * day)
+    warned = [r for r in e.list_notes().collect() if r.author == "agent:vuln"]
+    assert [(r.unit_id, r.area, r.tags[2]) for r in warned] == [("lib/b.py::helper", "lib", "os.system")]
+    assert {r.area: r.units for r in e.list_areas().collect()} == {"pkg": 2, "lib": 2}
+    assert {r.id for r in e.search("helper", 3, area="LI").collect()} <= {"lib/b.py::helper", "lib/b.py::b"}
+    assert "confidence" in e.decorated(e.units, files.read_tree(spark, root), 1.0).first().json
+    assert set(e.onboard()) >= {"things_to_know"}
+    mute = Engine(spark, str(tmp_path / "mute"), embed="none")
+    mute.build(files.read_tree(spark, root), "2024-01-01T00:00:00Z")
+    with pytest.raises(ValueError):
+        mute.search("helper")
+
+
+def test_snapshots_are_numbered(spark, tmp_path):
+    from callweave import store
+
+    s = store.Store(spark, str(tmp_path / "index"))
+    meta = lambda v: {"meta": spark.createDataFrame([("schema_version", v)], store.schema.META)}
+    assert s.current() is None and s.read("meta").count() == 0
+    names = [s.publish(meta("1")) for _ in range(5)]
+    assert s.current() == names[-1]
+    (tmp_path / "index/current/.draft").write_text("torn")  # of a writer that died
+    assert s.current() == names[-1] and not (tmp_path / "index" / names[0]).exists() and (tmp_path / "index" / names[-2]).exists()
+    held, s._pointers = s._pointers, lambda: [4]
+    with pytest.raises(RuntimeError):  # another writer took the number
+        s.publish(meta("2"))
+    s._pointers = held
+    assert s.read("meta").first()["value"] == "1"
+    s.publish(meta("7"))
+    with pytest.raises(ValueError):
+        s.check_version()
+
+
 def test_ignore_rules(spark):
     f = lambda p, rules: spark.range(1).select(files.ignored(F.lit(p), rules)).first()[0]
     assert f("a/node_modules/x.js", files.DEFAULT_IGNORE) and f("a.min.js", files.DEFAULT_IGNORE)
@@ -86,8 +204,8 @@ def test_git_text(spark):
     assert sorted((r.line, r.author) for r in git.blame(df).collect()) == [(1, "a@x"), (2, "a@x"), (3, "b@x")]
     diff = spark.createDataFrame([("--- a/x\n+++ b/x.py\n+ y\n+++ b/z.py\n+++ b/x.py\n",)], "text string")
     assert [r.file for r in git.diff_files(diff).orderBy("ord").collect()] == ["x.py", "z.py"]
-    log = spark.createDataFrame([("\x011704067200\n\na.py\nb.py\n\x011704067300\na.py\n",)], "text string")
-    assert git.log_commits(log).groupBy("file").count().filter("file = 'a.py'").first()["count"] == 2
+    log = spark.createDataFrame([("\x011704067200\n\na.py\nb.py\n\x011704067300\na.py\n",), ("\x011704067400\nc.py\n\x01broken\nd.py\n",), (None,)], "text string").repartition(3)
+    assert sorted((r.file, int(r.s)) for r in git.log_commits(log).select("file", F.unix_timestamp("ts").alias("s")).collect()) == [("a.py", 1704067200), ("a.py", 1704067300), ("b.py", 1704067200), ("c.py", 1704067400)]
     st = spark.createDataFrame([(" M a.py\n?? b.py\nD  c.py\n",)], "text string")
     assert {(r.file, r.status) for r in git.status_files(st).collect()} == {("a.py", "M"), ("b.py", "A"), ("c.py", "D")}
 
