@@ -84,7 +84,7 @@ class _Flush:
         yield home, self.number, DOCS, np.array(self.docs, dtype=np.int64).tobytes(), b""
         hashes, places, index = (np.concatenate(x) for x in zip(*self.got))
         self.got = []
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes)
         hashes, places, index = hashes[order], places[order], index[order]
         first = runs(hashes)
         count = np.diff(np.append(first, len(hashes)))
@@ -103,7 +103,7 @@ class _Flush:
         hashes, places, index = hashes[keep], places[keep], index[keep]
         short = _short(hashes, index)
         for part, s in part_slices(hashes, self.parts):
-            by_place = np.argsort(places[s], kind="stable")
+            by_place = np.argsort(places[s])
             yield part, self.number, ENTRIES, short[s][by_place].tobytes(), pack_rising(places[s][by_place])
 
 
@@ -128,7 +128,7 @@ def _match(hot: int | None):
             return
         hashes = np.concatenate([np.frombuffer(r[2], dtype=np.uint32) for r in rows])
         times = np.concatenate([np.frombuffer(r[3], dtype=np.uint32)[len(r[2]) // 4 :] if r[1] == COUNTED else np.ones(len(r[2]) // 4, dtype=np.uint32) for r in rows])
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes)
         ranked = hashes[order]
         first = runs(ranked >> np.uint32(1))
         size = np.diff(np.append(first, len(ranked)))

@@ -66,7 +66,7 @@ PLACES, WINDOWS, LATE = range(3)
 def _equal_windows(hashes, seconds, ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order in which equal windows are neighbours, the first places of the
     runs of these, and the smallest id of each."""
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     h, s = hashes[order], seconds[order]
     if ((h[1:] == h[:-1]) & (s[1:] != s[:-1])).any():  # different windows share the first hash
         order = np.lexsort((seconds, hashes))

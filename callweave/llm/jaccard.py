@@ -103,7 +103,7 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     keep = shared[column]
     row, column = row[keep], number[column[keep]]
     out = np.zeros((len(left), len(right)), dtype=np.float32)
-    order = np.argsort(column, kind="stable")
+    order = np.argsort(column)
     row, column = row[order], column[order]
     for at in range(0, int(number[-1]) + 1, 2048):
         a, b = np.searchsorted(column, (at, at + 2048))

@@ -260,7 +260,7 @@ def _send_segments(width: int, k: int, parts: int, flush_bytes: int):
             least = np.minimum.reduceat(ids[order], lead)
             rep = order[lead]
             # Different segments are numbered in the order of their hashes.
-            rank = np.argsort(hashes[rep], kind="stable")
+            rank = np.argsort(hashes[rep])
             number = np.empty(len(rep), dtype=np.uint32)
             number[rank] = np.arange(len(rep), dtype=np.uint32)
             of = np.empty(len(order), dtype=np.uint32)
@@ -311,7 +311,7 @@ def equal_segments(word, content, hashes, at, length) -> tuple[np.ndarray, np.nd
     """An order in which equal segments are neighbours, and the first places of
     the runs of these. Hashes of the content find them, bytes decide."""
     key = mix(hashes ^ mix(content + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     k, n = key[order], length[order]
     new = np.concatenate([[True], k[1:] != k[:-1]])
     which = np.cumsum(new) - 1
@@ -358,7 +358,7 @@ def _later(width: int, chunk: int):
         counts = counts.astype(np.int64)
         length = counts + width - 1
         at = np.cumsum(length) - length
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes)
         edge = runs(hashes[order])
         low, high = np.minimum.reduceat(ids[order], edge), np.maximum.reduceat(ids[order], edge)
         order = order[np.repeat(low < high, np.diff(np.append(edge, len(order))))]
@@ -375,7 +375,7 @@ def _later(width: int, chunk: int):
             if not len(seg):
                 continue
             seg = own[seg]
-            by = np.argsort(flushes[seg], kind="stable")
+            by = np.argsort(flushes[seg])
             got = np.stack([numbers[seg], begin, stop])[:, by].astype(np.uint32)
             f = flushes[seg][by]
             cuts = np.append(runs(f), len(f))
@@ -394,7 +394,7 @@ def _late_stretches(hashes, counts, ids, at, data, width: int):
     which = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(order))))
     rep, smallest = order[lead], np.minimum.reduceat(ids[order], lead)
     # Where a hash has one segment only, its strings are in the same documents.
-    by_hash = np.argsort(hashes[rep], kind="stable")
+    by_hash = np.argsort(hashes[rep])
     group = runs(hashes[rep][by_hash])
     several = np.empty(len(rep), dtype=bool)
     several[by_hash] = np.repeat(np.diff(np.append(group, len(rep))) > 1, np.diff(np.append(group, len(rep))))
@@ -415,7 +415,7 @@ def _late_stretches(hashes, counts, ids, at, data, width: int):
     # A string whose hash is alone equals no other, and isn't sorted.
     of_start = np.repeat(smallest, n_starts)
     own_hash = span_hashes(sorts.prefix, start, start + width)
-    by = np.argsort(own_hash, kind="stable")
+    by = np.argsort(own_hash)
     again = own_hash[by][1:] == own_hash[by][:-1]
     shared = np.sort(by[np.concatenate([[False], again]) | np.concatenate([again, [False]])])
     if len(shared):
@@ -461,7 +461,7 @@ def _by_row(table: pa.Table, width: int) -> pa.RecordBatch | None:
         own = np.unpackbits(np.frombuffer(d, dtype=np.uint8, offset=4 * len(doc)), count=len(doc)).astype(bool)
         length = (from_planes(c, np.uint32).astype(np.int64) + width - 1)[of]
     number, begin, stop = (np.concatenate(late, axis=1) if late else np.zeros((3, 0))).astype(np.int64)
-    order = np.argsort(number, kind="stable")
+    order = np.argsort(number)
     number, begin, stop = number[order], begin[order], stop[order]
     # Where the flush has a smaller document with the same segment, all of it
     # goes; elsewhere what the part has found.
@@ -471,9 +471,9 @@ def _by_row(table: pa.Table, width: int) -> pa.RecordBatch | None:
     doc_of, from_, to = np.concatenate([doc[~own], np.repeat(doc, n)]), np.concatenate([first[~own], np.repeat(first, n) + begin[answer]]), np.concatenate([(first + length)[~own], np.repeat(first, n) + stop[answer]])
     if not len(doc_of):
         return None
-    order = np.lexsort((from_, doc_of))
-    doc_of, from_, to = doc_of[order], from_[order], to[order]
     far = np.int64(1) << np.int64(33)  # beyond any place in a text
+    order = np.argsort(doc_of * far + from_)
+    doc_of, from_, to = doc_of[order], from_[order], to[order]
     end = np.maximum.accumulate(doc_of * far + to)
     new = np.flatnonzero(np.concatenate([[True], doc_of[1:] * far + from_[1:] > end[:-1]]))
     doc_of, spans = doc_of[new], np.stack([from_[new], end[np.append(new[1:] - 1, len(end) - 1)] % far], axis=1)
