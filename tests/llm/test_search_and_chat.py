@@ -1,4 +1,7 @@
+import re
+
 import numpy as np
+import pytest
 
 from callweave.llm import ann, chat
 from pyspark.sql import functions as F
@@ -38,6 +41,35 @@ def test_search_leaves_out_what_has_no_direction(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def exact(x, ids, q, k=10):
+    """The k nearest of row q by distances in long doubles, ties by id."""
+    far = np.array([np.sqrt(((np.ldexp(v.astype(np.longdouble), -900) - np.ldexp(x[q].astype(np.longdouble), -900)) ** 2).sum()) for v in x])
+    far[q] = np.inf
+    return [ids[i] for i in sorted(range(len(x)), key=lambda i: (far[i], ids[i]))[:k]]
+
+
+def test_search_bears_offsets_and_extremes(spark):
+    rng = np.random.default_rng(8)
+    cases = [rng.normal(size=(400, 16)) + 1e7, rng.normal(size=(400, 16)) * 1e160, rng.normal(size=(400, 16)) * 1e-170, rng.normal(size=(400, 16)) * 10.0 ** rng.integers(-100, 200, size=(400, 1)), rng.normal(size=(400, 16)) * 3e307]
+    for x in cases:
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.search(df, F.col("vec_id") % 100 == 0, recall=1.0, leaves=8).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r)
+        assert {k: len(v) for k, v in got.items()} == dict.fromkeys(range(0, 400, 100), 10)
+        hit = sum(len({r.vec_id for r in own} & set(exact(x, range(400), q))) for q, own in got.items())
+        assert hit >= 36
+        for own in got.values():
+            assert all(np.isfinite(r.score) and r.score > 0 for r in own) and [r.score for r in own] == sorted(r.score for r in own)
+
+
+def test_lanes_and_blocks_do_not_matter(spark):
+    x = np.random.default_rng(6).normal(size=(700, 8)).round(1)
+    df = vectors(spark, [(i, v.tolist(), "l", 1) for i, v in enumerate(x)])
+    one = sorted(map(str, ann.search(df, F.col("vec_id") % 7 == 0, leaves=16).collect()))
+    assert sorted(map(str, ann.search(df, F.col("vec_id") % 7 == 0, leaves=16, block_rows=10, lane=3).collect())) == one
+
+
 def test_tree_visits_every_leaf_once():
     x = np.random.default_rng(1).normal(size=(600, 8))
     t = ann.Tree(x, leaves=32)
@@ -119,3 +151,62 @@ def test_every_turn_that_holds_a_quote_is_weighed(spark, monkeypatch):
         monkeypatch.setattr(chat, "SLICE", piece)
         got = {(r.conv_id, r.turn): r.parent for r in chat.format_chats(df).collect()}
         assert {k: got[k] for k in expected} == expected
+
+
+def plain_chats(rows):
+    """(conv_id, turn) -> parent, root, depth, quotes, text, position of rows
+    with one message a turn, and the order of each conversation."""
+    flat = lambda x: " ".join(x.split()).lower()
+    parsed, out = {}, {}
+    for c, t, text in rows:
+        lines = [(len(re.match(r"((?: ?>)*)", x)[1].replace(" ", "")), re.sub(r"^((?: ?>)+) ?", "", x)) for x in text.split("\n")]
+        own = [x for k, ((level, _), x) in enumerate(zip(lines, text.split("\n"))) if not level and not (re.search(r"\bwrote:\s*$", x) and k + 1 < len(lines) and lines[k + 1][0])]
+        body = "\n".join(own).strip(" ")
+        held = {flat(x) for level, x in lines if not level} | {flat(x) for x in re.split(r"\n\s*\n", body)} | {flat(body)}
+        parsed[c, t] = lines, body, held - {""}
+    for c, t, _ in rows:
+        lines, body, _ = parsed[c, t]
+        quotes = []
+        for level in sorted({x for x, _ in lines} - {0}):
+            said = [flat(x) for n, x in lines if n == level and flat(x)]
+            pieces = {*said, " ".join(said)} - {""}
+            weigh = [(sum(len(p) for p in pieces & held), u) for (d, u), (_, _, held) in parsed.items() if d == c and u < t]
+            if weigh and max(weigh)[0]:
+                quotes.append((level, max(weigh)[1]))
+        out[c, t] = [quotes[0][1] if quotes else None, quotes, body]
+    for (c, t), (parent, quotes, body) in list(out.items()):
+        root, depth = t, 0
+        while out[c, root][0] is not None:
+            root, depth = out[c, root][0], depth + 1
+        out[c, t] = parent, root, depth, quotes, body
+    for c in {c for c, _ in out}:
+        for place, (_, t) in enumerate(sorted((v[1], t) for (d, t), v in out.items() if d == c)):
+            out[c, t] += (place,)
+    return out
+
+
+@pytest.mark.parametrize("common,piece,width", [(16, 4096, 4), (0, 3, 9), (2, 5, 2)])
+def test_nested_quotes_against_plain_code(spark, monkeypatch, common, piece, width):
+    rng, rows = np.random.default_rng(width), []
+    for c in range(6):
+        said = []
+        for t in range(25 if c else 60):
+            lines = []
+            if said and rng.random() < 0.8:
+                old = said[rng.integers(len(said))].split("\n")
+                at = int(rng.integers(len(old)))
+                if rng.random() < 0.3:
+                    lines.append("Someone wrote:")
+                mark = [">", "> ", " > "][rng.integers(3)]
+                lines += [mark + x for x in old[at : at + int(rng.integers(1, 5))]]
+            lines += [["Hi", "thanks,  A", f"point {rng.integers(40)}", "", "yes wrote: no", f"see {t} {c}"][rng.integers(6)] for _ in range(int(rng.integers(1, 4)))]
+            said.append("\n".join(lines))
+            rows.append((c, t, said[-1]))
+    monkeypatch.setattr(chat, "COMMON", common)
+    monkeypatch.setattr(chat, "SLICE", piece)
+    monkeypatch.setattr(chat, "shuffle_width", lambda s: width)
+    df = spark.createDataFrame([(c, t, "u", x, "p", 1) for c, t, x in rows], CHAT).repartition(5)
+    got = {(r.conv_id, r.turn): (r.parent, r.root, r.depth, [(q.level, q.turn) for q in r.quotes], r.text, r.position) for r in chat.format_chats(df).collect()}
+    want = plain_chats(rows)
+    assert max(v[2] for v in want.values()) > 3 and max(len(v[3]) for v in want.values()) > 1
+    assert got == want
