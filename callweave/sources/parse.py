@@ -1,45 +1,29 @@
-"""Files -> units and captures. Python is parsed with its own grammar; other
-languages with a table of patterns, which finds definitions, imports and calls
-by line but no nesting (see README). A file is one row's work."""
+"""Files -> units and captures. Python is parsed with its own grammar; files of
+other languages, and Python that doesn't parse, are scanned for headers, bodies
+and calls (scan.py). A file is one row's work."""
 
 from __future__ import annotations
 
 import ast
-import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import language
-
-# Per language, patterns of functions, classes and imports.
-_C_LIKE = r"^[\w\*&:<>,\s]+?[\s\*&](\w+)\s*\([^;]*\)\s*(?:const\s*)?\{"
-PATTERNS = {
-    "javascript": (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)", r"^\s*import\b"),
-    "go": (r"^func\s+(?:\([^)]*\)\s*)?(\w+)", r"^type\s+(\w+)", r"^import\b"),
-    "rust": (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(\w+)", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(\w+)", r"^\s*use\b"),
-    "java": (r"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\],\s]+?\s(\w+)\s*\(", r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface)\s+(\w+)", r"^\s*import\b"),
-    "ruby": (r"^\s*def\s+(?:self\.)?(\w+[?!]?)", r"^\s*(?:class|module)\s+(\w+)", None),
-    "c": (_C_LIKE, r"^\s*(?:typedef\s+)?struct\s+(\w+)", r"^\s*#\s*include\b"),
-    "cpp": (_C_LIKE, r"^\s*(?:class|struct)\s+(\w+)", r"^\s*#\s*include\b"),
-    "c_header": (r"^[\w\*\s]+?[\s\*](\w+)\s*\([^)]*\)\s*;", r"^\s*(?:typedef\s+)?struct\s+(\w+)", r"^\s*#\s*include\b"),
-}
-PATTERNS |= {"typescript": (PATTERNS["javascript"][0], r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface|type)\s+(\w+)", PATTERNS["javascript"][2]), "jsx": PATTERNS["javascript"]}
-PATTERNS["tsx"] = PATTERNS["typescript"]
-CALL = re.compile(r"([A-Za-z_][\w.]*)\s*\(")
-_NO_CALL = {"if", "for", "while", "switch", "return", "catch", "sizeof", "function", "def", "func", "fn"}
+from .scan import scan
 
 PARSED = "kind string, capture_name string, name string, file string, type string, line_start int, line_end int, signature string, docstring string, text string"
 
 
 def parse_python(file: str, content: str):
-    """Rows of a Python file; a syntax error gives a warning and no units but
-    the module's."""
+    """Rows of a Python file; one with a syntax error is scanned instead, with a
+    warning."""
     try:
         tree = ast.parse(content)
     except (SyntaxError, ValueError) as e:
         yield "warning", None, None, file, None, None, None, None, None, f"syntax error: {e.msg if isinstance(e, SyntaxError) else e}"
+        yield from scan(file, content, "python")
         return
     lines = content.split("\n")
     for node in ast.walk(tree):
@@ -56,33 +40,13 @@ def parse_python(file: str, content: str):
             yield "capture", "call", None, file, None, node.lineno, node.lineno, None, None, ast.unparse(node.func)
 
 
-def parse_patterns(file: str, content: str, lang: str):
-    function, klass, imports = (re.compile(p) if p else None for p in PATTERNS[lang])
-    rows, lines = [], content.split("\n")
-    for n, line in enumerate(lines, 1):
-        m, kind = function.match(line), "function"
-        if not m:
-            m, kind = klass.match(line), "class"
-        if m:
-            rows.append((n, m[1], kind, line.strip()))
-        if imports and imports.match(line):
-            yield "capture", "import", None, file, None, n, n, None, None, line.strip()
-        if lang != "c_header":
-            for c in CALL.finditer(line):
-                if c[1] not in _NO_CALL and not (m and c[1] == m[1]):
-                    yield "capture", "call", None, file, None, n, n, None, None, c[1]
-    for k, (n, name, kind, sig) in enumerate(rows):
-        end = rows[k + 1][0] - 1 if k + 1 < len(rows) else len(lines)
-        yield "unit", f"{kind}.def", name, file, kind, n, end, sig if kind == "function" else None, None, None
-
-
 def parse_file(file: str, content: str, lang: str | None):
     if lang is None:
         yield "warning", None, None, file, None, None, None, None, None, "no parser"
         return
     stem = file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
     yield "unit", "module", stem, file, "module", 1, content.count("\n") + 1, None, None, None
-    yield from parse_python(file, content) if lang == "python" else parse_patterns(file, content, lang)
+    yield from parse_python(file, content) if lang == "python" else scan(file, content, lang)
 
 
 def parse(files: DataFrame) -> DataFrame:

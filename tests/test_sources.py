@@ -188,13 +188,67 @@ def test_area_detection(spark):
     assert d("x.py") == {"root": "."}
 
 
-def test_patterns_of_other_languages():
-    go = list(parse.parse_file("a.go", "import \"fmt\"\n\nfunc Run(x int) {\n\tfmt.Print(x)\n}\n", "go"))
-    assert [(r[0], r[2]) for r in go if r[0] == "unit"] == [("unit", "a"), ("unit", "Run")]
-    assert [r[-1] for r in go if r[1] == "call"] == ["fmt.Print"]
+def found(file, text, lang):
+    rows = list(parse.parse_file(file, text, lang))
+    return [(r[2], r[5], r[6]) for r in rows if r[0] == "unit" and r[4] != "module"], [(r[5], r[-1]) for r in rows if r[1] == "call"], [r[-1] for r in rows if r[1] == "import"], {r[2]: r[8] for r in rows if r[8]}
+
+
+JS = """import {a,
+  b} from "x";
+// function no() {}
+class K extends L {
+  static async run(x, y = f(1)) {
+    // Runs it.
+    if (x) { helper(x); }
+    return this.go(y);
+  }
+  get size() { return 1; }
+}
+class Empty {}
+export default async function main(a) {
+  const g = (q) => q.map(z => z + "function f() {");
+  function inner() { return g(a); }
+  return inner();
+}
+const o = { meth(a) { return a; } };
+"""
+TS = "interface I { f(x: number): void; }\ntype T = { a: string };\nclass C<X> {\n  private m<T>(a: T): Promise<{ b: T }> {\n    return g<T>(a);\n  }\n}\n"
+GO = 'package p\nimport (\n  "fmt"\n)\ntype S struct {\n  a int\n}\ntype N int\nfunc (s *S) Do(x map[string]int) (int, error) {\n  /* doc */\n  return fmt.Sprint(x), nil\n}\nfunc G[T any](x T) interface{} { return os.Open("f()") }\n'
+RUST = "use std::io::{self, Read};\npub struct P<T> { x: T }\nenum E { A, B }\nimpl<T> Show for P<T> {\n    fn show(&self, c: char) -> String { let q = '{'; format_it(self.x, 'a') }\n}\npub async fn free<'a>(x: &'a str) -> u8 { P::new(x).go() }\ntrait Q { fn decl(&self); }\n"
+JAVA = "import java.util.List;\npublic class A extends B {\n  public A(int x) { super(x); }\n  @Override\n  public List<String> get(int a) throws E1, E2 {\n    if (a > 0) { return foo(a); }\n    Other o = new Other(a);\n    return o.bar(a);\n  }\n  interface In { void f(int x); }\n}\nclass Bare { int x; }\n"
+CPP = "#include <a.h>\nstruct S { int a; };\nstatic int add(int a, int b)\n{\n  /* adds */\n  return mul(a, b);\n}\nnamespace n { int *ptr(const char *s) { return f(s); } struct T {}; }\nclass W { int m() { return 1; } };\nint W::out() { return 2; }\n"
+RUBY = "module M\n  class K < L\n    def self.run(x)\n      # Runs.\n      return 1 if x\n      x.each do |y|\n        puts(y)\n      end\n    end\n    def one = two(1)\n  end\n  class Empty; end\nend\ndef last?(a)\n  while a do\n    go(a)\n  end\nend\n"
+
+
+def test_units_of_other_languages_nest():
+    units, calls, imports, docs = found("a.js", JS, "javascript")
+    assert units == [("run", 5, 9), ("size", 10, 10), ("Empty", 12, 12), ("main", 13, 17), ("inner", 15, 15), ("meth", 18, 18)]
+    assert calls == [(5, "f"), (7, "helper"), (8, "this.go"), (14, "q.map"), (15, "g"), (16, "inner")]
+    assert imports == ['import {a,\n  b} from "x"'] and docs == {"run": "Runs it."}
+    assert found("a.ts", TS, "typescript")[0] == [("I", 1, 1), ("T", 2, 2), ("m", 4, 6)]
+    units, calls, imports, docs = found("a.go", GO, "go")
+    assert units == [("S", 5, 7), ("N", 8, 8), ("Do", 9, 12), ("G", 13, 13)] and calls == [(11, "fmt.Sprint"), (13, "os.Open")]
+    assert imports == ['import (\n  "fmt"\n)'] and docs == {"Do": "doc"}
+    units, calls, imports, _ = found("a.rs", RUST, "rust")
+    assert units == [("P", 2, 2), ("E", 3, 3), ("show", 5, 5), ("free", 7, 7)] and calls == [(5, "format_it"), (7, "P::new")] and imports == ["use std::io::{self, Read};"]
+    units, calls, _, _ = found("A.java", JAVA, "java")
+    assert units == [("get", 5, 9), ("f", 10, 10), ("Bare", 12, 12)] and calls == [(6, "foo"), (7, "Other"), (8, "o.bar")]
+    units, calls, imports, docs = found("a.cpp", CPP, "cpp")
+    assert units == [("S", 2, 2), ("add", 3, 7), ("ptr", 8, 8), ("T", 8, 8), ("W", 9, 9)] and calls == [(6, "mul"), (8, "f")] and docs == {"add": "adds"}
+    assert found("a.h", "int f(int a);\nstruct S { int x; };\nvoid g(void) ;\n", "c_header")[:2] == ([("f", 1, 1), ("S", 2, 2), ("g", 3, 3)], [])
+    units, calls, _, docs = found("a.rb", RUBY, "ruby")
+    assert units == [("run", 3, 9), ("one", 10, 10), ("Empty", 12, 12), ("last?", 14, 18)] and calls == [(7, "puts"), (10, "two"), (16, "go")] and docs == {"run": "Runs."}
+
+
+def test_broken_files_keep_what_can_be_found():
+    text = "import os\nclass K:\n    def f(self):\n        print 'x'\n        return g(1)\n\ndef h(x):\n    return x\n"
+    rows = list(parse.parse_file("a.py", text, "python"))
+    assert [r[0] for r in rows].count("warning") == 1
+    assert found("a.py", text, "python")[:3] == ([("f", 3, 5), ("h", 7, 8)], [(5, "g")], ["import os"])
+    for lang in ("javascript", "typescript", "tsx", "jsx", "go", "rust", "java", "ruby", "c", "cpp", "c_header"):
+        for text in ("", "}})(", 'f( { class } "unclosed', "function f(", "/* open", "def\nend\nend"):
+            assert list(parse.parse_file("a.x", text, lang))[0][4] == "module"
     assert list(parse.parse_file("a.txt", "x", None))[0][0] == "warning"
-    ts = [r[2] for r in parse.parse_file("a.ts", "export class K {}\nfunction f() {}\n", "typescript") if r[0] == "unit"]
-    assert ts == ["a", "K", "f"]
 
 
 def test_git_text(spark):
