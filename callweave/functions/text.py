@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +60,23 @@ def tokens(text) -> Column:
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 4))).cast("long")
 
 
+def model_tokens(path: str):
+    """A column function: tokens of a text by a tokenizer file (Hugging Face
+    JSON), null as none; the tokenizer is read once a worker, texts come in
+    Arrow batches."""
+    held: dict = {}
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        if path not in held:
+            from tokenizers import Tokenizer
+
+            held[path] = Tokenizer.from_file(path)
+        return pd.Series([len(held[path].encode(t, add_special_tokens=False).ids) if t else 0 for t in texts], dtype="int64")
+
+    return lambda text: count(col(text))
+
+
 def loc(start, end) -> Column:
     return F.greatest(F.lit(0), col(end) - col(start) + 1)
 

@@ -251,6 +251,15 @@ def test_broken_files_keep_what_can_be_found():
     assert list(parse.parse_file("a.txt", "x", None))[0][0] == "warning"
 
 
+def test_tokens_by_a_tokenizer(spark):
+    from callweave.functions.text import model_tokens
+
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    rows = spark.createDataFrame([("hello world",), ("",), (None,)], "text string")
+    assert [r[0] for r in rows.select(model_tokens(path)("text")).collect()] == [2, 0, 0]
+
+
 def test_git_text(spark):
     one, two = "a" * 40, "b" * 40
     text = f"{one} 1 1 2\nauthor A\nauthor-mail <a@x>\n\tcode\n{one} 2 2\n\tcode\n{two} 3 3 1\nauthor-mail <b@x>\n\tauthor-mail <no@x>\n"
