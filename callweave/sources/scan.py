@@ -21,7 +21,7 @@ BLANK = {
     "go": (_LINE, _BLOCK, _DOUBLE, _CHAR, r"`[^`]*`"),
     "rust": (_LINE, _BLOCK, r'r(#*)".*?"\1', _DOUBLE, _CHAR),
     "java": (_LINE, _BLOCK, r'""".*?"""', _DOUBLE, _CHAR),
-    "c": (_LINE, _BLOCK, _DOUBLE, _CHAR),
+    "c": (r"^[ \t]*#[ \t]*(?!include)\w+(?:\\\n|[^\n])*", _LINE, _BLOCK, _DOUBLE, _CHAR),
     "ruby": (r"^=begin\b.*?^=end\b", r"#(?!\{)[^\n]*", _DOUBLE, _SINGLE),
     "python": (r"\"\"\".*?\"\"\"", r"'''.*?'''", r"#[^\n]*", _DOUBLE, _SINGLE),
 }
@@ -29,6 +29,7 @@ BLANK = {
 LIKE = {"typescript": "javascript", "tsx": "javascript", "jsx": "javascript", "cpp": "c", "c_header": "c"}
 # Words before a bracket that are no names.
 KEYWORDS = frozenset("if for while switch catch return sizeof function def func fn new else do throw await yield typeof delete void case in of match loop unless until elsif when super synchronized assert with and or not lambda print del elif except defined alignof decltype static_assert operator import type var const".split())
+C_TYPES = frozenset("int char float double long short unsigned signed void bool".split())
 MODIFIERS = frozenset("public private protected static final abstract synchronized native default strictfp".split())
 
 _NAME = r"([A-Za-z_$][\w$]*)"
@@ -242,14 +243,16 @@ def _classes_of(src: Source) -> list[Unit]:
 
 
 def _defines(src: Source, m, classes: set[str]) -> bool:
-    """Whether what looks like a call is a definition that makes no unit: of a
-    method without a body, a constructor, a member of C++."""
+    """Whether what looks like a call is a declaration that makes no unit: of a
+    method without a body, a constructor, a member of C++, a pointer."""
     before = src.code[max(0, m.start() - 40) : m.start()]
     if re.search(r"\b(?:fn|def|func|function)\s+$", before):
         return True
     if src.family == "java":
         return m[1] in classes and not re.search(r"\bnew\s+$", before)
     close = src.match.get(m.end() - 1)
+    if src.family == "c" and m[1] in C_TYPES:
+        return True
     return src.family == "c" and close is not None and bool(re.compile(r"\s*(?:const|noexcept|override|final|\s)*\{").match(src.code, close + 1))
 
 

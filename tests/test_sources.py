@@ -235,6 +235,7 @@ def test_units_of_other_languages_nest():
     assert units == [("get", 5, 9), ("f", 10, 10), ("Bare", 12, 12)] and calls == [(6, "foo"), (7, "Other"), (8, "o.bar")]
     units, calls, imports, docs = found("a.cpp", CPP, "cpp")
     assert units == [("S", 2, 2), ("add", 3, 7), ("ptr", 8, 8), ("T", 8, 8), ("W", 9, 9)] and calls == [(6, "mul"), (8, "f")] and docs == {"add": "adds"}
+    assert found("a.c", "static int\nadd(int a)\n{\n return a;\n}\nint (*fp)(int);\n#define F(x) { \\\n x }\n#if A(1) {\n", "c")[:2] == ([("add", 2, 5)], [])
     assert found("a.h", "int f(int a);\nstruct S { int x; };\nvoid g(void) ;\n", "c_header")[:2] == ([("f", 1, 1), ("S", 2, 2), ("g", 3, 3)], [])
     units, calls, _, docs = found("a.rb", RUBY, "ruby")
     assert units == [("run", 3, 9), ("one", 10, 10), ("Empty", 12, 12), ("last?", 14, 18)] and calls == [(7, "puts"), (10, "two"), (16, "go")] and docs == {"run": "Runs."}
