@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, shuffle_width
+from .common import cut, drop_cut, drop_since, shuffle_width, written
 
 #: Turns of a conversation that hold a piece, from which on it is common; turns
 #: of a slice.
@@ -161,6 +161,7 @@ def format_chats(messages: DataFrame, **columns: str) -> DataFrame:
     """Per message: conv_id, position (from 0), turn, role, parent (the turn it
     replies to), root (the thread's first turn), depth, quotes (array of level,
     turn), text (without quotes)."""
+    before = written()
     parsed = cut(parse(messages, **columns), "parsed")
     linked = parsed.join(links(parsed), "message", "left").withColumn("parent", F.try_element_at("quotes", F.lit(1))["turn"])
     linked = cut(linked.select("conv_id", "turn", "role", "message", "own", "quotes", "parent"), "linked")
@@ -169,6 +170,7 @@ def format_chats(messages: DataFrame, **columns: str) -> DataFrame:
     tree = threads(known.groupBy("conv_id", "turn").agg(F.min("parent").alias("parent")))
     placed = known.join(tree, ["conv_id", "turn"])
     placed = numbered(placed, "conv_id", ["root", "turn", "message"], "position")
+    drop_since(before, "linked", "ranges")
     rest = linked.filter("conv_id is null or turn is null").withColumns({"root": F.col("turn"), "depth": F.lit(0).cast("long"), "position": F.lit(None).cast("long")})
     none = F.array().cast("array<struct<level:int,turn:bigint>>")
     return placed.unionByName(rest).select("conv_id", "position", "turn", "role", "parent", "root", "depth", F.coalesce("quotes", none).alias("quotes"), F.col("own").alias("text"))

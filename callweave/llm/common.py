@@ -23,7 +23,8 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_written: list[tuple[SparkSession, str]] = []
+#: Session, folder and name of what was written and is there still.
+_written: list[tuple[SparkSession, str, str]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,13 +76,13 @@ def cut(df: DataFrame, name: str, size: float | None = None) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    _written.append((spark, path.rsplit("/", 1)[0]))
+    _written.append((spark, path.rsplit("/", 1)[0], name))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard_later(spark: SparkSession, path: str) -> None:
     """Delete path when the program ends."""
-    _written.append((spark, path))
+    _written.append((spark, path, ""))
 
 
 def drop_cut(*cuts: DataFrame) -> None:
@@ -90,8 +91,25 @@ def drop_cut(*cuts: DataFrame) -> None:
         spark = df.sparkSession
         for path in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
             if "/cut-" in path:
-                _delete(spark, path)
-                _written[:] = [w for w in _written if w != (spark, path)]
+                _drop(path)
+
+
+def written() -> set[str]:
+    """Folders that are there; for drop_since."""
+    return {path for _, path, _ in _written}
+
+
+def drop_since(before: set[str], *keep: str) -> None:
+    """Delete what cut() has written since then but for the names to keep."""
+    for _, path, name in list(_written):
+        if path not in before and name not in keep:
+            _drop(path)
+
+
+def _drop(path: str) -> None:
+    for entry in [w for w in _written if w[1] == path]:
+        _delete(entry[0], path)
+        _written.remove(entry)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -102,7 +120,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _written:
+    for spark, path, _ in _written:
         if spark.sparkContext._jsc is not None:
             _delete(spark, path)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYS, NO_ID, cut, frugal, keyed, mix, prefix_hashes, rolling, row_keys, word_hashes
+from .common import KEYS, NO_ID, cut, drop_since, frugal, keyed, mix, prefix_hashes, rolling, row_keys, word_hashes, written
 from .groups import FEW, components, stream_groups
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.99999
@@ -217,7 +217,7 @@ def join(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: fl
     """Per row: doc_id, KEYS, class_key (null without grams), class_id (the
     smallest id of all that links connect), n_links (rows, copies included, of
     at least this similarity)."""
-    docs = keyed(docs, id_col, text_col)
+    docs, before = keyed(docs, id_col, text_col), written()
     signed = cut(signatures(docs, n, bands_for(similarity, recall, rows), rows), "signed")
     size = signed.count() * 64
     nodes = cut(
@@ -251,6 +251,7 @@ def join(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: fl
     placed = cut(placed, "placed", size)
     # Both sides of this join are read, so that Spark can split a hot root.
     ids = cut(placed.groupBy("root").agg(F.min("first_id").alias("class_id")), "ids", size)
+    drop_since(before, "signed", "placed", "ids")
     classes = placed.join(ids, "root").select("node", "root", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = signed.select("doc_id", *KEYS, "node").join(classes, "node", "left")
     return out.select("doc_id", *KEYS, F.col("root").alias("class_key"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
