@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import jaccard, packing, quality, suffix
-from callweave.llm.common import cut, read
+from callweave.llm.common import cut, drop_since, read, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        name = name.replace(" ", "-")
+        docs = cut(stage(spark, docs, sf_dir), name)
+        drop_since(before, name)  # what the stage has read and written on its way
     return STAGES[-1][1](spark, docs, sf_dir)
