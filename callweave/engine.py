@@ -195,10 +195,17 @@ class Engine:
 
     def remember(self, rows: DataFrame) -> None:
         rows = cut(rows)
+        self._known(rows, "type", schema.NOTE_TYPES)
         self.store.append("notes", rows)
         if self.embed is not None:
             self.store.append("note_vectors", rows.select("id", self.embed(F.concat_ws(" ", "title", "body")).alias("embedding")))
 
+    @staticmethod
+    def _known(rows: DataFrame, name: str, values: tuple[str, ...]) -> None:
+        odd = rows.filter(~F.coalesce(F.col(name).isin(*values), F.lit(False))).first()
+        if odd is not None:
+            raise ValueError(f"{name} {odd[name]!r} is none of {', '.join(values)}")
+
     def forget(self, ids: DataFrame) -> None:
         """Delete notes (id), their vectors and the edges at them."""
         ids = cut(ids.select("id").distinct())
@@ -210,6 +217,7 @@ class Engine:
     def link(self, rows: DataFrame) -> None:
         """Upsert note edges, whose ends have to be notes."""
         rows = cut(rows)
+        self._known(rows, "rel_type", schema.NOTE_RELATIONS)
         bad = notes.dangling(rows, self.store.read("notes")).first()
         if bad is not None:
             raise ValueError(f"no such note: {bad['from_id']} or {bad['to_id']}")
@@ -246,6 +254,8 @@ class Engine:
         self.store.append("health", row.crossJoin(v).withColumn("build_ts", F.lit(now).cast("long")).withColumn("commit_hash", F.lit(commit).cast("string")))  # one row each
 
     def health_history(self, metric: str) -> DataFrame:
+        if metric not in health.METRICS:
+            raise ValueError(f"{metric!r} is none of {', '.join(health.METRICS)}")
         return health.deltas(self.store.read("health"), metric)
 
 

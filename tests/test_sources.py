@@ -3,7 +3,8 @@
 import pytest
 
 from callweave.engine import Engine
-from callweave.operators import confidence, intent
+from callweave import sinks
+from callweave.operators import confidence, drift, intent
 from callweave.sources import config, coverage, files, git, parse
 from callweave.streaming import velocity
 from pyspark.sql import functions as F
@@ -124,6 +125,10 @@ def test_engine_hooks_notes_and_git(spark, tmp_path):
     assert {(r.from_id, r.created_ts) for r in e.store.read("note_edges").collect()} == {("1", 2), ("2", 1)}
     with pytest.raises(ValueError):
         e.link(spark.createDataFrame([("1", "9", "caused", 2, "you")], edge))
+    with pytest.raises(ValueError):
+        e.link(spark.createDataFrame([("1", "2", "odd", 2, "you")], edge))
+    with pytest.raises(ValueError):
+        e.remember(spark.createDataFrame([(*rows[0][:3], "odd", *rows[0][4:])], note))
     assert [r.id for r in e.trace(spark.createDataFrame([("3",)], "id string")).orderBy("depth").collect()] == ["3", "2", "1"]
     # An update by what git says: the changed unit's note pays, all decay by a half life.
     (tmp_path / "src/lib/b.py").write_text("def helper(x):\n    return 1\n")
@@ -141,11 +146,15 @@ def test_engine_hooks_notes_and_git(spark, tmp_path):
     e.update(files.read_tree(spark, root), "2024-01-03T00:00:00Z", now=18 * day)
     e.vuln("os.system", now=18 * day)
     warned = [r for r in e.list_notes().collect() if r.author == "agent:vuln"]
-    assert [(r.unit_id, r.area, r.tags[2]) for r in warned] == [("lib/b.py::helper", "lib", "os.system")]
+    assert [(r.unit_id, r.area, r.tags[2]) for r in warned] == [("lib/b.py::b", "lib", "os.system")]  # the first unit that holds the line
     assert {r.area: r.units for r in e.list_areas().collect()} == {"pkg": 2, "lib": 2}
     assert {r.id for r in e.search("helper", 3, area="LI").collect()} <= {"lib/b.py::helper", "lib/b.py::b"}
     assert "confidence" in e.decorated(e.units, files.read_tree(spark, root), 1.0).first().json
     assert set(e.onboard()) >= {"things_to_know"}
+    assert e.health_history("coupling").count() == 3 and e.export_notes().count() == 3
+    with pytest.raises(ValueError):
+        e.health_history("nothing")
+    assert sinks.exit_code(drift.verdict(e.validate(files.read_tree(spark, root)))) == 0
     mute = Engine(spark, str(tmp_path / "mute"), embed="none")
     mute.build(files.read_tree(spark, root), "2024-01-01T00:00:00Z")
     with pytest.raises(ValueError):
