@@ -1,6 +1,6 @@
 """Approximate nearest neighbours with a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample of the vectors (FIT_ROWS), with a number
+The tree is fitted on a bounded sample of the vectors (FIT_ROWS, FIT_BYTES), with a number
 of leaves in proportion to the rows as far as the sample bears it (a leaf for
 SAMPLED of its rows); every row is then dealt to a leaf. A query walks the tree
 best bin first: a priority queue gives the node whose centre is nearest, until
@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batch, bounded_batches, cut, frugal, shuffle_width
 
-#: Rows on which the tree is fitted and calibrated, and queries of these.
-FIT_ROWS, FIT_QUERIES = 65_536, 300
+#: Rows on which the tree is fitted and calibrated, their bytes where vectors
+#: are wide, and queries of these.
+FIT_ROWS, FIT_BYTES, FIT_QUERIES = 65_536, 64 << 20, 300
 #: Children of a node; rows of a leaf, and sampled rows that a leaf needs.
 BRANCHES, LEAF_ROWS, SAMPLED = 8, 128, 16
 RECALL = 0.97
@@ -297,6 +298,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, recall: float = RECALL, le
         return empty
     width, total = widths[0]["width"], widths[0]["n"]
     rows = rows.filter(F.size("vec") == width)
+    fit_rows = max(1, min(fit_rows, FIT_BYTES // (8 * width)))
     share = min(1.0, 1.1 * fit_rows / total)
     sample = (rows.sample(share, seed=11) if share < 1 else rows).select("vec").limit(fit_rows).toArrow()
     if not sample.num_rows:
