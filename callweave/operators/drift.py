@@ -27,12 +27,14 @@ def last_status(changes: DataFrame) -> DataFrame:
 def state_hash(hashes: DataFrame) -> DataFrame:
     """One row: the hash of all file hashes in order. The hash is defined over
     the whole list, so one task digests it, as it sorts it: spilled, not held."""
-    hashes = hashes.select("hash").filter("hash is not null").repartition(1).sortWithinPartitions("hash")
+    # A null stands in for an empty list, of which there would be no task.
+    mark = hashes.sparkSession.range(1).select(F.lit(None).cast("string").alias("hash"))
+    hashes = hashes.select("hash").filter("hash is not null").union(mark).repartition(1).sortWithinPartitions("hash")
 
     def digest(batches):
         state, first = hashlib.sha256(), True
         for batch in batches:
-            for value in batch.column("hash"):
+            for value in batch.column("hash").drop_null():
                 state.update((b"" if first else b"\n") + value.as_py().encode())
                 first = False
         yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], names=["state_hash"])
