@@ -166,7 +166,7 @@ def test_knn_and_hybrid(spark):
 
 def test_long_chains_have_an_end(spark, monkeypatch):
     monkeypatch.setattr(graph, "MERGE", 4)
-    n = 260
+    n = 210
     u, e = make(spark, [f"n{k:03d}" for k in range(n)], calls(*((f"n{k:03d}", f"n{k + 1:03d}") for k in range(n - 1))))
     e = e.unionByName(e.limit(1).withColumn("src_id", F.lit(f"n{n - 1:03d}")).withColumn("dst_id", F.lit("n200")))
     assert graph.reach(u, e, u.filter("id = 'n000'")).count() == n - 1
