@@ -80,13 +80,12 @@ def two_hops(edges: DataFrame, seeds: DataFrame, include_seeds: bool = False, fe
     if few:
         e = calls(edges)
         both = e.select("src_id", "dst_id").union(e.select("dst_id", "src_id"))
-        near = lambda ids: both.join(F.broadcast(ids.withColumnRenamed("id", "src_id")), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct()
-        start = seeds.select("id").distinct()
-        one = near(start)
+        start = seeds.select("id")
+        one = both.join(F.broadcast(start.withColumnRenamed("id", "src_id")), "src_id", "left_semi").select(F.col("dst_id").alias("id"))
         # The neighbours of a few units can be many: no broadcast.
         two = both.join(one.withColumnRenamed("id", "src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("id"))
-        found = one.union(two).distinct()
-        return found.union(start).distinct() if include_seeds else found.join(start, "id", "left_anti")
+        found = one.union(two)
+        return (found.union(start) if include_seeds else found.join(F.broadcast(start), "id", "left_anti")).distinct()
     both = both_ways(edges)
     start = cut(seeds.select("id").distinct())
 

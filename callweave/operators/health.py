@@ -55,8 +55,11 @@ def average_closure(units: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dead_share(units: DataFrame, edges: DataFrame) -> DataFrame:
-    d = graph.degrees(units, edges)
-    return d.agg(_share(F.count_if((F.col("n_in") == 0) & (F.col("n_out") == 0)), F.count("*"), 100.0).alias("dead_code_pct"))
+    return dead_of(graph.degrees(units, edges))
+
+
+def dead_of(degrees: DataFrame) -> DataFrame:
+    return degrees.agg(_share(F.count_if((F.col("n_in") == 0) & (F.col("n_out") == 0)), F.count("*"), 100.0).alias("dead_code_pct"))
 
 
 def tested(units: DataFrame, edges: DataFrame) -> DataFrame:
@@ -72,18 +75,18 @@ def test_surface(units: DataFrame, edges: DataFrame) -> DataFrame:
 
 def hub_concentration(units: DataFrame, edges: DataFrame) -> DataFrame:
     """Share of edges at the best-linked twentieth of units, ties included."""
-    return hub_edges(units, edges).crossJoin(graph.calls(edges).agg(F.count("*").alias("n"))).select(_share(F.col("hub"), F.col("n"), 100.0).alias("hub_concentration"))  # one row each
+    return hub_edges(graph.valid_edges(units, edges), cut(graph.degrees(units, edges))).crossJoin(graph.calls(edges).agg(F.count("*").alias("n"))).select(_share(F.col("hub"), F.col("n"), 100.0).alias("hub_concentration"))  # one row each
 
 
-def hub_edges(units: DataFrame, edges: DataFrame) -> DataFrame:
+def hub_edges(valid: DataFrame, degrees: DataFrame) -> DataFrame:
     """One row, hub: valid edges at the best-linked twentieth of units."""
-    degree = graph.degrees(units, edges).select("id", (F.col("n_in") + F.col("n_out")).alias("degree"))
+    degree = degrees.select("id", (F.col("n_in") + F.col("n_out")).alias("degree"))
     # The threshold row from counts by degree, not from ranking all units.
     by = degree.groupBy("degree").agg(F.count("*").alias("n"))
     total = by.agg(F.greatest(F.lit(1), F.floor(F.sum("n") * 0.05)).alias("cutoff"))
     above = by.crossJoin(total).withColumn("upto", F.sum("n").over(W.orderBy(F.desc("degree")))).filter("upto >= cutoff").agg(F.max("degree").alias("least"))  # a row a degree
     hubs = degree.crossJoin(above).filter("degree >= least and degree > 0").select("id")  # one row
-    e = graph.valid_edges(units, edges).select("src_id", "dst_id")
+    e = valid.select("src_id", "dst_id")
     e = e.join(hubs.select(F.col("id").alias("src_id"), F.lit(True).alias("a")), "src_id", "left").join(hubs.select(F.col("id").alias("dst_id"), F.lit(True).alias("b")), "dst_id", "left")
     return e.agg(F.count_if(F.col("a").isNotNull() | F.col("b").isNotNull()).alias("hub"))
 
@@ -130,14 +133,15 @@ def sparkline(snapshots: DataFrame, metric: str) -> DataFrame:
 
 
 def metrics(units: DataFrame, edges: DataFrame, areas) -> DataFrame:
-    """All metrics of the graph itself in one row. Valid edges are found once
-    and written; what divides by all edges but boundaries gets their number."""
+    """All metrics of the graph itself in one row. Valid edges and degrees
+    are found once and written; what divides by all edges but boundaries gets their number."""
     valid = cut(graph.valid_edges(units, edges).select("src_id", "dst_id", "rel_type"))
+    degrees = cut(graph.degrees(units, valid))
     n = graph.calls(edges).agg(F.count("*").alias("edge_count"))
     own = units.agg(F.count("*").alias("unit_count"))
     cross = placed(units, valid, areas).agg(F.count_if(F.col("src_area") != F.col("dst_area")).alias("cross"))
     out = cross.crossJoin(n).crossJoin(own)  # one row each
-    for one in (average_closure(units, valid), dead_share(units, valid), cohesion(units, valid, areas), test_surface(units, valid), hub_edges(units, valid)):
+    for one in (average_closure(units, valid), dead_of(degrees), cohesion(units, valid, areas), test_surface(units, valid), hub_edges(valid, degrees)):
         out = out.crossJoin(one)
     coupling_ = _share(F.col("cross"), F.col("edge_count")).alias("coupling")
     hub = _share(F.col("hub"), F.col("edge_count"), 100.0).alias("hub_concentration")

@@ -51,7 +51,9 @@ def hybrid(vectors: DataFrame, units: DataFrame, edges: DataFrame, query: list[f
     """id, source (matched or neighbour), distance, similarity, area: the k
     nearest units and what is two steps from them. area: a part of an area's
     name, of which only the units stay; the k nearest are chosen before."""
-    hits = knn(vectors, query, k, metric)
+    found = knn(vectors, query, k, metric)
+    # The k rows are what the steps below start from: found once, then literals.
+    hits = vectors.sparkSession.createDataFrame(found.toArrow())
     near = graph.two_hops(edges, hits, few=True).select("id", F.lit("neighbour").alias("source"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("double").alias("similarity"))
     every = hits.select("id", F.lit("matched").alias("source"), "distance", "similarity").unionByName(near)
     place = relative("file", areas) if areas else F.lit(None).cast("string")
