@@ -5,6 +5,22 @@ import pytest
 from callweave import sinks
 
 
+def test_a_cluster_has_to_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from callweave.lineage import shared_dir
+
+    def session(master, **conf):
+        own = SimpleNamespace(get=lambda key, default=None: conf.get(key, default))
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: own))
+
+    assert shared_dir(session("local[4]")).startswith("file:///") and shared_dir(session("local"))
+    assert shared_dir(session("spark://x:7077", **{"spark.checkpoint.dir": "hdfs://a/b/"})) == "hdfs://a/b"
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
+
+
 def test_documents_and_lookups(spark, tmp_path):
     u = spark.createDataFrame([("x/a::f", "f", "x/a.py", "function", 1, 3, "def f()", "Says | so"), ("y::g", "g", "y.py", "function", 1, 3, None, None)], "id string, name string, file string, type string, line_start int, line_end int, signature string, docstring string")
     e = spark.createDataFrame([("y::g", "x/a::f", "CALL")], "src_id string, dst_id string, rel_type string")
