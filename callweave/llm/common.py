@@ -58,7 +58,7 @@ def part_slices(hashes: np.ndarray, parts: int):
 
 
 #: Bytes of a file, where it is known how many there will be.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 8 << 20
 
 
 def cut(df: DataFrame, name: str, size: float | None = None) -> DataFrame:

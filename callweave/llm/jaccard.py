@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYS, NO_ID, cut, drop_since, frugal, keyed, mix, prefix_hashes, rolling, row_keys, word_hashes, written
+from .common import KEYS, NO_ID, cut, drop_since, frugal, keyed, mix, parts_for, prefix_hashes, rolling, row_keys, word_hashes, written
 from .groups import FEW, components, stream_groups
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.99999
@@ -230,15 +230,17 @@ def join(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: fl
     edges = banded.join(low.select("band", "hash", "low"), ["band", "hash"]).select(F.col("node").alias("a"), F.col("low").alias("b"))
     candidates = components(edges, few, 4 * size)
 
-    place = cells(nodes, banded, candidates, size).join(nodes.select("node", "keys", "copies", "bands"), "node")
-    place = place.select(*(F.col(f"keys.{k}").alias(k) for k in KEYS), "node", "copies", "cell", "band", "blocks", F.when(F.col("band") > 0, F.col("bands")).alias("bands"))
-    texts = docs.select(*KEYS, "text").join(place, KEYS).dropDuplicates([*KEYS, "cell"])  # of repeated rows, one
+    place = cells(nodes, banded, candidates, size).join(nodes.select("node", "keys", "copies", "bands", "grams"), "node")
+    place = cut(place.select(*(F.col(f"keys.{k}").alias(k) for k in KEYS), "node", "copies", "cell", "band", "blocks", "grams", F.when(F.col("band") > 0, F.col("bands")).alias("bands")), "place", size)
+    # Each set goes to a task for each of its cell's blocks.
+    parts = parts_for(docs.sparkSession, place.agg(F.sum(8 * F.col("grams") * F.col("blocks"))).first()[0] or 0)
+    texts = docs.select(*KEYS, "text").join(place.drop("grams"), KEYS).dropDuplicates([*KEYS, "cell"])  # of repeated rows, one
     sets = texts.select("node", "copies", "cell", "band", "blocks", "bands", "text").mapInArrow(frugal(_sets(n)), _MEMBER)
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     pair = {"low": F.least("block", "other"), "high": F.greatest("block", "other")}
     paired = sets.withColumn("block", block).withColumn("other", other).withColumns(pair).withColumn("task", F.xxhash64("cell", "low", "high"))
-    verified = cut(stream_groups(paired.drop("other"), "task", _verifier(similarity), VERIFIED, ("node",)), "verified")
+    verified = cut(stream_groups(paired.drop("other"), "task", _verifier(similarity), VERIFIED, ("node",), parts), "verified")
 
     stars = verified.filter("other is not null")
     roots = stars.filter("whole").select("node", F.col("other").alias("root"))
