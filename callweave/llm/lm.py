@@ -52,15 +52,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import runs
-from .common import arrow_batch, cut, discard_later, drop_cut, from_planes, frugal, keyed, mix, part_of, part_slices, parts_for, planes, prefix_hashes, shared_dir, span_hashes, text_bytes, word_spans
+from .common import arrow_batch, cut, discard_later, drop_cut, from_planes, frugal, keyed, mix, part_of, part_slices, parts_for, planes, prefix_hashes, shared_dir, shuffle_width, span_hashes, text_bytes, word_spans
 
 ORDER = 3
 FLUSH_TOKENS, SCORE_TOKENS = 1_000_000, 500_000
 END, BEGIN = (int(x) for x in mix(np.array([11, 12], dtype=np.uint64)))
 #: The number of a word that the training part doesn't have.
 UNKNOWN = np.uint32(0xFFFFFFFF)
-#: Occurrences from which on a word is a frequent middle.
-FREQUENT = 1_000_000
+#: Occurrences from which on a word is a frequent middle: fewer where a part's
+#: share of all words, of about WORD_BYTES each, is less.
+FREQUENT, WORD_BYTES = 1_000_000, 6
 #: About the packed bytes of an n-gram.
 GRAM_BYTES = 5
 HELD_OUT = 10
@@ -565,7 +566,7 @@ def _totals(rows: DataFrame, level: int) -> np.ndarray:
     return sum((np.frombuffer(r["a"], np.int64) for r in got), np.zeros(5, np.int64))
 
 
-def train(docs: DataFrame, order: int = ORDER, frequent: int = FREQUENT, flush: int = FLUSH_TOKENS) -> Model:
+def train(docs: DataFrame, order: int = ORDER, frequent: int | None = None, flush: int = FLUSH_TOKENS) -> Model:
     """Count keyed docs that aren't held out, and write the model."""
     if order < 2:
         raise ValueError("an order of 2 at least")
@@ -578,7 +579,10 @@ def train(docs: DataFrame, order: int = ORDER, frequent: int = FREQUENT, flush:
     discard_later(spark, "file://" + folder.rsplit("/", 1)[0])
     texts = docs.select("doc_id", "text")
 
-    parts = parts_for(spark, text_bytes(docs) / 8)
+    size = text_bytes(docs)
+    if frequent is None:
+        frequent = min(FREQUENT, max(1000, size // (WORD_BYTES * shuffle_width(spark))))
+    parts = parts_for(spark, size / 8)
     counted = texts.mapInArrow(frugal(_count_words(parts, flush)), _WORDS).repartitionById(parts, F.col("part"))
     done = cut(counted.mapInArrow(frugal(_word_part(folder, frequent)), _TOTALS), "totals")
     by = {r["part"]: r for r in done.collect()}  # a row a part
