@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, blocks, bpe, chat, jaccard, lm, packing, quality, suffix
+from . import ann, blocks, bpe, chat, jaccard, lexical, lm, mixing, packing, quality, spelling, suffix
 from . import license as license_scan
 from .common import read
 
@@ -67,6 +67,19 @@ def op10_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_jaccard": op2_jaccard,
@@ -78,5 +91,28 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_lm": op9_lm,
     "op10_blocks": op10_blocks,
+    "op11_mixing": op11_mixing,
+    "op12_spelling": op12_spelling,
+    "op13_lexical": op13_lexical,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_LEXICAL = """
+WITH terms AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+    FROM documents
+), asked AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+    FROM benchmark
+), size AS (SELECT doc_id, CAST(count(*) AS HUGEINT) AS n FROM terms GROUP BY doc_id),
+corpus AS (SELECT CAST(count(*) AS HUGEINT) AS nn, CAST(sum(n) AS HUGEINT) AS ll FROM size),
+posting AS (SELECT doc_id, term, CAST(count(*) AS HUGEINT) AS tf FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * CAST(nn AS DOUBLE) + 2) / (2 * df + 1))) AS HUGEINT) AS w FROM (SELECT term, count(*) AS df FROM posting GROUP BY term), corpus),
+impact AS (
+    SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nn) // ll))) AS v
+    FROM posting JOIN size USING (doc_id) JOIN weight USING (term), corpus
+), scored AS (SELECT item_id, doc_id, CAST(sum(v) AS BIGINT) AS score FROM asked JOIN impact USING (term) GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_lexical": _LEXICAL}
