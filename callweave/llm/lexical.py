@@ -280,7 +280,7 @@ def _round(docs: DataFrame, items: list[tuple[int, Counter]], k: int, id_col: st
     df = blocks.select("terms", "df").mapInArrow(frugal(_frequencies), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     weights = {r["term"]: weight(n, r["df"]) for r in df.collect()}  # asked terms only
     queries = {i: [(asked[t], c) for t, c in sorted(count.items())] for i, count in items if count}
-    return cut(blocks.mapInArrow(frugal(_searched(queries, weights, n, total, k)), _FOUND), "found", 0)
+    return cut(blocks.mapInArrow(frugal(_searched(queries, weights, n, total, k)), _FOUND), "found")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = TOP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", query_col: str = "text", query_bytes: int = QUERY_BYTES) -> DataFrame:
