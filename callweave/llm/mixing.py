@@ -242,13 +242,15 @@ def _decide_large(seed: int):
 def _without_large(units: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """rank, key1, key2, z of large units; the other ones with probabilities
     that make up for these."""
-    open_ = units.groupBy("rank").agg(F.sum("size").alias("open"))
+    # What is a row a source is written before it is joined: Spark then knows its
+    # size, and needn't shuffle a hot source.
+    open_ = cut(units.groupBy("rank").agg(F.sum("size").alias("open")), "open", 0)
     marked = cut(units.join(open_, "rank").withColumn("large", F.col("size") * LARGE > F.col("open")), "marked")
     small = ~F.col("large")
     words, expected = F.sum(F.when(small, F.col("size")).otherwise(0)), F.sum(F.when(small, F.col("size") * F.col("p")).otherwise(0.0))
-    others = marked.groupBy("rank").agg(words.alias("others"), F.coalesce(F.try_divide(expected, words), F.lit(0.0)).alias("share"))
+    others = cut(marked.groupBy("rank").agg(words.alias("others"), F.coalesce(F.try_divide(expected, words), F.lit(0.0)).alias("share")), "others", 0)
     large = cut(stream_groups(marked.filter("large").join(others, "rank").drop("open", "large"), "rank", _decide_large(seed), _UNIT), "large")
-    now = large.filter(F.col("z") == OTHERS).join(others, "rank").select("rank", "share", F.col("p").alias("now"))
+    now = cut(large.filter(F.col("z") == OTHERS).join(others, "rank").select("rank", "share", F.col("p").alias("now")), "now", 0)
     up = 1 - (1 - F.col("p")) * (1 - F.col("now")) / (1 - F.col("share"))
     moved = F.when(F.col("now").isNull() | (F.col("now") == F.col("share")), F.col("p")).when(F.col("now") > F.col("share"), up).otherwise(F.col("p") * F.col("now") / F.col("share"))
     moved = F.when(moved < NEAR, 0.0).when(moved > 1 - NEAR, 1.0).otherwise(moved)
@@ -280,7 +282,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int
     """doc_id, source, size, source_size, target, copies, taken of every row."""
     row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *row_keys(id_col, text_col))
     rows = cut(row.groupBy("doc_id", "source", "size", *KEYS).agg(F.count("*").alias("m")), "rows")
-    sources = cut(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")), weights, limit), "targets")
+    sources = cut(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size")), weights, limit), "targets", 0)
     # The keys of a unit tell its source too.
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) * F.col("m")
     placed = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
