@@ -11,7 +11,7 @@ from . import schema, sinks
 from .functions.text import embedding_text
 from .lineage import cut
 from .operators import areas as area_rules
-from .operators import confidence, context, drift, graph, health, intent, linking, notes, onboarding, reports, vectors, viz
+from .operators import confidence, context, drift, graph, health, intent, linking, notes, onboarding, relink, reports, vectors, viz
 from .sources import config as config_source
 from .sources import files as file_source
 from .sources import parse
@@ -40,22 +40,27 @@ class Engine:
 
     # ------------------------------------------------------ build and update
 
-    def _publish(self, units: DataFrame, captures: DataFrame, edges: DataFrame, hashes: DataFrame, built: str) -> str:
-        vecs = self.spark.createDataFrame([], schema.VECTORS)
-        if self.embed is not None:
-            vecs = units.select("id", self.embed(embedding_text("name", "signature", "docstring")).alias("embedding"))
+    def _embedded(self, units: DataFrame) -> DataFrame:
+        """id, embedding, file of units."""
+        if self.embed is None:
+            return self.spark.createDataFrame([], schema.VECTORS + ", file string")
+        return units.select("id", self.embed(embedding_text("name", "signature", "docstring")).alias("embedding"), "file")
+
+    def _meta(self, hashes: DataFrame, built: str) -> DataFrame:
         state = drift.state_hash(hashes).select(F.lit("state_hash").alias("key"), F.col("state_hash").alias("value"))
-        meta = self.spark.createDataFrame([("schema_version", str(schema.SCHEMA_VERSION)), ("last_build", built)], schema.META).union(state)
-        return self.store.publish({"units": units, "captures": captures, "edges": edges, "vectors": vecs, "file_hashes": hashes, "meta": meta})
+        return self.spark.createDataFrame([("schema_version", str(schema.SCHEMA_VERSION)), ("last_build", built)], schema.META).union(state)
 
     def build(self, files: DataFrame, built: str, now: int | None = None, commit: str | None = None, documents: str | None = None) -> str:
         """Index files (file, content, hash) anew; built is an ISO time. Then
         notes decay, the metrics join the history and, if a folder is named,
-        the areas' documents are written."""
-        parsed = parse.parse(files)
-        units, captures = parse.units_of(parsed), parse.captures_of(parsed)
-        name = self._publish(units, captures, linking.link(captures, units), files.select("file", "hash"), built)
-        self._after(None, now, commit, documents)
+        the areas' documents are written. One engine builds or updates at a time."""
+        with self.store.lease() as lease:
+            before = self.store.number()
+            parsed = cut(parse.parse(files))
+            units, captures, hashes = cut(parse.units_of(parsed)), relink.with_names(parse.captures_of(parsed)), cut(files.select("file", "hash"))
+            edges = linking.link_named(captures, units)
+            name = self.store.publish({"units": units, "captures": captures, "edges": edges, "vectors": self._embedded(units), "file_hashes": hashes, "meta": self._meta(hashes, built)}, files=hashes.count(), based_on=before, lease=lease)
+            self._after(None, now, commit, documents)
         return name
 
     def changes(self, files: DataFrame, listed: DataFrame | None = None, status: DataFrame | None = None) -> DataFrame:
@@ -70,20 +75,57 @@ class Engine:
             return status.select("file", "status").filter(wanted)
         return drift.hash_diff(self.store.read("file_hashes"), files.select("file", "hash"))
 
-    def update(self, files: DataFrame, built: str, now: int | None = None, commit: str | None = None, documents: str | None = None, **found: DataFrame) -> str:
-        """Bring the index to the state of files, parsing only what differs."""
-        changes = cut(self.changes(files, **found))
-        parsed = parse.parse(files.join(changes.filter("status <> 'D'").select("file"), "file", "left_semi"))
-        u, c, e = drift.update(self.units, self.store.read("captures"), changes, parse.units_of(parsed), parse.captures_of(parsed))
-        touched = cut(self.units.join(changes.select("file"), "file", "left_semi").select("id"))
-        name = self._publish(u, c, e, files.select("file", "hash"), built)
-        self._after(touched, now, commit, documents)
+    def update(self, files: DataFrame, built: str, now: int | None = None, commit: str | None = None, documents: str | None = None, batch: tuple[str, int] | None = None, **found: DataFrame) -> str:
+        """Bring the index to the state of files: what differs is parsed, and
+        what it can touch linked; only the parts of buckets with rows that change
+        are written. batch: a stream and the number of its micro-batch, of which a
+        replay publishes nothing."""
+        with self.store.lease() as lease:
+            before = self.store.number()
+            if not before:
+                raise ValueError("there is no index to update")
+            changes = cut(self.changes(files, **found).select("file", "status"))
+            if batch and self.store.applied(batch):
+                name = self.store.current()
+                touched = relink.of_files(self.store.read("units", self.store.buckets_of(changes)), changes).select("id")
+            else:
+                name, touched = self._apply(files, changes, built, before, lease, batch)
+            self._after(touched, now, commit, documents, batch)
         return name
 
-    def _after(self, touched: DataFrame | None, now: int | None, commit: str | None, documents: str | None) -> None:
+    def _apply(self, files: DataFrame, changes: DataFrame, built: str, before: int, lease, batch) -> tuple[str, DataFrame]:
+        """The new snapshot's name, and the units (id) of changed files."""
+        now = cut(files.join(changes.filter("status <> 'D'").select("file"), "file", "left_semi").select("file", "content", "hash"))
+        parsed = cut(parse.parse(now))
+        units, captures = cut(parse.units_of(parsed)), parse.captures_of(parsed)
+        old = lambda table, buckets=None: self.store.read(table, buckets, stored=True)
+        done = relink.change(old("units"), old("captures"), changes, units, captures)
+        own = self.store.buckets_of(changes)
+        linked = own | self.store.buckets_of(done.captures.select("file"))
+        kept = lambda table: relink.without_files(old(table, own), changes)
+        hashes = cut(relink.without_files(old("file_hashes"), changes).unionByName(now.select("file", "hash")))
+        touched = cut(relink.of_files(old("units", own), changes).select("id").union(units.select("id")).distinct())
+        new = {
+            "units": kept("units").unionByName(units),
+            "captures": kept("captures").unionByName(relink.with_names(captures)),
+            "edges": done.removed(old("edges", linked)).unionByName(done.edges),
+            "vectors": kept("vectors").unionByName(self._embedded(units)),
+            "file_hashes": kept("file_hashes").unionByName(now.select("file", "hash")),
+            "meta": self._meta(hashes, built),
+        }
+        buckets = {table: linked if table == "edges" else own for table in new if table != "meta"}
+        return self.store.publish(new, buckets=buckets, based_on=before, lease=lease, batch=batch), touched
+
+    def on_batch(self, files, built, stream: str = "changes", **how):
+        """For velocity.watch_changes, whose frames are changes (file, status):
+        an update of each micro-batch, once. files() and built() give the files
+        and the time then."""
+        return lambda frame, number: self.update(files(), built(), batch=(stream, number), listed=frame, **how)
+
+    def _after(self, touched: DataFrame | None, now: int | None, commit: str | None, documents: str | None, batch: tuple[str, int] | None = None) -> None:
         now = int(time.time()) if now is None else now
         self.decay(now, touched)
-        self.snapshot_health(now, commit)
+        self.snapshot_health(now, commit, batch)
         if documents is not None:
             self.area_documents().write.mode("overwrite").json(documents)
 
@@ -246,12 +288,12 @@ class Engine:
 
     # --------------------------------------------------------------- history
 
-    def snapshot_health(self, now: int, commit: str | None = None) -> None:
+    def snapshot_health(self, now: int, commit: str | None = None, batch: tuple[str, int] | None = None) -> None:
         """Append the metrics to the history, which later builds keep."""
         row = cut(self.health())
         current = row.first()["unit_count"]
         v = cut(health.drift_velocity(self.store.read("health"), current, now))
-        self.store.append("health", row.crossJoin(v).withColumn("build_ts", F.lit(now).cast("long")).withColumn("commit_hash", F.lit(commit).cast("string")))  # one row each
+        self.store.append("health", row.crossJoin(v).withColumn("build_ts", F.lit(now).cast("long")).withColumn("commit_hash", F.lit(commit).cast("string")), batch)  # one row each
 
     def health_history(self, metric: str) -> DataFrame:
         if metric not in health.METRICS:

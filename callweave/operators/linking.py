@@ -37,27 +37,31 @@ def _named(units: DataFrame) -> DataFrame:
 
 def local_edges(calls: DataFrame, units: DataFrame) -> DataFrame:
     to = _named(units).withColumnRenamed("to_file", "file")
-    found = calls.join(to, ["file", "callee"]).groupBy("cap", "src_id", "file").agg(F.min_by("to", F.struct("line_start", "to")).alias("dst_id"))
-    return found.select("src_id", "dst_id", F.lit(LOCAL).alias("rel_type"), "file")
+    found = calls.join(to, ["file", "callee"]).groupBy("cap", "src_id", "file", "callee").agg(F.min_by("to", F.struct("line_start", "to")).alias("dst_id"))
+    return found.select("src_id", "dst_id", F.lit(LOCAL).alias("rel_type"), "file", "callee")
 
 
-def external_edges(calls: DataFrame, units: DataFrame) -> DataFrame:
-    """The first of other files by file, line and id. Per name the first unit
-    and the first of another file are kept, so a common name costs two rows."""
+def registry(units: DataFrame) -> DataFrame:
+    """callee, one, two: of each name the first unit by file, line and id, and
+    the first of another file, so that a common name costs two rows."""
     first = F.struct("to_file", "line_start", "to")
     by_file = _named(units).groupBy("callee", "to_file").agg(F.min(first).alias("best"))
     lead = by_file.groupBy("callee").agg(F.min("best").alias("one"))
     next_ = by_file.join(lead, "callee").filter("to_file <> one.to_file").groupBy("callee").agg(F.min("best").alias("two"))
-    both = lead.join(next_, "callee", "left")
+    return lead.join(next_, "callee", "left")
+
+
+def external_edges(calls: DataFrame, units: DataFrame) -> DataFrame:
+    """The first of other files by file, line and id."""
     to = F.when(F.col("one.to_file") != F.col("file"), F.col("one.to")).otherwise(F.col("two.to"))
-    found = calls.join(both, "callee").withColumn("dst_id", to).filter("dst_id is not null")
-    return found.select("src_id", "dst_id", F.lit(EXTERNAL).alias("rel_type"), "file")
+    found = calls.join(registry(units), "callee").withColumn("dst_id", to).filter("dst_id is not null")
+    return found.select("src_id", "dst_id", F.lit(EXTERNAL).alias("rel_type"), "file", "callee")
 
 
 def boundary_edges(calls: DataFrame, units: DataFrame) -> DataFrame:
     """Calls of names that no unit has."""
     found = calls.join(units.select(F.col("name").alias("callee")), "callee", "left_anti")
-    return found.select("src_id", F.concat(F.lit(EXTERNAL_PREFIX), F.col("callee")).alias("dst_id"), F.lit(BOUNDARY).alias("rel_type"), "file")
+    return found.select("src_id", F.concat(F.lit(EXTERNAL_PREFIX), F.col("callee")).alias("dst_id"), F.lit(BOUNDARY).alias("rel_type"), "file", "callee")
 
 
 def import_edges(captures: DataFrame, units: DataFrame) -> DataFrame:
@@ -69,9 +73,14 @@ def import_edges(captures: DataFrame, units: DataFrame) -> DataFrame:
 
 def link(captures: DataFrame, units: DataFrame, mode: str = "first") -> DataFrame:
     """All edges; of equal ones (src, dst, kind) that of the first file stays."""
+    return link_named(captures, units, mode).drop("callee")
+
+
+def link_named(captures: DataFrame, units: DataFrame, mode: str = "first") -> DataFrame:
+    """link, with the name by which an edge was found."""
     calls = _calls(captures, units, mode)
     every = local_edges(calls, units).unionByName(external_edges(calls, units)).unionByName(boundary_edges(calls, units)).unionByName(import_edges(captures, units))
-    return every.groupBy("src_id", "dst_id", "rel_type").agg(F.min("file").alias("file"))
+    return every.groupBy("src_id", "dst_id", "rel_type").agg(F.min("file").alias("file"), F.min("callee").alias("callee"))
 
 
 def dedupe_units(units: DataFrame) -> DataFrame:
