@@ -15,20 +15,21 @@ from .operators import confidence, context, drift, graph, health, intent, linkin
 from .sources import config as config_source
 from .sources import files as file_source
 from .sources import parse
-from .store import Store
+from .store import STORED, TABLES, Store
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, areas: dict[str, str] | None = None, tracked=file_source.TRACKED, embed=vectors.hashed_embedding, half_life: float = schema.HALF_LIFE):
+    def __init__(self, spark: SparkSession, root: str, areas: dict[str, str] | None = None, tracked=file_source.TRACKED, embed=vectors.hashed_embedding, half_life: float = schema.HALF_LIFE, stale: float = 0.1, possibly_stale: float = 0.3):
         """embed: a function of a text column, or the name of one; None searches
         by vectors only."""
         own = vectors.embedder(embed) if isinstance(embed, str) else embed
+        self.stale, self.possibly_stale = stale, possibly_stale
         self.spark, self.store, self.areas, self.tracked, self.embed, self.half_life = spark, Store(spark, root), areas or {}, tracked, own, half_life
 
     @classmethod
     def of_config(cls, spark: SparkSession, root: str, path: str) -> Engine:
         c = config_source.load_config(path)
-        return cls(spark, root, c.areas, c.tracked, c.embedding, c.half_life)
+        return cls(spark, root, c.areas, c.tracked, c.embedding, c.half_life, c.stale, c.possibly_stale)
 
     @property
     def units(self) -> DataFrame:
@@ -136,6 +137,34 @@ class Engine:
         old = self.units.join(changes.select("file"), "file", "left_semi")
         return drift.classify(changes, drift.unit_drift(old, own))
 
+    def exit_code(self, files: DataFrame) -> int:
+        """Of a check of files against the index: 1 for structural drift."""
+        return sinks.exit_code(drift.verdict(self.validate(files)))
+
+    def map_is_current(self, text: str) -> bool:
+        """Whether a map of areas that was pulled is of the index's state."""
+        return sinks.map_is_current(text, self._state())
+
+    def _state(self) -> str:
+        row = self.store.read("meta").filter("key = 'state_hash'").first()
+        return row["value"] if row else ""
+
+    def migrate(self, steps: dict, wanted: int = schema.SCHEMA_VERSION) -> list[int]:
+        """Bring an index of an older version to this one: steps has for each
+        version a function of the store that returns the tables of the next. All
+        are published as one snapshot; the versions passed are returned."""
+        with self.store.lease() as lease:
+            found, before = self.store.manifest()["version"], self.store.number()
+            todo = sinks.migration_steps(found, wanted, list(steps))
+            tables = {}
+            for version in todo:
+                tables |= steps[version](self.store)
+            if todo:
+                meta = self.store.read_any("meta", schema.META).filter("key <> 'schema_version'").union(self.spark.createDataFrame([("schema_version", str(wanted))], schema.META))
+                whole = {table: tables.get(table, self.store.read_any(table, ddl + (f", {STORED[table]}" if table in STORED else ""))) for table, ddl in TABLES.items() if table != "meta"}
+                self.store.publish(whole | {"meta": meta}, files=whole["file_hashes"].count(), based_on=before, lease=lease)
+            return todo
+
     # --------------------------------------------------------------- lookups
 
     def target(self, name: str) -> DataFrame:
@@ -155,8 +184,7 @@ class Engine:
 
     def area_documents(self) -> DataFrame:
         """area, text: each area's document, and `map` for the whole."""
-        state = self.store.read("meta").filter("key = 'state_hash'").first()
-        whole = sinks.area_map(self.units, self.area_table(), state["value"] if state else "").select(F.lit("map").alias("area"), "text")
+        whole = sinks.area_map(self.units, self.area_table(), self._state()).select(F.lit("map").alias("area"), "text")
         return sinks.area_documents(self.units, self.edges, self.area_table()).union(whole)
 
     def _query_vector(self, text: str):
@@ -280,7 +308,7 @@ class Engine:
         before = self.store.read("notes")
         if before.isEmpty():
             return 0
-        after = cut(notes.recompute_decay(before, now, changed, self.half_life))
+        after = cut(notes.recompute_decay(before, now, changed, self.half_life, stale=self.stale, possibly=self.possibly_stale))
         n = notes.changed_rows(before, after).first()["changed"]
         if n:
             self.store.replace("notes", after)

@@ -56,8 +56,8 @@ def decay(age_days, changed, half_life: float = 70.0, penalty: float = 0.3) -> C
     return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
 
 
-def decay_status(score) -> Column:
-    return F.when(col(score) < 0.1, "stale").when(col(score) < 0.3, "possibly_stale").otherwise("active")
+def decay_status(score, stale: float = 0.1, possibly: float = 0.3) -> Column:
+    return F.when(col(score) < stale, "stale").when(col(score) < possibly, "possibly_stale").otherwise("active")
 
 
 def trend(delta) -> Column:

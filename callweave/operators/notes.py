@@ -32,13 +32,13 @@ def recall(notes: DataFrame, note_vectors: DataFrame, query: list[float], limit:
     return vectors.knn(own, query, limit, metric="cosine").join(kept, "id").orderBy("distance", "id")
 
 
-def recompute_decay(notes: DataFrame, now: int, changed: DataFrame | None = None, half_life: float = HALF_LIFE, penalty: float = 0.3) -> DataFrame:
+def recompute_decay(notes: DataFrame, now: int, changed: DataFrame | None = None, half_life: float = HALF_LIFE, penalty: float = 0.3, stale: float = 0.1, possibly: float = 0.3) -> DataFrame:
     """notes with new decay_score and status. changed: id of changed units."""
     mark = notes.withColumn("__changed", F.lit(False))
     if changed is not None:
         mark = notes.join(changed.select(F.col("id").alias("unit_id"), F.lit(True).alias("__changed")).distinct(), "unit_id", "left")
     score = decay((F.lit(now) - F.col("created_ts")) / 86400.0, F.coalesce("__changed", F.lit(False)), half_life, penalty)
-    return mark.withColumn("decay_score", score).withColumn("status", decay_status("decay_score")).select(notes.columns)
+    return mark.withColumn("decay_score", score).withColumn("status", decay_status("decay_score", stale, possibly)).select(notes.columns)
 
 
 def changed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -60,13 +60,7 @@ def attach(units: DataFrame, notes: DataFrame) -> DataFrame:
 def anchor(units: DataFrame, name: str) -> DataFrame:
     """The first unit of that name or id ending, with the number of such."""
     found = units.filter((F.col("name") == name) | F.col("id").endswith("::" + name))
-    return found.select("*", F.count("*").over(_all()).alias("matches")).orderBy("file", "line_start", "id").limit(1)
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
+    return found.orderBy("file", "line_start", "id").limit(1).crossJoin(found.agg(F.count("*").alias("matches")))  # one row each
 
 
 def without(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

@@ -16,14 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_index: dict[tuple[str, str, str], DataFrame] = {}
+_index: dict[tuple, DataFrame] = {}
+
+
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Names and times of what a folder holds."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return tuple(sorted((s.getPath().getName(), s.getModificationTime()) for s in found))
 
 
 def indexed(make):
-    """The view as an index holds it: written once a session, then read."""
+    """The view as an index holds it: written once a session, then read, as long
+    as the tables are the same."""
 
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+        key = (spark.sparkContext.applicationId, sf_dir, make.__name__, _state(spark, sf_dir))
         if key not in _index:
             _index[key] = cut(make(spark, sf_dir).coalesce(max(1, spark.sparkContext.defaultParallelism)))
         return _index[key]

@@ -1,12 +1,8 @@
 """Exports: Markdown and JSON as frames of text, one row a document or line,
-so that they are written by executors; and the lock of a build."""
+so that they are written by executors; and the steps of a migration."""
 
 from __future__ import annotations
 
-import os
-import socket
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +50,7 @@ def context_markdown(filled: DataFrame) -> DataFrame:
 def health_table(snapshots: DataFrame, names: list[str]) -> DataFrame:
     """A line of a table for each snapshot, with the given metrics to four
     places, in the order of the builds."""
-    cells = [F.coalesce(F.format_number(F.col(n).cast("double"), 4), F.lit("-")) for n in names]
+    cells = [F.coalesce(F.when(F.col(n).isNotNull(), F.format_string("%.4f", F.col(n).cast("double"))), F.lit("-")) for n in names]
     return snapshots.select("build_ts", F.concat(F.lit("| "), F.concat_ws(" | ", F.col("build_ts").cast("string"), *cells), F.lit(" |")).alias("line")).orderBy("build_ts")
 
 
@@ -79,51 +75,6 @@ def find_units(units: DataFrame, name: str | None = None, file: str | None = Non
     return found.orderBy("file", "line_start", "id").limit(limit)
 
 
-class BuildLock:
-    """A file with the machine and process that build, created only where there
-    is none. One of a dead process of this machine, or one that names none, is
-    taken; whether a process of another machine lives is not known, so it holds."""
-
-    def __init__(self, path: str):
-        self.path, self.own = path, f"{socket.gethostname()} {os.getpid()}"
-
-    def _held(self) -> str | None:
-        try:
-            with open(self.path) as f:
-                held = f.read()
-            host, pid = held.split()
-            if host == socket.gethostname():
-                os.kill(int(pid), 0)
-            return held
-        except PermissionError:
-            return held
-        except (OSError, ValueError):
-            return None
-
-    def __enter__(self) -> BuildLock:
-        # The name and its content appear in one step, and only if it is free.
-        draft = f"{self.path}.{uuid.uuid4().hex}"
-        with open(draft, "w") as f:
-            f.write(self.own)
-        try:
-            for last in (False, True):
-                try:
-                    os.link(draft, self.path)
-                    return self
-                except FileExistsError:
-                    held = self._held()
-                    if held is not None or last:
-                        raise RuntimeError(f"{held or 'another process'} is building") from None
-                    os.replace(self.path, f"{draft}.old")  # one of several takers gets it
-                    os.unlink(f"{draft}.old")
-        finally:
-            os.unlink(draft)
-        raise AssertionError
-
-    def __exit__(self, *_) -> None:
-        os.unlink(self.path)
-
-
 def migration_steps(found: int, wanted: int, known: list[int]) -> list[int]:
     """Versions to pass on the way, each by its own script."""
     if found > wanted:

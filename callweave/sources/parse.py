@@ -16,15 +16,42 @@ from .scan import scan
 PARSED = "kind string, capture_name string, name string, file string, type string, line_start int, line_end int, signature string, docstring string, text string"
 
 
+#: What a file may do to its parser, syntax errors apart: too deep nesting ends in
+#: one of the last two.
+FAULTS = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
+def _warning(file: str, text: str) -> tuple:
+    return "warning", None, None, file, None, None, None, None, None, text
+
+
 def parse_python(file: str, content: str):
-    """Rows of a Python file; one with a syntax error is scanned instead, with a
-    warning."""
+    """Rows of a Python file; one that the grammar rejects, or that is nested too
+    deeply for it, is scanned instead, with a warning."""
     try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError) as e:
-        yield "warning", None, None, file, None, None, None, None, None, f"syntax error: {e.msg if isinstance(e, SyntaxError) else e}"
-        yield from scan(file, content, "python")
-        return
+        rows = list(_python_rows(file, content))
+    except FAULTS as e:
+        kind = "syntax error" if isinstance(e, (SyntaxError, ValueError)) else "nested too deeply"
+        rows = [_warning(file, f"{kind}: {e.msg if isinstance(e, SyntaxError) else e}"), *scan(file, content, "python")]
+    yield from rows
+
+
+def callee(node: ast.expr, content: str) -> str:
+    """The text of what is called: a chain of names is put together from its end."""
+    names, at = [], node
+    while isinstance(at, ast.Attribute):
+        names.append(at.attr)
+        at = at.value
+    if isinstance(at, ast.Name):
+        return ".".join([at.id, *reversed(names)])
+    try:
+        return ast.unparse(node)
+    except RecursionError:
+        return ast.get_source_segment(content, node) or ""
+
+
+def _python_rows(file: str, content: str):
+    tree = ast.parse(content)
     lines = content.split("\n")
     for node in ast.walk(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
@@ -37,16 +64,20 @@ def parse_python(file: str, content: str):
         elif isinstance(node, (ast.Import, ast.ImportFrom)):
             yield "capture", "import", None, file, None, node.lineno, node.lineno, None, None, ast.get_source_segment(content, node)
         elif isinstance(node, ast.Call):
-            yield "capture", "call", None, file, None, node.lineno, node.lineno, None, None, ast.unparse(node.func)
+            yield "capture", "call", None, file, None, node.lineno, node.lineno, None, None, callee(node.func, content)
 
 
 def parse_file(file: str, content: str, lang: str | None):
     if lang is None:
-        yield "warning", None, None, file, None, None, None, None, None, "no parser"
+        yield _warning(file, "no parser")
         return
     stem = file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
     yield "unit", "module", stem, file, "module", 1, content.count("\n") + 1, None, None, None
-    yield from parse_python(file, content) if lang == "python" else scan(file, content, lang)
+    try:
+        rows = list(parse_python(file, content) if lang == "python" else scan(file, content, lang))
+    except FAULTS as e:  # one file must not end a build
+        rows = [_warning(file, f"not read: {type(e).__name__}")]
+    yield from rows
 
 
 def parse(files: DataFrame) -> DataFrame:

@@ -1,5 +1,3 @@
-import os
-
 import pytest
 
 from callweave import sinks
@@ -31,20 +29,11 @@ def test_documents_and_lookups(spark, tmp_path):
     assert "| all | 2 |" in text and sinks.map_is_current(text, "abc") and not sinks.map_is_current(text, "abd")
     assert '"kind":"unit"' in sinks.as_json(u, "kind=unit").first().json
     assert sinks.find_units(u, name="g").count() == 1 and sinks.find_units(u, file="A.PY", line=2).first().name == "f"
-    lock = str(tmp_path / "lock")
-    with sinks.BuildLock(lock), pytest.raises(RuntimeError), sinks.BuildLock(lock):
-        pass
-    assert not os.path.exists(lock)
-    with open(lock, "w") as f:
-        f.write("broken")
-    with sinks.BuildLock(lock):
-        pass
-    with open(lock, "w") as f:
-        f.write("another-machine 1")
-    with pytest.raises(RuntimeError), sinks.BuildLock(lock):
-        pass
-    os.unlink(lock)
-    assert os.listdir(tmp_path) == []
     assert sinks.migration_steps(1, 3, [1, 2]) == [1, 2]
     with pytest.raises(ValueError):
         sinks.migration_steps(2, 1, [])
+
+
+def test_health_table_has_no_separators(spark):
+    rows = spark.createDataFrame([(1, 1234.5, None), (2, 0.25, 7.0)], "build_ts long, coupling double, cohesion double")
+    assert [r.line for r in sinks.health_table(rows, ["coupling", "cohesion"]).collect()] == ["| 1 | 1234.5000 | - |", "| 2 | 0.2500 | 7.0000 |"]

@@ -261,6 +261,34 @@ def test_broken_files_keep_what_can_be_found():
     assert list(parse.parse_file("a.txt", "x", None))[0][0] == "warning"
 
 
+def test_deep_files_are_a_warning(spark):
+    deep = {"minus.py": "x = " + "-" * 50_000 + "1", "calls.py": "def g():\n    pass\n" + "f(" * 3000 + ")" * 3000, "names.py": "def h():\n    a" + ".b" * 5000 + "(1)\n", "nest.js": "function f() {" * 3000, "sound.py": "def ok():\n    return run.all(1)\n"}
+    parsed = parse.parse(spark.createDataFrame(list(deep.items()), "file string, content string")).collect()
+    units = {(r.file, r.name) for r in parsed if r.kind == "unit" and r.type != "module"}
+    assert {("calls.py", "g"), ("names.py", "h"), ("sound.py", "ok")} <= units
+    assert {r.file for r in parsed if r.kind == "warning"} >= {"minus.py", "calls.py"}
+    assert "run.all" in {r.text for r in parsed} and "a" + ".b" * 5000 in {r.text for r in parsed}
+
+
+def test_dependencies_by_table(spark):
+    toml = '[build-system]\nrequires = ["requests==9"]\n[project]\nname = "requests"\ndependencies = [\n  "Foo_Bar[x]>=1.2,<2",\n  "requests-toolbelt==1.0",\n]\n[tool.poetry.dependencies]\npython = "^3.10"\nRequests = {version = "^2.31", extras = ["s"]}\n"foo.bar" = "7"\n'
+    rows = [("a/requirements.txt", "# requests==0\nrequests>=1.0 ; python_version > '3'\nplain\n-r other.txt\n"), ("a/pyproject.toml", toml), ("b/pyproject.toml", "[project\n"), ("c/requirements.txt", None)]
+    found = coverage.dependencies(spark.createDataFrame(rows, "file string, content string"))
+    get = lambda p: [tuple(r) for r in coverage.pinned(found, p).collect()]
+    assert get("foo-bar") == [("Foo_Bar", "[x]>=1.2,<2", "1.2")]
+    assert get("requests") == [("Requests", "^2.31", "2.31")]  # neither the build system's nor the project's name
+    assert get("plain") == [("plain", "", None)] and get("request") == [] and found.count() == 7
+
+
+def test_thresholds_of_the_configuration(spark, tmp_path):
+    (tmp_path / "config.yaml").write_text(CONFIG + "  stale_threshold: 0.4\n  possibly_stale_threshold: 0.9\n")
+    e = Engine.of_config(spark, str(tmp_path / "index"), str(tmp_path / "config.yaml"))
+    note = "id string, unit_id string, area string, type string, title string, body string, author string, created_ts long, tags array<string>, decay_score double, status string"
+    e.remember(spark.createDataFrame([(str(k), None, "a", "warning", "t", "b", "me", k * 86400, ["t"], 1.0, "active") for k in (0, 5, 14)], note))
+    e.decay(14 * 86400)
+    assert {r.id: r.status for r in e.store.read("notes").collect()} == {"0": "stale", "5": "possibly_stale", "14": "active"}
+
+
 def test_tokens_by_a_tokenizer(spark):
     from callweave.functions.text import model_tokens
 

@@ -137,6 +137,20 @@ def test_lease(spark, tmp_path):
     assert s.number() == 2
     with s.lease("five"):
         pass
+    import socket
+    import subprocess
+    import sys
+
+    ended = subprocess.Popen([sys.executable, "-c", ""])
+    ended.wait()
+    dead = s.lease(f"{socket.gethostname()} {ended.pid}")
+    dead.__enter__()  # its process is gone: the lease can be taken at once
+    with s.lease(), pytest.raises(store.Taken), s.lease("not this one"):
+        pass
+    s.lease("another-machine 1").__enter__()
+    with pytest.raises(store.Taken), s.lease():  # whether that one lives isn't known
+        pass
+    s._put(f"lease/{s._numbers('lease')[-1] + 1}", '{"owner": "x", "until": 0}')
     e = Engine(spark, str(tmp_path / "i"))
     with s.lease("other"), pytest.raises(store.Taken):
         e.build(spark.createDataFrame([], "file string, content string, hash string"), "2024-01-01T00:00:00Z")
@@ -162,3 +176,21 @@ def test_a_replayed_batch_publishes_nothing(spark, tmp_path):
     assert (e.store.number(), e.store.read("health").count()) == (number, rows)
     handle(changes, 1)
     assert e.store.number() == number + 1
+
+
+def test_migration(spark, tmp_path, monkeypatch):
+    root = tmp_path / "src"
+    write(root, a="def f():\n    pass\n")
+    e = Engine(spark, str(tmp_path / "index"), {"all": "."})
+    e.build(files.read_tree(spark, str(root)), "2024-01-01T00:00:00Z", now=1)
+    text = {r.area: r.text for r in e.area_documents().collect()}["map"]
+    assert e.map_is_current(text) and not e.map_is_current("state: other\n") and e.exit_code(files.read_tree(spark, str(root))) == 0
+    monkeypatch.setattr(schema, "SCHEMA_VERSION", 3)
+    with pytest.raises(ValueError, match="migrate"):
+        e.units.count()
+    with pytest.raises(ValueError, match="no step"):
+        e.migrate({1: lambda s: {}}, 3)
+    named = lambda s: {"units": s.read_any("units", schema.UNITS).withColumn("name", relink.F.upper("name"))}
+    assert e.migrate({1: named, 2: lambda s: {}}, 3) == [1, 2]
+    assert {r.name for r in e.units.collect()} == {"A", "F"} and e.edges.count() == 0 and e.migrate({}, 3) == []
+    e.store.check_version()
