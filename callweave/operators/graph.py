@@ -128,6 +128,12 @@ def reach(units: DataFrame, edges: DataFrame, seeds: DataFrame, through: DataFra
     return seen.join(start, "id", "left_anti")
 
 
+def spread_over(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """id of the start ones and of all that they reach along edges (src_id,
+    dst_id), which are written."""
+    return _rounds(start, ["id"], lambda frontier: edges.join(frontier.withColumnRenamed("id", "src_id"), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct())
+
+
 #: Rounds after which what has been seen is written as one.
 MERGE = 16
 

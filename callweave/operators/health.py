@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import trend
 from ..functions.text import is_test_name
 from ..lineage import cut
-from . import graph
+from . import closures, graph
 from .areas import first_prefix
 
 METRICS = ("coupling", "avg_blast", "dead_code_pct", "cohesion", "test_surface", "drift_velocity", "hub_concentration")
@@ -48,10 +48,7 @@ def cohesion(units: DataFrame, edges: DataFrame, areas) -> DataFrame:
 def average_closure(units: DataFrame, edges: DataFrame) -> DataFrame:
     """Mean number of callers at one or two steps, over all units; on a cycle a
     unit counts itself."""
-    adj = graph.adjacency(units, edges)
-    two = adj.alias("a").join(adj.alias("b"), F.col("a.src_id") == F.col("b.dst_id")).select(F.col("a.dst_id").alias("dst_id"), F.col("b.src_id").alias("src_id"))
-    pairs = adj.select("dst_id", "src_id").union(two).distinct().agg(F.count("*").alias("pairs"))
-    return pairs.crossJoin(units.agg(F.count("*").alias("n"))).select(_share(F.col("pairs"), F.col("n")).alias("avg_blast"))  # one row each
+    return closures.closure_total(units, edges).crossJoin(units.agg(F.count("*").alias("n"))).select(_share(F.col("pairs"), F.col("n")).alias("avg_blast"))  # one row each
 
 
 def dead_share(units: DataFrame, edges: DataFrame) -> DataFrame:

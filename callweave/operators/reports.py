@@ -11,6 +11,7 @@ from ..functions import scores, text
 from ..lineage import cut
 from ..schema import BOUNDARY, EXTERNAL_PREFIX
 from . import areas, graph
+from .closures import Closures
 from .spans import within
 
 
@@ -19,13 +20,12 @@ def depth_counts(closure: DataFrame) -> DataFrame:
     return closure.groupBy("target").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") == 2).alias("indirect"), F.count("*").alias("callers"))
 
 
-def closure_risk(units: DataFrame, edges: DataFrame, targets: DataFrame | None = None, depth: int = 2) -> DataFrame:
+def closure_risk(units: DataFrame, edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Of each target (all units, if none are given): callers at one and two
     steps, areas, tests, risk and its label."""
     targets = units if targets is None else targets
-    closure = cut(graph.callers(units, edges, depth, targets))  # read three times
-    tests = graph.covering_tests(units, edges, closure, targets).groupBy("target").agg(F.count("*").alias("tests"))
-    out = targets.select(F.col("id").alias("target")).join(depth_counts(closure), "target", "left").join(graph.area_spread(units, closure, targets), "target", "left").join(tests, "target", "left")
+    found = Closures(units, edges, targets)
+    out = targets.select(F.col("id").alias("target")).join(found.counts(), "target", "left").join(found.spread(), "target", "left").join(found.tests(), "target", "left")
     out = out.na.fill(0, ["direct", "indirect", "callers", "tests"]).crossJoin(areas.total(units))  # one row
     ratio = F.col("tests") / F.greatest(F.col("direct"), F.lit(1))
     out = out.withColumn("risk", scores.risk("direct", "indirect", "spread", "total_areas", ratio))
@@ -88,7 +88,7 @@ def ownership(units: DataFrame, line_authors: DataFrame) -> DataFrame:
 def silos(units: DataFrame, edges: DataFrame, line_authors: DataFrame, min_callers: int = 1) -> DataFrame:
     """Callers per author of every unit, modules and tests too."""
     rows = units.filter("file <> '' and line_start > 0")
-    n = depth_counts(graph.callers(units, edges, 2)).select(F.col("target").alias("id"), "callers")
+    n = Closures(units, edges).counts().select(F.col("target").alias("id"), "callers")
     out = rows.join(n, "id", "left").na.fill(0, ["callers"]).filter(F.col("callers") >= min_callers).join(ownership(units, line_authors), "id")
     score = F.col("callers") / F.greatest(F.col("authors"), F.lit(1))
     return out.select("id", areas.head_or_root("file").alias("area"), "authors", "primary_author", "callers", score.alias("silo_score"), scores.silo_label(score).alias("label"))
@@ -127,9 +127,9 @@ def coverage_gaps(units: DataFrame, edges: DataFrame, covered: DataFrame, veloci
     rows = units.filter("type <> 'module'").filter(~text.in_tests("file"))
     total = rows.agg(F.greatest(F.count_distinct(areas.head("file")), F.lit(1)).alias("total_areas"))
     open_ = rows.join(covered.select("id"), "id", "left_anti").filter("file <> '' and line_start > 0")
-    closure = cut(graph.callers(units, edges, 2, open_))
-    n = depth_counts(closure).withColumnRenamed("target", "id")
-    spread = graph.area_spread(units, closure, open_).withColumnRenamed("target", "id")
+    closure = Closures(units, edges, open_)
+    n = closure.counts().withColumnRenamed("target", "id")
+    spread = closure.spread().withColumnRenamed("target", "id")
     out = open_.join(n, "id", "left").join(spread, "id", "left").join(velocity, "file", "left").na.fill(0, ["direct", "indirect", "callers", "velocity"])
     out = out.filter(F.col("direct") + 0.4 * F.col("indirect") >= min_weight).crossJoin(total)  # one row
     score = scores.risk("direct", "indirect", "spread", "total_areas", F.lit(0.0)) * F.col("velocity")
