@@ -25,7 +25,7 @@ from .areas import head
 
 #: Callers of callers from which on a target's sets are bitmaps, and members from
 #: which on a middle unit's are; below, its members are rows that become bits.
-HUB, DENSE = 4096, 256
+HUB, DENSE = 1 << 16, 256
 
 
 def numbered(ids: DataFrame, *order: str) -> DataFrame:
@@ -70,11 +70,6 @@ def union_over(links: DataFrame, members: DataFrame, dense: int = DENSE) -> Data
     return united(rows, links.join(large, "b").select("a", "bucket", "bits"))
 
 
-def _back(edges: DataFrame) -> DataFrame:
-    """a, b: b calls a, and is another unit."""
-    return graph.calls(edges).select(F.col("dst_id").alias("a"), F.col("src_id").alias("b")).filter("a <> b").distinct()
-
-
 def _bounds(back: DataFrame) -> DataFrame:
     """a, n: at most so many callers at one and two steps."""
     n = back.groupBy("a").agg(F.count("*").alias("n"))
@@ -87,14 +82,18 @@ class Closures:
 
     def __init__(self, units: DataFrame, edges: DataFrame, targets: DataFrame | None = None, hub: int = HUB):
         self.units, self.edges = units, edges
-        self.back = cut(_back(edges))
+        back = cut(graph.called_by(units, edges))
+        self.back = back.select(F.col("target").alias("a"), F.col("caller").alias("b"))
         hubs = _bounds(self.back).filter(F.col("n") > hub).select(F.col("a").alias("id"))
         asked = units.select("id") if targets is None else targets.select("id").distinct()
         self.hubs = cut(asked.join(hubs, "id", "left_semi"))
-        self.rest = asked.join(self.hubs, "id", "left_anti")
-        self.few = cut(graph.callers(units, edges, 2, self.rest))
-        self.number = cut(numbered(units.select("id", "file"), "file"))
-        self.links = cut(self.back.join(self.hubs.select(F.col("id").alias("a")), "a", "left_semi"))
+        self.any = not self.hubs.isEmpty()
+        self.rest = asked.join(self.hubs, "id", "left_anti") if self.any else asked
+        # Of all units, also of names that are no units.
+        self.few = cut(graph.callers(units, edges, 2, None if targets is None and not self.any else self.rest, back))
+        if self.any:
+            self.number = cut(numbered(units.select("id", "file"), "file"))
+            self.links = cut(self.back.join(self.hubs.select(F.col("id").alias("a")), "a", "left_semi"))
 
     def _numbers(self, rows: DataFrame, column: str) -> DataFrame:
         return rows.join(self.number.withColumnRenamed("id", column), column).drop(column)
@@ -102,6 +101,8 @@ class Closures:
     def counts(self) -> DataFrame:
         """target, direct, indirect, callers; no row for targets without any."""
         few = self.few.groupBy("target").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count("*").alias("callers"))
+        if not self.any:
+            return few.select("target", "direct", (F.col("callers") - F.col("direct")).alias("indirect"), "callers")
         one = as_bitmaps(self._numbers(self.links.select("a", F.col("b").alias("c")), "c"))
         of_middle = self._numbers(self.back.join(self.links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("m"), "b"), "b").withColumnRenamed("m", "b")
         both = united(one, union_over(self.links, of_middle))
@@ -118,6 +119,8 @@ class Closures:
         """target, spread: areas of each target and its callers. For hubs the
         areas of a middle unit's callers are found once."""
         few = graph.area_spread(self.units, self.few, self.rest)
+        if not self.any:
+            return few
         place = self._areas()
         one = self.back.join(place.withColumnRenamed("id", "b"), "b").select("a", "area").distinct()
         own = self.hubs.join(place, "id").select(F.col("id").alias("a"), "area")
@@ -130,6 +133,8 @@ class Closures:
     def tests(self) -> DataFrame:
         """target, tests: those with an edge into a target or one of its callers."""
         few = graph.covering_tests(self.units, self.edges, self.few, self.rest).groupBy("target").agg(F.count("*").alias("tests"))
+        if not self.any:
+            return few
         into = cut(self._numbers(graph.test_edges(self.units, self.edges), "test"))  # id, number
         known = self.units.select(F.col("id").alias("b"))
         links = self.links.join(known, "b", "left_semi")
@@ -142,10 +147,9 @@ class Closures:
         return few.unionByName(many)
 
 
-def closure_total(units: DataFrame, edges: DataFrame) -> DataFrame:
+def closure_total(units: DataFrame, adj: DataFrame) -> DataFrame:
     """One row, pairs: callers at one and two steps over all units; a unit on a
-    cycle of one or two counts itself."""
-    adj = cut(graph.adjacency(units, edges))
+    cycle of one or two counts itself. adj: the adjacency, written."""
     found = Closures(units, adj.withColumn("rel_type", F.lit("call"))).counts().agg(F.coalesce(F.sum("callers"), F.lit(0)).alias("n"))
     turned = adj.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))
     own = adj.join(turned, ["src_id", "dst_id"], "left_semi").select("src_id").distinct().agg(F.count("*").alias("own"))

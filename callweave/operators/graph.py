@@ -32,7 +32,10 @@ def adjacency(units: DataFrame, edges: DataFrame) -> DataFrame:
 
 def degrees(units: DataFrame, edges: DataFrame) -> DataFrame:
     """id, n_out, n_in: neighbours, of every unit."""
-    adj = adjacency(units, edges)
+    return degrees_of(units, adjacency(units, edges))
+
+
+def degrees_of(units: DataFrame, adj: DataFrame) -> DataFrame:
     ends = adj.select(F.col("src_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(adj.select("dst_id", F.lit(0), F.lit(1)))
     n = ends.groupBy("id").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
     return units.select("id").join(n, "id", "left").na.fill(0, ["n_out", "n_in"])
@@ -45,21 +48,29 @@ def multi_degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("o").alias("calls_out"), F.sum("i").alias("calls_in"))
 
 
-def callers(units: DataFrame, edges: DataFrame, depth: int = 2, targets: DataFrame | None = None) -> DataFrame:
+def called_by(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """target, caller, known: distinct calls of other units, and whether the
+    caller is a unit."""
+    back = calls(edges).select(F.col("dst_id").alias("target"), F.col("src_id").alias("caller")).filter("target <> caller").distinct()
+    ids = units.select(F.col("id").alias("caller"), F.lit(True).alias("known")).distinct()
+    return back.join(ids, "caller", "left").select("target", "caller", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def callers(units: DataFrame, edges: DataFrame, depth: int = 2, targets: DataFrame | None = None, back: DataFrame | None = None) -> DataFrame:
     """target, caller, depth (the first at which it is met), for all targets or
     those of a frame with a column id. Callers that are no units are passed
-    through but not returned; a target is never its own caller."""
-    back = calls(edges).select(F.col("dst_id").alias("target"), F.col("src_id").alias("caller")).distinct()
-    step = back.select(F.col("target").alias("caller"), F.col("caller").alias("next"))
-    if targets is not None:
-        back = back.join(targets.select(F.col("id").alias("target")).distinct(), "target", "left_semi")
-    level = back.filter("target <> caller")
+    through but not returned; a target is never its own caller. back: called_by,
+    if it is there already."""
+    back = called_by(units, edges) if back is None else back
+    step = back.select(F.col("target").alias("caller"), F.col("caller").alias("next"), F.col("known").alias("known_next"))
+    level = back if targets is None else back.join(targets.select(F.col("id").alias("target")).distinct(), "target", "left_semi")
     found = level.withColumn("depth", F.lit(1))
     for k in range(2, depth + 1):
-        level = level.join(step, "caller").select("target", F.col("next").alias("caller")).filter("target <> caller").distinct()
-        found = found.union(level.withColumn("depth", F.lit(k)))
-    first = found.groupBy("target", "caller").agg(F.min("depth").alias("depth"))
-    return first.join(units.select(F.col("id").alias("caller")), "caller", "left_semi").select("target", "caller", "depth")
+        level = level.select("target", "caller").join(step, "caller").select("target", F.col("next").alias("caller"), F.col("known_next").alias("known")).filter("target <> caller")
+        # The last step's rows are grouped below.
+        level = level.distinct() if k < depth else level
+        found = found.unionByName(level.withColumn("depth", F.lit(k)))
+    return found.filter("known").groupBy("target", "caller").agg(F.min("depth").alias("depth"))
 
 
 def boundary_callers(edges: DataFrame, targets: DataFrame) -> DataFrame:

@@ -45,10 +45,11 @@ def cohesion(units: DataFrame, edges: DataFrame, areas) -> DataFrame:
     return by.agg(F.array_sort(F.collect_list(F.struct("src_area", "share"))).alias("s")).select(_share(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["share"]), F.size("s")).alias("cohesion"))
 
 
-def average_closure(units: DataFrame, edges: DataFrame) -> DataFrame:
+def average_closure(units: DataFrame, edges: DataFrame, adj: DataFrame | None = None) -> DataFrame:
     """Mean number of callers at one or two steps, over all units; on a cycle a
-    unit counts itself."""
-    return closures.closure_total(units, edges).crossJoin(units.agg(F.count("*").alias("n"))).select(_share(F.col("pairs"), F.col("n")).alias("avg_blast"))  # one row each
+    unit counts itself. adj: the adjacency, if it is written already."""
+    adj = cut(graph.adjacency(units, edges)) if adj is None else adj
+    return closures.closure_total(units, adj).crossJoin(units.agg(F.count("*").alias("n"))).select(_share(F.col("pairs"), F.col("n")).alias("avg_blast"))  # one row each
 
 
 def dead_share(units: DataFrame, edges: DataFrame) -> DataFrame:
@@ -133,12 +134,13 @@ def metrics(units: DataFrame, edges: DataFrame, areas) -> DataFrame:
     """All metrics of the graph itself in one row. Valid edges and degrees
     are found once and written; what divides by all edges but boundaries gets their number."""
     valid = cut(graph.valid_edges(units, edges).select("src_id", "dst_id", "rel_type"))
-    degrees = cut(graph.degrees(units, valid))
+    adj = cut(valid.select("src_id", "dst_id").distinct())
+    degrees = cut(graph.degrees_of(units, adj))
     n = graph.calls(edges).agg(F.count("*").alias("edge_count"))
     own = units.agg(F.count("*").alias("unit_count"))
     cross = placed(units, valid, areas).agg(F.count_if(F.col("src_area") != F.col("dst_area")).alias("cross"))
     out = cross.crossJoin(n).crossJoin(own)  # one row each
-    for one in (average_closure(units, valid), dead_of(degrees), cohesion(units, valid, areas), test_surface(units, valid), hub_edges(valid, degrees)):
+    for one in (average_closure(units, valid, adj), dead_of(degrees), cohesion(units, valid, areas), test_surface(units, valid), hub_edges(valid, degrees)):
         out = out.crossJoin(one)
     coupling_ = _share(F.col("cross"), F.col("edge_count")).alias("coupling")
     hub = _share(F.col("hub"), F.col("edge_count"), 100.0).alias("hub_concentration")
