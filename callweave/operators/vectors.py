@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import functools
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import similarity
+from ..lineage import cut
 from . import graph
 from .areas import contains, relative
 
-#: Query vectors that one pass brings: they are copied to every task.
-MAX_QUERIES = 10_000
+#: Pivots of an exact search for many queries, and vectors of a block of a cell.
+PIVOTS, BLOCK = 32, 8192
 
 
 def l2(a, b) -> Column:
@@ -29,22 +30,73 @@ def knn(vectors: DataFrame, query: list[float], k: int = 10, metric: str = "l2")
     return found.orderBy("distance", "id").limit(k).withColumn("similarity", similarity("distance", metric))
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, most: int = MAX_QUERIES) -> DataFrame:
-    """query, id, distance, rank for queries (id, embedding). Queries are counted
-    before they are sent to all tasks; more than most are dealt into blocks of
-    about that many, each with a pass of its own."""
-    blocks = -(-queries.count() // most) if most else 1
-    block = F.pmod(F.xxhash64("id"), F.lit(max(1, blocks)))
-    passes = [_knn_block(vectors, queries.filter(block == b), k) for b in range(max(1, blocks))]
-    return functools.reduce(DataFrame.unionByName, passes)
-
-
-def _knn_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    q = F.broadcast(queries.select(F.col("id").alias("query"), F.col("embedding").cast("array<double>").alias("q")))
-    v = vectors.select("id", F.col("embedding").cast("array<double>").alias("v"))
-    far = q.join(v, F.col("query") != F.col("id")).select("query", "id", l2("v", "q").alias("distance"))
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """query, id, distance, rank of the k nearest for any number of queries (id,
+    embedding); a query is not its own neighbour. Exact: see Cells. A row of a
+    null vector takes no part."""
+    kept = lambda df, name: df.select(F.col("id").alias(name), F.col("embedding").cast("array<double>").alias(name[0] + "vec")).filter(F.col(name[0] + "vec").isNotNull())
+    cells = Cells(kept(vectors, "id"), k, pivots, block)
+    near = cells.candidates(kept(queries, "query")).select("query", "id", l2("ivec", "qvec").alias("distance"))
     rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))
-    return far.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+class Cells:
+    """Vectors by their nearest pivot, for exact searches that pass over what the
+    triangle inequality rules out.
+
+    Bound: a vector's distance to its pivot is known, so a query's to the pivot
+    plus that is not below the query's to the vector; the k-th smallest of these
+    sums over the k nearest of every cell is at least the k-th distance looked for.
+    Verify: a query goes to the cells, and there meets the vectors, whose distance
+    to the pivot differs from its own by no more than this bound.
+
+    Cells are cut into blocks of bounded size, so one that holds a third of all
+    vectors is many tasks' work. What comes to the driver, and goes to all tasks, is
+    a bounded number of pivots, and a row of k + 1 distances for each."""
+
+    def __init__(self, vectors: DataFrame, k: int, pivots: int, block: int):
+        # The pivots are the same whatever the partitions.
+        some = vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).select("ivec").collect()
+        self.pivots = sorted({tuple(r["ivec"]) for r in some})
+        self.k, self.block = k, block
+        to = self._distances("ivec")
+        nearest = F.array_min(F.transform(to, lambda d, i: F.struct(d.alias("far"), i.alias("cell"))))
+        placed = vectors.withColumn("near", nearest).select("id", "ivec", "near.cell", "near.far")
+        self.placed = cut(placed)
+        first = F.slice(F.array_sort(F.collect_list("far")), 1, k + 1)
+        rank = F.row_number().over(W.partitionBy("cell").orderBy("far"))
+        close = self.placed.withColumn("rank", rank).filter(F.col("rank") <= k + 1).groupBy("cell").agg(first.alias("first"))
+        size = self.placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("wide"))
+        # A row a cell.
+        self.cells = size.join(close, "cell").select("cell", "wide", "first", F.ceil(F.col("n") / block).alias("blocks")).orderBy("cell").collect()
+
+    def _distances(self, column: str) -> Column:
+        """An array: the distance of a vector to each pivot."""
+        table = F.array(*(F.array(*map(F.lit, p)) for p in self.pivots))
+        return F.transform(table, lambda p: l2(F.col(column), p))
+
+    def visits(self, queries: DataFrame) -> DataFrame:
+        """query, qvec, bound, cell, to (the pivot), block: where a query looks.
+        Bounds are a little wider than what is computed, which rounds."""
+        known = [(r["cell"], r["wide"], list(r["first"]), r["blocks"]) for r in self.cells]
+        rows = F.from_json(F.lit(json.dumps([dict(zip(("cell", "wide", "first", "blocks"), r)) for r in known])), "array<struct<cell:int,wide:double,first:array<double>,blocks:long>>")
+        q = queries.withColumn("to", self._distances("qvec")).withColumn("cells", rows)
+        sums = F.flatten(F.transform("cells", lambda c: F.transform(c["first"], lambda f: f + F.get("to", c["cell"]))))
+        # One more than k, as a query may be among the vectors; all, if there are fewer.
+        bound = F.coalesce(F.get(F.array_sort(sums), F.lit(self.k)), F.lit(float("inf")))
+        q = q.withColumn("bound", bound * (1 + 1e-9) + 1e-12).select("query", "qvec", "bound", "to", F.explode("cells").alias("c"))
+        q = q.withColumn("to", F.get("to", F.col("c.cell"))).filter(F.col("to") - F.col("c.wide") <= F.col("bound"))
+        return q.select("query", "qvec", "bound", F.col("c.cell").alias("cell"), "to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c.blocks") - 1)).alias("block"))
+
+    def candidates(self, queries: DataFrame) -> DataFrame:
+        """query, qvec, id, ivec of what isn't ruled out."""
+        blocks = F.element_at(F.create_map(*(F.lit(x) for r in self.cells for x in (r["cell"], r["blocks"]))), F.col("cell")) if self.cells else F.lit(1)
+        dealt = self.placed.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+        # Few bytes, but much to compute: Spark must not put these into few tasks.
+        width = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        met = self.visits(queries).repartition(width, "cell", "block").join(dealt.repartition(width, "cell", "block"), ["cell", "block"])
+        return met.filter((F.abs(F.col("to") - F.col("far")) <= F.col("bound")) & (F.col("query") != F.col("id")))
 
 
 def hybrid(vectors: DataFrame, units: DataFrame, edges: DataFrame, query: list[float], k: int = 10, areas=None, metric: str = "l2", area: str | None = None) -> DataFrame:

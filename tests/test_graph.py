@@ -154,7 +154,7 @@ def test_knn_and_hybrid(spark):
     found = {r.id: r.source for r in vectors.hybrid(v, u, e, [1.0, 0, 0, 0], 1).collect()}
     assert found == {"n1": "matched", "x": "neighbour"}
     whole = sorted(map(str, vectors.knn_batch(v, v, 2).collect()))
-    assert len(whole) == 10 and sorted(map(str, vectors.knn_batch(v, v, 2, most=2).collect())) == whole
+    assert len(whole) == 10 and sorted(map(str, vectors.knn_batch(v, v, 2, pivots=2, block=2).collect())) == whole
     assert vectors.knn_batch(v, v.limit(0)).count() == 0
     u = u.withColumn("file", F.when(F.col("id") == "x", "lib/x.py").otherwise(F.col("file")))
     in_area = vectors.hybrid(v, u, e, [1.0, 0, 0, 0], 1, {"Main": "a/", "lib": "lib/"}, area="AI")
@@ -244,3 +244,22 @@ def test_drift(spark):
     assert rows(drift.hash_diff(old, new)) == [("b", "M"), ("c", "D"), ("d", "A")]
     lines = spark.createDataFrame([(0, "M\tx.py"), (1, "R100\told.py\tnew.py"), (2, "bare.py"), (3, " ")], "ord long, line string")
     assert rows(drift.name_status(lines).drop("ord")) == [("bare.py", "A"), ("new.py", "A"), ("old.py", "D"), ("x.py", "M")]
+
+
+def test_exact_search_passes_over_far_cells(spark):
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(size=(400, 8)) * 0.05 + c for c in r.normal(size=(6, 8)) * 4] + [np.repeat(r.normal(size=(1, 8)), 900, axis=0)])
+    rows = [(f"v{i:04}", v.tolist()) for i, v in enumerate(x)] + [("null", None)]
+    v = spark.createDataFrame(rows, "id string, embedding array<double>")
+    q = v.filter("id in ('v0000', 'v0500', 'v2399', 'v2400', 'v2500', 'null')").union(spark.createDataFrame([("other", (x[7] + 0.01).tolist())], v.schema))
+    cells = vectors.Cells(v.filter("embedding is not null").select("id", vectors.F.col("embedding").alias("ivec")), 10, 16, 200)
+    met = cells.candidates(q.filter("embedding is not null").select(vectors.F.col("id").alias("query"), vectors.F.col("embedding").alias("qvec")))
+    assert met.count() < 0.5 * 6 * len(x)  # most pairs aren't compared
+    got = sorted((t.query, t["rank"], t.id, round(t.distance, 9)) for t in vectors.knn_batch(v, q, 10, pivots=16, block=200).collect())
+    want = []
+    for name, own in [(t.id, np.array(t.embedding)) for t in q.collect() if t.embedding is not None]:
+        far = sorted((round(float(np.sqrt(((own - y) ** 2).sum())), 9), f"v{i:04}") for i, y in enumerate(x) if f"v{i:04}" != name)
+        want += [(name, k, i, d) for k, (d, i) in enumerate(far[:10], 1)]
+    assert got == sorted(want)
