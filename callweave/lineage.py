@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder of the shared one, deleted when the program ends."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _written:
