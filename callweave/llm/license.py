@@ -8,7 +8,8 @@ statistics). Runs that can't grow further and are long enough become matches.
 
 Matches of one template are chained: the chain of the most template words, in
 the order of both file and template, is found by dynamic programming, then what
-stands before and after it is looked at in the same way. A chain that covers
+stands before and after it is looked at in the same way. One pass over the file
+finds all chains; taking one changes only those near to it. A chain that covers
 enough of the template, and all of its numbers, is a span; so version numbers
 decide between templates that differ only there. Of spans over the same words
 that of the most words stays, so a licence's name isn't taken for a shorter one.
@@ -21,6 +22,8 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -204,51 +207,106 @@ class Scanner:
 
     def _chains(self, k: int, runs: list[tuple[int, int, int]]):
         """(first word, end, label, cover, words) of template k's spans, from
-        runs in the order of the file."""
+        runs in the order of the file: the chain of the most words, of equal ones
+        the first, then those of what is left of it and right of it."""
         size = len(self.sequences[k])
-        todo = [runs]
-        while todo:
-            runs = todo.pop()
-            chain, words = best_chain(runs, size)
-            if words < self.min_cover * size:
-                continue
-            first, end = chain[0][0], max(f + n for f, _, n in chain)
+        for chain, words in best_chains(runs, size, self.min_cover * size):
             if all(any(t <= i < t + n for _, t, n in chain) for i in self.numbers[k]):
-                yield first, end, self.labels[k], words / size, words
-            todo += [own for own in ([r for r in runs if r[0] + r[2] <= first], [r for r in runs if r[0] >= end]) if own]
+                yield chain[0][0], max(f + n for f, _, n in chain), self.labels[k], words / size, words
 
 
-def best_chain(runs: list[tuple[int, int, int]], size: int) -> tuple[list[tuple[int, int, int]], int]:
-    """Of runs (place in the file, place in the template, words), in the order
-    of the file, the chain of the most template words, and these. A chain's runs
-    follow each other in file and template; where two overlap, the later one
-    counts from the end of the other; no gap in the file is above size."""
-    best, back = [], []
-    for i, (f, t, n) in enumerate(runs):
+#: Words of a chain that can't be.
+GONE = -(1 << 60)
+
+
+class Chains:
+    """Of runs (place in the file, place in the template, words), in the order of
+    the file, the chains of the most template words. A chain's runs follow each
+    other in file and template; where two overlap, the later one counts from the end
+    of the other; no gap in the file is above size."""
+
+    def __init__(self, runs: list[tuple[int, int, int]], size: int):
+        self.runs, self.size = runs, size
+        self.best, self.back = [0] * len(runs), [-1] * len(runs)
+        for i in range(len(runs)):
+            self._extend(i, 0)
+
+    def _extend(self, i: int, least: int) -> bool:
+        """Find run i's best chain of runs from number `least` on; whether it is
+        another than before."""
+        f, t, n = self.runs[i]
         most, at = n, -1
-        for j in range(i - 1, -1, -1):
-            g, u, m = runs[j]
-            if f - g > 2 * size:
+        for j in range(i - 1, least - 1, -1):
+            g, u, m = self.runs[j]
+            if f - g > 2 * self.size:
                 break
             gain = n - max(0, g + m - f, u + m - t)
-            if gain > 0 and t > u and f - g - m <= size and best[j] + gain > most:
-                most, at = best[j] + gain, j
-        best.append(most)
-        back.append(at)
-    i = max(range(len(best)), key=lambda i: (best[i], -i))
-    words, chain = best[i], []
-    while i >= 0:
-        chain.append(runs[i])
-        i = back[i]
-    return chain[::-1], words
+            if gain > 0 and t > u and f - g - m <= self.size and self.best[j] + gain > most:
+                most, at = self.best[j] + gain, j
+        changed = (most, at) != (self.best[i], self.back[i])
+        self.best[i], self.back[i] = most, at
+        return changed
+
+    def chain(self, i: int) -> list[tuple[int, int, int]]:
+        out = []
+        while i >= 0:
+            out.append(self.runs[i])
+            i = self.back[i]
+        return out[::-1]
+
+
+def best_chains(runs: list[tuple[int, int, int]], size: int, least: float):
+    """(chain, words) of at least so many words that don't overlap in the file.
+    Taking one changes only chains that led into it from the right, so what is
+    found anew ends where a window of runs is as before."""
+    found = Chains(runs, size)
+    queue = [(-found.best[i], i) for i in range(len(runs)) if found.best[i] >= least]
+    heapq.heapify(queue)
+    starts, cuts = [r[0] for r in runs], []  # cuts: first runs right of what is taken
+    while queue:
+        words, i = heapq.heappop(queue)
+        if found.best[i] != -words:
+            continue
+        chain = found.chain(i)
+        yield chain, -words
+        first, end = chain[0][0], max(f + n for f, _, n in chain)
+        right = bisect_left(starts, end)
+        for j in range(bisect_left(starts, first - size), right):
+            if starts[j] + runs[j][2] > first:  # it overlaps the chain, and is in no other one
+                found.best[j] = GONE
+        insort(cuts, right)
+        same = right
+        for j in range(right, len(runs)):
+            if starts[j] - starts[same] > 2 * size:
+                break
+            if found.best[j] != GONE and found._extend(j, cuts[bisect_right(cuts, j) - 1]):
+                same = j
+                if found.best[j] >= least:
+                    heapq.heappush(queue, (-found.best[j], j))
+
+
+def best_chain(runs: list[tuple[int, int, int]], size: int) -> tuple[list[tuple[int, int, int]], int]:
+    """The chain of the most words, of equal ones the first, and its words."""
+    found = Chains(runs, size)
+    i = max(range(len(runs)), key=lambda i: (found.best[i], -i))
+    return found.chain(i), found.best[i]
+
+
+#: Words of a cell of the file in which spans are looked for.
+CELL = 64
 
 
 def longest_of_overlaps(spans):
-    """Spans without those of which half or more lies in a span of more words."""
+    """Spans without those of which half or more lies in a span of more words.
+    Only spans with a cell in common can overlap."""
     kept: list[tuple] = []
+    held: dict[int, list[tuple]] = {}
     for s in sorted(spans, key=lambda s: (-s[4], -s[3])):
-        if all(2 * (min(s[1], x[1]) - max(s[0], x[0])) < s[1] - s[0] for x in kept):
+        cells = range(s[0] // CELL, (s[1] - 1) // CELL + 1)
+        if all(2 * (min(s[1], x[1]) - max(s[0], x[0])) < s[1] - s[0] for c in cells for x in held.get(c, ())):
             kept.append(s)
+            for c in cells:
+                held.setdefault(c, []).append(s)
     return [s[:4] for s in kept]
 
 

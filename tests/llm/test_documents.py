@@ -103,6 +103,56 @@ def test_license_phrases_and_statistics(spark, none):
                 assert seqs[k][e - size : e] == w[end - size : end]
 
 
+def test_license_chains_as_by_halving():
+    """All chains: the best one, then those left of it and right of it."""
+
+    def halved(runs, size, least):
+        todo, out = [runs], []
+        while todo:
+            own = todo.pop()
+            chain, words = license.best_chain(own, size)
+            if words < least:
+                continue
+            first, end = chain[0][0], max(f + n for f, _, n in chain)
+            out.append((chain, words))
+            todo += [x for x in ([r for r in own if r[0] + r[2] <= first], [r for r in own if r[0] >= end]) if x]
+        return sorted(out)
+
+    r = random.Random(9)
+    for _ in range(600):
+        size = r.randint(3, 12)
+        runs = set()
+        for _ in range(r.randint(1, 40)):
+            n, t = r.randint(1, size), 0
+            t = r.randint(0, size - n)
+            runs.add((r.randint(0, 90), t, n))
+        runs, least = sorted(runs), r.uniform(0.3, 1) * size
+        assert sorted(license.best_chains(runs, size, least)) == halved(runs, size, least)
+
+
+def test_license_overlaps_are_those_of_all_pairs():
+    r = random.Random(10)
+    for _ in range(200):
+        spans = [(a, a + r.randint(1, 200), "x", 1.0, r.randint(1, 40)) for a in (r.randint(0, 400) for _ in range(25))]
+        kept = []
+        for s in sorted(spans, key=lambda s: (-s[4], -s[3])):
+            if all(2 * (min(s[1], x[1]) - max(s[0], x[0])) < s[1] - s[0] for x in kept):
+                kept.append(s)
+        assert license.longest_of_overlaps(spans) == [s[:4] for s in kept]
+
+
+def test_license_scan_is_linear():
+    import time
+
+    scanner, took = license.Scanner(), []
+    for times in (2000, 8000):
+        began = time.perf_counter()
+        found = scanner.scan("licensed under the mit license " * times)
+        took.append(time.perf_counter() - began)
+        assert len(found.spans) == len(found.places) == times
+    assert took[1] < 10 * took[0]
+
+
 def test_license_chains_are_the_best():
     r = random.Random(7)
     for _ in range(300):
