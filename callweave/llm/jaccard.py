@@ -6,11 +6,14 @@
    to its smallest one, which costs a row per member, not per pair. Connected
    components of these links hold every candidate pair.
 3. The full n-gram sets of a component meet in tasks of bounded size - a large
-   one is split into blocks, every pair of blocks in a task - where pairs are
-   verified by counting common n-grams; pairs leave a task only as numbers of
-   links and as a spanning tree. Where a large component's buckets hold fewer
-   pairs than the component, as chance links tie it together, only pairs that
-   share a bucket are verified, each in the first of its buckets.
+   one is split into blocks, every pair of blocks in a task - where pairs that
+   share a bucket are verified by counting common n-grams; pairs leave a task only
+   as numbers of links and as a spanning tree. Where a large component's buckets
+   hold fewer pairs than the component, as chance links tie it together, buckets
+   meet in tasks instead, and a pair is verified in the first of its buckets.
+
+A link is the same in a component of any size: two sets that share a bucket and
+are similar enough.
 
 The number of bands and rows follows from the similarity and the recall aimed
 at. Words are `[^\\x20\\x09-\\x0D]+`, unchanged; a text of fewer words than n
@@ -155,11 +158,18 @@ def _verifier(similarity: float):
         # common / (a + b - common) >= s, in integers
         found = common.astype(np.int64) * (s.denominator + s.numerator) >= s.numerator * (sizes[left][:, None] + sizes[right])
         band = table.column("band")[0].as_py()
-        if band > 0:
+        bands = np.array(table.column("bands").to_pylist(), dtype=np.int64)
+        if band >= 0:
             # A pair belongs to the first band that its two sides share.
-            bands = np.array(table.column("bands").to_pylist(), dtype=np.int64)
             for k in range(band):
                 found &= bands[left, k][:, None] != bands[right, k]
+        else:
+            apart = found.copy()  # without a band in common so far
+            for k in range(bands.shape[1]):
+                if not apart.any():
+                    break
+                apart &= bands[left, k][:, None] != bands[right, k]
+            found &= ~apart
         links = np.zeros((len(sets), len(sets)), dtype=bool)
         links[np.ix_(left, right)] = found
         links |= links.T
@@ -231,9 +241,9 @@ def join(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: fl
     candidates = components(edges, few, 4 * size)
 
     place = cells(nodes, banded, candidates, size).join(nodes.select("node", "keys", "copies", "bands", "grams"), "node")
-    place = cut(place.select(*(F.col(f"keys.{k}").alias(k) for k in KEYS), "node", "copies", "cell", "band", "blocks", "grams", F.when(F.col("band") > 0, F.col("bands")).alias("bands")), "place", size)
+    place = cut(place.select(*(F.col(f"keys.{k}").alias(k) for k in KEYS), "node", "copies", "cell", "band", "blocks", "grams", "bands"), "place", size)
     # Each set goes to a task for each of its cell's blocks.
-    parts = parts_for(docs.sparkSession, place.agg(F.sum(8 * F.col("grams") * F.col("blocks"))).first()[0] or 0)
+    parts = parts_for(docs.sparkSession, place.agg(F.sum(8 * (F.col("grams") + F.size("bands")) * F.col("blocks"))).first()[0] or 0)
     texts = docs.select(*KEYS, "text").join(place.drop("grams"), KEYS).dropDuplicates([*KEYS, "cell"])  # of repeated rows, one
     sets = texts.select("node", "copies", "cell", "band", "blocks", "bands", "text").mapInArrow(frugal(_sets(n)), _MEMBER)
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
