@@ -94,7 +94,8 @@ def latest_before(asks: DataFrame, holds: DataFrame) -> DataFrame:
 
 
 def links(parsed: DataFrame) -> DataFrame:
-    """message, quotes (array of level, turn): where its quotes come from."""
+    """conv_id, message, quotes (array of level, turn): where its quotes come
+    from. A message is told apart within its conversation only."""
     held, asked = pieces(parsed)
     asked = cut(asked, "asked")
     held = cut(held.join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi"), "held")
@@ -115,14 +116,14 @@ def links(parsed: DataFrame) -> DataFrame:
     wants = wanted.groupBy("conv_id", "want_set").agg(F.first("set").alias("set")).select("conv_id", "want_set", F.inline("set"))
     shared = cut(wants.join(sets, ["conv_id", "hash"]).groupBy("conv_id", "want_set", "own_set").agg(F.sum("size").alias("more")), "shared")
 
-    rare = rare.join(wanted.select("message", "level", "want_set"), ["message", "level"], "left").join(own.select("conv_id", F.col("turn").alias("origin"), "own_set"), ["conv_id", "origin"], "left")
-    rare = rare.join(shared, ["conv_id", "want_set", "own_set"], "left").select("message", "level", "origin", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+    rare = rare.join(wanted.select("conv_id", "message", "level", "want_set"), ["conv_id", "message", "level"], "left").join(own.select("conv_id", F.col("turn").alias("origin"), "own_set"), ["conv_id", "origin"], "left")
+    rare = rare.join(shared, ["conv_id", "want_set", "own_set"], "left").select("conv_id", "message", "level", "origin", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
     often = wanted.join(shared, ["conv_id", "want_set"]).select("conv_id", "own_set", "turn", "message", "level", F.col("more").alias("size"))
     latest = latest_before(often.select("conv_id", "own_set", "turn").distinct(), own.select("conv_id", "own_set", "turn"))
-    often = often.join(latest, ["conv_id", "own_set", "turn"]).select("message", "level", "origin", "size")
+    often = often.join(latest, ["conv_id", "own_set", "turn"]).select("conv_id", "message", "level", "origin", "size")
 
-    best = rare.unionByName(often).groupBy("message", "level").agg(F.max_by("origin", F.struct("size", "origin")).alias("origin"))
-    return best.groupBy("message").agg(F.array_sort(F.collect_list(F.struct("level", F.col("origin").alias("turn")))).alias("quotes"))
+    best = rare.unionByName(often).groupBy("conv_id", "message", "level").agg(F.max_by("origin", F.struct("size", "origin")).alias("origin"))
+    return best.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(F.struct("level", F.col("origin").alias("turn")))).alias("quotes"))
 
 
 def threads(replies: DataFrame) -> DataFrame:
@@ -163,7 +164,7 @@ def format_chats(messages: DataFrame, **columns: str) -> DataFrame:
     turn), text (without quotes)."""
     before = written()
     parsed = cut(parse(messages, **columns), "parsed")
-    linked = parsed.join(links(parsed), "message", "left").withColumn("parent", F.try_element_at("quotes", F.lit(1))["turn"])
+    linked = parsed.join(links(parsed), ["conv_id", "message"], "left").withColumn("parent", F.try_element_at("quotes", F.lit(1))["turn"])
     linked = cut(linked.select("conv_id", "turn", "role", "message", "own", "quotes", "parent"), "linked")
     known = linked.filter("conv_id is not null and turn is not null")
     # Repeated turns: their thread is that of the earliest parent among them.
