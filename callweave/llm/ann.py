@@ -42,7 +42,7 @@ from .common import arrow_batch, bounded_batches, cut, frugal, shuffle_width
 #: are wide, and queries of these.
 FIT_ROWS, FIT_BYTES, FIT_QUERIES = 65_536, 64 << 20, 300
 #: Children of a node; rows of a leaf, and sampled rows that a leaf needs.
-BRANCHES, LEAF_ROWS, SAMPLED = 8, 128, 16
+BRANCHES, LEAF_ROWS, SAMPLED = 8, 32, 16
 RECALL = 0.97
 #: Rows of a block, and queries of a lane.
 BLOCK, LANE = 8192, 65_536
@@ -79,7 +79,7 @@ class Tree:
             groups = [rows[near == j] for j in range(k)]
             groups = [g for g in groups if len(g)]
             if len(groups) > 1:
-                self.children[node] = [self._grow(g, max(1, leaves // k), branches) for g in groups]
+                self.children[node] = [self._grow(g, n, branches) for g, n in zip(groups, shared_out(leaves, [len(g) for g in groups]))]
         return node
 
     def _cluster(self, rows: np.ndarray, k: int) -> np.ndarray:
@@ -142,6 +142,12 @@ class Tree:
         return int(np.sort(needed)[math.ceil(recall * len(needed)) - 1])
 
 
+def shared_out(leaves: int, sizes: list[int]) -> list[int]:
+    """Leaves for groups of these sizes: one at least, the rest in proportion."""
+    upto = np.cumsum([0, *sizes]) * max(0, leaves - len(sizes)) // sum(sizes)
+    return (1 + np.diff(upto)).tolist()
+
+
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] - 2 * (a @ b.T) + (b * b).sum(axis=1), 0)
 
