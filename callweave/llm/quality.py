@@ -29,6 +29,8 @@ SYMBOLS = "#*$%&|<>"
 #: Rows on which costs and selectivities are measured (a documented bound;
 #: verdicts cover every row and don't depend on it).
 SAMPLE_ROWS = 256
+#: Characters of these, where texts are long.
+SAMPLE_BYTES = 32 << 20
 
 
 class Features:
@@ -114,6 +116,8 @@ BASE_RULES = (
     Rule("too_short", lambda f: f.n_words < 50),
     Rule("repeated_windows", lambda f: 100 * f.n_repeat_words > 50 * f.n_words),
 )
+#: Features that a verdict states whatever the rules.
+BASE_FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 METHOD_RULES = (
     Rule("symbols", lambda f: 10 * f.n_symbols > f.n_words),
     Rule("repeated_lines", lambda f: 2 * f.n_dup_lines > len(f.lines)),
@@ -133,11 +137,11 @@ class Measured:
     rejected: float
 
 
-def greedy(texts: list[str], rules: tuple[Rule, ...], clock: Callable[[], float] = time.perf_counter) -> list[Measured]:
+def greedy(texts: list, rules: tuple[Rule, ...], clock: Callable[[], float] = time.perf_counter) -> list[Measured]:
     """The rules by rejection per cost, each measured on the texts that those
     before it leave, with the features that these have computed. Ties, and rules
     that reject nothing, keep the given order and come last."""
-    left, todo, out = [Features(t) for t in texts], list(rules), []
+    left, todo, out = [t if isinstance(t, Features) else Features(t) for t in texts], list(rules), []
     while todo:
         tried = []
         for rule in todo:
@@ -154,12 +158,29 @@ def greedy(texts: list[str], rules: tuple[Rule, ...], clock: Callable[[], float]
     return out
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Measured]:
-    """greedy() on at most sample_rows texts from all of docs, by one task; only
-    a row a rule comes to the driver."""
+def judged(text: str) -> tuple[Features, bool]:
+    """A text with the base features, which a verdict states anyway, and whether
+    a base rule fails. What comes after finds these features there."""
+    f = Features(text)
+    for name in BASE_FEATURES:
+        getattr(f, name)
+    return f, any(r.rejects(f) for r in BASE_RULES)
+
+
+def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, after_base: bool = False) -> list[Measured]:
+    """greedy() on at most sample_rows texts, and SAMPLE_BYTES (one text at
+    least), from all of docs, by one task; only a row a rule comes to the driver.
+    after_base: on texts that pass the base rules, whose base features are known."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts = [t for pdf in batches for t in pdf["text"]]
+        texts, size = [], 0
+        for text in (t for pdf in batches for t in pdf["text"]):
+            f, failed = judged(text) if after_base else (Features(text), False)
+            size += len(text)
+            if texts and size > SAMPLE_BYTES:
+                break
+            if not failed:
+                texts.append(f)
         yield pd.DataFrame([(k, m.name, m.seconds, m.rejected) for k, m in enumerate(greedy(texts, rules))], columns=["ord", "name", "seconds", "rejected"])
 
     bounded_batches(docs.sparkSession)
@@ -194,11 +215,10 @@ def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col:
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = METHOD_RULES, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per row: doc_id, the base features, base_failed, and kept (false if a
     base rule fails, else the cascade's verdict)."""
-    cascade = ordered(rules, measure(docs, rules, text_col, sample_rows))
+    cascade = ordered(rules, measure(docs, rules, text_col, sample_rows, after_base=True))
 
     def of_text(text: str) -> tuple:
-        f = Features(text)
-        failed = any(r.rejects(f) for r in BASE_RULES)
+        f, failed = judged(text)
         kept = not failed and rejected_by(f, cascade) is None
         return f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, failed, kept
 

@@ -560,3 +560,25 @@ def test_large_counts_are_kept(spark):
     df = spark.createDataFrame([(1, "x y " * 400)], "doc_id long, text string")
     row = lm.train_and_score(df).first()
     assert row.n_known == 801 and row.score > -30
+
+
+def test_a_link_is_the_same_in_small_and_large_components():
+    """Similar sets without a bucket in common are no link, whatever the cell."""
+    import pyarrow as pa
+
+    sets = [np.arange(20, dtype=np.uint64), np.arange(1, 21, dtype=np.uint64), np.arange(20, dtype=np.uint64) + np.uint64(900)]
+    for shared in (False, True):
+        bands = [[1, 2, 3], [7, 2, 9] if shared else [7, 8, 9], [1, 2, 3]]
+        for band, blocks in ((-1, 1), (-1, 2), (1, 2)):
+            t = pa.table({"cell": [b"c"] * 3, "low": [0] * 3, "high": [0] * 3, "node": [b"a", b"b", b"c"], "copies": [1, 5, 1], "band": [band] * 3, "blocks": [blocks] * 3, "bands": bands, "set": [s.tobytes() for s in sets], "block": [0] * 3})
+            got = jaccard._verifier(0.8)(t).to_pydict()
+            assert got["links"][:3] == ([5, 1, 0] if shared or band > 0 else [0, 0, 0]), (shared, band)
+
+
+def test_costs_are_those_after_the_base_rules(docs, monkeypatch):
+    f, failed = quality.judged("one two three " * 30)
+    assert failed and {"words", "chars", "symbols", "dups", "repeats"} <= set(f._got)
+    got = quality.measure(docs, quality.METHOD_RULES, after_base=True)
+    assert {m.name for m in got} == {r.name for r in quality.METHOD_RULES}
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1)
+    assert len(quality.measure(docs)) == len(quality.RULES)

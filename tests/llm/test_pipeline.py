@@ -33,3 +33,28 @@ def test_registered():
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert "pipeline" in q and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_run_is_its_stages(spark, tmp_path):
+    """run() itself: written and read between the stages, and cleared away."""
+    import random
+
+    from callweave.llm.common import written
+
+    r = random.Random(3)
+    text = lambda n: " ".join(r.choice([f"word{k}" for k in range(400)]) for _ in range(n))
+    passage = text(30)
+    rows = [(i, f"{text(80)} {passage if i % 4 == 0 else ''}", "s") for i in range(24)]
+    rows += [(100, rows[1][1], "s"), (101, rows[2][1] + " more", "s"), (102, "too short", "s"), (103, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    before = written()
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    pieces = got.select("doc_id", "start", "length", "ids").collect()
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+    key = lambda rows: sorted((x.doc_id, x.start, x.length, bytes(x.ids)) for x in rows)
+    whole = lambda rows: {i: b"".join(b for j, _, _, b in key(rows) if j == i) for i, *_ in key(rows)}
+    assert whole(pieces) == whole(now.select("doc_id", "start", "length", "ids").collect())
+    assert {x.doc_id for x in pieces} == set(range(24))  # neither the copies nor the rejected
+    assert len(written() - before) >= 1

@@ -210,3 +210,54 @@ def test_nested_quotes_against_plain_code(spark, monkeypatch, common, piece, wid
     want = plain_chats(rows)
     assert max(v[2] for v in want.values()) > 3 and max(len(v[3]) for v in want.values()) > 1
     assert got == want
+
+
+def test_more_leaves_are_left_out_as_rows_grow(spark):
+    """On clustered rows a small share of the leaves is visited, with recall."""
+    r = np.random.default_rng(17)
+    share = []
+    for n in (2000, 16_000):
+        x = r.normal(size=(40, 24))[r.integers(0, 40, n)] * 3 + r.normal(size=(n, 24))
+        tree = ann.Tree(x, n // ann.LEAF_ROWS)
+        assert len(tree.leaf_nodes) > 0.8 * (n // ann.LEAF_ROWS)
+        share.append(tree.calibrate(x, 10, ann.RECALL) / len(tree.leaf_nodes))
+    assert share[1] < share[0] < 0.6 and share[1] < 0.2
+    x = x[:6000]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for t in ann.search(rows, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(t.query_id, set()).add(t.vec_id)
+    hits = 0
+    for i, own in got.items():
+        far = ((x - x[i]) ** 2).sum(axis=1)
+        far[i] = np.inf
+        hits += len(own & set(np.argsort(far)[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(got) and len(got) == 60
+
+
+def test_leaves_are_shared_out_in_proportion():
+    assert ann.shared_out(15, [10, 10, 10, 10, 10, 10, 10, 10]) and sum(ann.shared_out(15, [10] * 8)) == 15
+    assert ann.shared_out(3, [5, 5, 5, 5]) == [1, 1, 1, 1] and sum(ann.shared_out(100, [97, 1, 2])) == 100
+
+
+def test_a_message_is_one_of_its_conversation(spark, monkeypatch):
+    """Equal hashes in two conversations: no quotes of the other one."""
+    rows = [(1, 0, "u", "The first long line of this."), (1, 1, "v", "> The first long line of this.\nyes"), (2, 0, "u", "Something else is said here."), (2, 1, "v", "> Something else is said here.\nno")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parse = chat.parse
+    monkeypatch.setattr(chat, "parse", lambda *a, **k: parse(*a, **k).withColumn("message", F.col("turn") * 0 + 7))
+    got = {(r.conv_id, r.turn): r for r in chat.links(chat.parse(messages)).select("conv_id", F.lit(1).alias("turn"), "quotes").collect()}
+    assert {k: [q.turn for q in r.quotes] for k, r in got.items()} == {(1, 1): [0], (2, 1): [0]}
+
+
+def test_op5_query(spark, tmp_path):
+    from callweave.llm import queries
+
+    rows = [(1, 0, "u", "Where is the library now?\n\nThanks"), (1, 1, "v", "> Where is the library now?\nIn the old town."), (1, 2, "u", "> > Where is the library now?\n> In the old town.\nGood."), (1, 3, "w", "> Where is the library now?\nI know it too."), (None, 0, "u", "alone"), (2, None, "u", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(2).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r for r in queries.op5_chat(spark, str(tmp_path)).collect()}
+    assert len(got) == 6
+    assert [got[1, t].parent for t in range(4)] == [None, 0, 1, 0] and [got[1, t].depth for t in range(4)] == [0, 1, 2, 1]
+    assert {got[1, t].root for t in range(4)} == {0} and sorted(got[1, t].position for t in range(4)) == [0, 1, 2, 3]
+    assert got[1, 2].text == "Good." and got[1, 2].n_quotes == 2 and got[1, 0].n_quotes == 0
+    assert got[None, 0].position is None and got[2, None].text in ("", None)
