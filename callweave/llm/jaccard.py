@@ -241,7 +241,7 @@ def join(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: fl
     candidates = components(edges, few, 4 * size)
 
     place = cells(nodes, banded, candidates, size).join(nodes.select("node", "keys", "copies", "bands", "grams"), "node")
-    place = cut(place.select(*(F.col(f"keys.{k}").alias(k) for k in KEYS), "node", "copies", "cell", "band", "blocks", "grams", "bands"), "place", size)
+    place = cut(place.select(*(F.col(f"keys.{k}").alias(k) for k in KEYS), "node", "copies", "cell", "band", "blocks", "grams", "bands"), "place", 4 * size)
     # Each set goes to a task for each of its cell's blocks.
     parts = parts_for(docs.sparkSession, place.agg(F.sum(8 * (F.col("grams") + F.size("bands")) * F.col("blocks"))).first()[0] or 0)
     texts = docs.select(*KEYS, "text").join(place.drop("grams"), KEYS).dropDuplicates([*KEYS, "cell"])  # of repeated rows, one
