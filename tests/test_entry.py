@@ -6,7 +6,7 @@ import os
 import pytest
 
 import __spark_entry__
-from callweave.plans import catalog, details
+from callweave.plans import catalog, changes, details
 
 SF = "/root/testdata/sf0.001"
 SOME = ["closure_risk", "callers_d2", "health_coupling", "silo_report", "link_external", "hash_diff", "knn_l2", "stream_sessions", "tags_array", "refactor_sequence", "reading_order", "context_pack", "resolve_target", "ownership", "coverage_overlap", "containing_unit_innermost", "note_ancestry", "health_metrics", "hybrid_search", "transitive_callers"]
@@ -14,13 +14,13 @@ SOME = ["closure_risk", "callers_d2", "health_coupling", "silo_report", "link_ex
 
 def test_names_agree():
     q = __spark_entry__.queries()
-    own = {*catalog.QUERIES, *details.QUERIES}
-    assert len(own) == len(catalog.QUERIES) + len(details.QUERIES)
+    own = {*catalog.QUERIES, *details.QUERIES, *changes.QUERIES}
+    assert len(own) == len(catalog.QUERIES) + len(details.QUERIES) + len(changes.QUERIES)
     assert own <= set(q) and own <= set(__spark_entry__.oracle_sql()) <= set(q)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", [*SOME, *details.QUERIES])
+@pytest.mark.parametrize("name", [*SOME, *details.QUERIES, *changes.QUERIES])
 def test_matches_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
