@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import trees
+
 # What is left out unless a tree says otherwise.
 DEFAULT_IGNORE = ("node_modules/", "__pycache__/", ".git/", "dist/", "build/", "out/", "vendor/", ".venv/", "venv/", "*.min.js", "*.min.css", "*.map", "*.lock", "*.pyc", "*.egg-info/", "coverage/", ".nyc_output/")
 
@@ -54,29 +56,14 @@ def extension(path: Column) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str, patterns=DEFAULT_IGNORE, tracked=TRACKED) -> DataFrame:
-    """file (relative), content, hash of the tracked files under root. Paths are
-    listed and filtered first; only what stays is read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    own = re.sub("^[a-z]+:/*", "/", root).rstrip("/") + "/"
-    file = F.expr(f"substring(regexp_replace(path, '^[a-z]+:/*', '/'), {len(own) + 1})")
-    wanted = raw.select("path", file.alias("file")).filter(extension(F.col("file")).isin(*tracked) & ~ignored(F.col("file"), patterns))
-    found = read_listed(wanted)
+    """file (relative), content, hash of the tracked files under root. Tasks list
+    the folders, and only what stays is read (trees.py)."""
+    listed = trees.list_tree(spark, root, patterns)
+    wanted = listed.filter(extension(F.col("file")).isin(*tracked) & ~ignored(F.col("file"), patterns))
+    found = trees.read_files(root, wanted)
     return found.select("file", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("hash"))
 
 
-def read_listed(paths: DataFrame) -> DataFrame:
-    """file, content of listed files (path, file). The listing reads no bytes, as
-    only the column path of the source is asked for, and goes to the driver, which
-    hands the paths to the reader: a tree's paths, not its contents."""
-    spark = paths.sparkSession
-    listed = [tuple(r) for r in paths.select("path", "file").collect()]
-    if not listed:
-        return spark.createDataFrame([], "file string, content binary")
-    raw = spark.read.format("binaryFile").load([re.sub(r"([{}\[\]*?\\,])", r"\\\1", p) for p, _ in listed])
-    names = spark.createDataFrame(listed, "path string, file string")
-    return raw.select("path", "content").join(names, "path").select("file", "content")
-
-
 def language(path: Column) -> Column:
     out = F
     for ext, lang in LANGUAGE.items():

@@ -5,7 +5,7 @@ import pytest
 from callweave.engine import Engine
 from callweave import sinks
 from callweave.operators import confidence, drift, intent
-from callweave.sources import config, coverage, files, git, parse
+from callweave.sources import config, coverage, files, git, parse, trees
 from callweave.streaming import velocity
 from pyspark.sql import functions as F
 
@@ -65,6 +65,33 @@ def test_trees_are_read_by_their_listing(spark, tmp_path):
     assert files.read_tree(spark, str(tmp_path), tracked=(".nothing",)).count() == 0
 
 
+def test_listing_by_tasks_equals_a_walk(spark, tmp_path):
+    import os
+
+    for k in range(120):
+        p = tmp_path / "/".join(f"d{(k * 7 + i) % (i + 3)}" for i in range(k % 6))
+        p.mkdir(parents=True, exist_ok=True)
+        (p / f"f{k}.py").write_text("x = 1\n" * k)
+    for name in ("__init__.py", ".hidden/x.py", "_own/y.py", "a%20b/z 1.py", "vendor/v.py", "deep/vendor/w.py", "gen/a.py", "gen/keep/b.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    os.symlink(tmp_path, tmp_path / "d0" / "up")
+    os.symlink(tmp_path / "__init__.py", tmp_path / "link.py")
+    want = {(os.path.relpath(os.path.join(d, f), tmp_path), os.path.getsize(os.path.join(d, f))) for d, _, fs in os.walk(tmp_path) for f in fs}
+    for step in (1, 3, 1000):
+        got = [tuple(r) for r in trees.list_tree(spark, str(tmp_path), step=step).collect()]
+        assert len(got) == len(want) and set(got) == want
+    # A rule leaves out a folder, but for what a later one lets in.
+    rules = ("vendor/", "gen/", "!gen/keep/")
+    seen = {r.file for r in trees.list_tree(spark, str(tmp_path), rules).collect()}
+    assert {f for f, _ in want} - seen == {"vendor/v.py", "deep/vendor/w.py"} or "gen/keep/b.py" in seen
+    got = {r.file: r.content for r in files.read_tree(spark, f"file://{tmp_path}", rules).collect()}
+    assert set(got) == {f for f, _ in want} - {"vendor/v.py", "deep/vendor/w.py", "gen/a.py"}
+    assert got["a%20b/z 1.py"] == "a%20b/z 1.py" and got["link.py"] == "__init__.py"
+    with pytest.raises(Exception, match="gone"):
+        trees.list_tree(spark, str(tmp_path / "gone"))
+
+
 def test_state_hash(spark):
     import hashlib
 
