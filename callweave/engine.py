@@ -11,7 +11,7 @@ from . import schema, sinks
 from .functions.text import embedding_text
 from .lineage import cut
 from .operators import areas as area_rules
-from .operators import confidence, context, drift, graph, health, intent, linking, notes, onboarding, relink, reports, vectors, viz
+from .operators import confidence, context, drift, graph, health, intent, linking, notes, onboarding, relink, reports, semantic, vectors, viz
 from .sources import config as config_source
 from .sources import files as file_source
 from .sources import parse
@@ -21,10 +21,13 @@ from .store import STORED, TABLES, Store
 class Engine:
     def __init__(self, spark: SparkSession, root: str, areas: dict[str, str] | None = None, tracked=file_source.TRACKED, embed=vectors.hashed_embedding, half_life: float = schema.HALF_LIFE, stale: float = 0.1, possibly_stale: float = 0.3):
         """embed: a function of a text column, or the name of one; None searches
-        by vectors only."""
-        own = vectors.embedder(embed) if isinstance(embed, str) else embed
+        by vectors only. `learned`: each build fits a model to its units, which the
+        index holds; updates embed with it."""
+        self.learned = embed == "learned"
+        own = vectors.embedder(embed) if isinstance(embed, str) and not self.learned else embed
         self.stale, self.possibly_stale = stale, possibly_stale
-        self.spark, self.store, self.areas, self.tracked, self.embed, self.half_life = spark, Store(spark, root), areas or {}, tracked, own, half_life
+        self.spark, self.store, self.areas, self.tracked, self.half_life = spark, Store(spark, root), areas or {}, tracked, half_life
+        self._embed, self._fitted = own, (None, None)
 
     @classmethod
     def of_config(cls, spark: SparkSession, root: str, path: str) -> Engine:
@@ -39,13 +42,29 @@ class Engine:
     def edges(self) -> DataFrame:
         return self.store.read("edges")
 
+    @property
+    def embed(self):
+        """The embedding in use; a learned one is the current snapshot's."""
+        if not self.learned:
+            return self._embed
+        parts = self.store.parts("model")
+        if not parts:
+            raise ValueError("the index holds no learned model: build it with one")
+        if self._fitted[0] != parts:
+            self._fitted = (parts, semantic.Model.of_rows(self.store.read("model")))
+        return self._fitted[1]
+
     # ------------------------------------------------------ build and update
 
-    def _embedded(self, units: DataFrame) -> DataFrame:
+    def _embedded(self, units: DataFrame, embed=None) -> DataFrame:
         """id, embedding, file of units."""
-        if self.embed is None:
+        embed = embed or self.embed
+        if embed is None:
             return self.spark.createDataFrame([], schema.VECTORS + ", file string")
-        return units.select("id", self.embed(embedding_text("name", "signature", "docstring")).alias("embedding"), "file")
+        return units.select("id", embed(embedding_text("name", "signature", "docstring")).alias("embedding"), "file")
+
+    def _embed_notes(self, rows: DataFrame) -> DataFrame:
+        return rows.select("id", self.embed(F.concat_ws(" ", "title", "body")).alias("embedding"))
 
     def _meta(self, hashes: DataFrame, built: str) -> DataFrame:
         state = drift.state_hash(hashes).select(F.lit("state_hash").alias("key"), F.col("state_hash").alias("value"))
@@ -60,7 +79,14 @@ class Engine:
             parsed = cut(parse.parse(files))
             units, captures, hashes = cut(parse.units_of(parsed)), relink.with_names(parse.captures_of(parsed)), cut(files.select("file", "hash"))
             edges = linking.link_named(captures, units)
-            name = self.store.publish({"units": units, "captures": captures, "edges": edges, "vectors": self._embedded(units), "file_hashes": hashes, "meta": self._meta(hashes, built)}, files=hashes.count(), based_on=before, lease=lease)
+            model = semantic.fit(units, embedding_text("name", "signature", "docstring")) if self.learned else None
+            tables = {"units": units, "captures": captures, "edges": edges, "vectors": self._embedded(units, model), "file_hashes": hashes, "meta": self._meta(hashes, built)}
+            if model is not None:
+                tables["model"] = model.rows(self.spark)
+            name = self.store.publish(tables, files=hashes.count(), based_on=before, lease=lease)
+            if model is not None and not self.store.read("notes").isEmpty():
+                # Vectors of two models don't compare.
+                self.store.replace("note_vectors", self._embed_notes(self.store.read("notes")))
             self._after(None, now, commit, documents)
         return name
 
@@ -268,7 +294,7 @@ class Engine:
         self._known(rows, "type", schema.NOTE_TYPES)
         self.store.append("notes", rows)
         if self.embed is not None:
-            self.store.append("note_vectors", rows.select("id", self.embed(F.concat_ws(" ", "title", "body")).alias("embedding")))
+            self.store.append("note_vectors", self._embed_notes(rows))
 
     @staticmethod
     def _known(rows: DataFrame, name: str, values: tuple[str, ...]) -> None:

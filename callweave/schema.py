@@ -15,6 +15,7 @@ UNITS = "id string, name string, file string, type string, line_start int, line_
 EDGES = "src_id string, dst_id string, rel_type string, file string"
 CAPTURES = "capture_name string, text string, file string, line int"
 VECTORS = "id string, embedding array<float>"
+MODEL = "feature int, idf double, basis array<float>"
 META = "key string, value string"
 FILE_HASHES = "file string, hash string"
 SNAPSHOTS = "build_ts long, commit_hash string, coupling double, avg_blast double, dead_code_pct double, cohesion double, test_surface double, drift_velocity double, hub_concentration double, unit_count long, edge_count long"

@@ -44,7 +44,7 @@ def _document(path: str) -> dict:
     return found
 
 
-def load_config(path: str, embeddings: tuple[str, ...] = ("local", "none")) -> Config:
+def load_config(path: str, embeddings: tuple[str, ...] = ("local", "learned", "none")) -> Config:
     """The configuration, with what is odd about it as warnings. A file that
     lacks areas or extensions, or isn't there, is an error."""
     doc = _document(path)
@@ -63,7 +63,7 @@ def load_config(path: str, embeddings: tuple[str, ...] = ("local", "none")) -> C
     return Config(**{**own.__dict__, "warnings": tuple(validate(own, embeddings))})
 
 
-def validate(config: Config, embeddings: tuple[str, ...] = ("local", "none")) -> list[str]:
+def validate(config: Config, embeddings: tuple[str, ...] = ("local", "learned", "none")) -> list[str]:
     """What is odd, one line each; nothing here is an error."""
     out = []
     if not config.areas:
