@@ -6,7 +6,7 @@ import os
 import pytest
 
 import __spark_entry__
-from callweave.plans import catalog, changes, details
+from callweave.plans import catalog, changes, details, learned
 
 SF = "/root/testdata/sf0.001"
 SOME = ["closure_risk", "callers_d2", "health_coupling", "silo_report", "link_external", "hash_diff", "knn_l2", "stream_sessions", "tags_array", "refactor_sequence", "reading_order", "context_pack", "resolve_target", "ownership", "coverage_overlap", "containing_unit_innermost", "note_ancestry", "health_metrics", "hybrid_search", "transitive_callers"]
@@ -20,7 +20,7 @@ def test_names_agree():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", [*SOME, *details.QUERIES, *changes.QUERIES])
+@pytest.mark.parametrize("name", [*SOME, *details.QUERIES, *changes.QUERIES, *learned.ORACLE])
 def test_matches_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

@@ -1,10 +1,13 @@
 """The learned embedding against a whole decomposition, and what it finds."""
 
+import os
+
 import numpy as np
 import pytest
 
 from callweave.engine import Engine
 from callweave.operators import semantic, vectors
+from callweave.plans import learned
 from pyspark.sql import functions as F
 
 #: Of each pair of words units have one only, beside words that both go with.
@@ -97,3 +100,19 @@ def test_an_index_holds_its_model(spark, tmp_path):
     other = Engine(spark, str(tmp_path / "index"), embed="learned")
     found = other.search("fetch", 20).filter("source = 'matched'").select("id").collect()
     assert len(found) == 20 and all("::fetch" in r.id or "::retrieve" in r.id for r in found)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_nearest_parts_are_those_of_a_search_of_all(spark):
+    sf = "/root/testdata/sf0.001"
+    parts = learned.part_texts(spark, sf)
+    model = semantic.fit(parts)
+    own = parts.select(F.col("id").cast("string").alias("id"), model("text").alias("v")).toPandas()
+    types = spark.read.parquet(f"{sf}/part.parquet").select("p_type").distinct().select("p_type", model("p_type").alias("v")).toPandas()
+    far = np.linalg.norm(np.stack(types.v).astype(float)[:, None] - np.stack(own.v).astype(float)[None], axis=2)
+    got = learned.learned_near(spark, sf).toPandas()
+    assert len(got) == 5 * len(types)
+    for k, name in enumerate(types.p_type):
+        want = sorted(zip(far[k], own.id))[:5]
+        mine = got[got["query"] == name].sort_values("rank")
+        assert np.allclose(mine.distance, [d for d, _ in want], atol=1e-9)
