@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import bounded_tasks, cut
 from ..schema import BOUNDARY, EXTERNAL, IMPORT, LOCAL
 
 #: Areas of the fixture graph; files under tests/ are in none.
@@ -13,7 +13,9 @@ AREAS = {"geo": "geo/", "supply": "supply/", "catalog": "catalog/", "crm": "crm/
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    bounded_tasks(spark, path)
+    return spark.read.parquet(path)
 
 
 _index: dict[tuple, DataFrame] = {}
@@ -33,7 +35,7 @@ def indexed(make):
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, make.__name__, _state(spark, sf_dir))
         if key not in _index:
-            _index[key] = cut(make(spark, sf_dir).coalesce(max(1, spark.sparkContext.defaultParallelism)))
+            _index[key] = cut(make(spark, sf_dir))
         return _index[key]
 
     return read

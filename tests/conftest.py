@@ -15,3 +15,22 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture
+def most_rows(spark):
+    """A function: the rows that the busiest step of a frame's plan makes."""
+
+    def steps(plan):
+        found = plan.metrics().get("numOutputRows")
+        yield found.get().value() if found.isDefined() else 0
+        for i in range(plan.children().size()):
+            yield from steps(plan.children().apply(i))
+
+    def run(df):
+        df._jdf.collectToPython()
+        return max(steps(df._jdf.queryExecution().executedPlan()))
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield run
+    spark.conf.unset("spark.sql.adaptive.enabled")
