@@ -1,6 +1,7 @@
-"""Captures and units -> edges. A capture meets the units over its line in bins
-of lines, names in an equi-join on the callee, and the first match is taken with
-a partial aggregation."""
+"""Captures and units -> edges. A line that has captures meets the units over it
+in bins of lines, once, and a capture the first of its line; names meet in an
+equi-join on the callee with the first unit of each name, so no capture meets all
+units of its name."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import callee_name, import_name
+from ..lineage import cut
 from ..schema import BOUNDARY, EXTERNAL, EXTERNAL_PREFIX, IMPORT, LOCAL
 from .spans import within
 
@@ -16,19 +18,24 @@ def keyed(captures: DataFrame) -> DataFrame:
     return captures.select("capture_name", "text", "file", "line", F.xxhash64("capture_name", "text", "file", "line").alias("cap"))
 
 
-def containing(captures: DataFrame, units: DataFrame, mode: str = "first") -> DataFrame:
-    """captures with src_id: the first unit by line and id that holds the line,
-    or with mode="innermost" the one that starts last."""
+def _held(captures: DataFrame, units: DataFrame, mode: str) -> DataFrame:
     spans = units.select(F.col("id").alias("uid"), "file", "line_start", "line_end")
     key = F.struct("line_start", "uid")
     pick = F.min_by("uid", key) if mode == "first" else F.max_by("uid", key)
-    held = within(captures, spans)
-    return held.groupBy("cap", "capture_name", "text", "file", "line").agg(pick.alias("src_id"))
+    held = within(captures.select("file", "line").distinct(), spans).groupBy("file", "line").agg(pick.alias("src_id"))
+    return captures.join(held, ["file", "line"])
+
+
+def containing(captures: DataFrame, units: DataFrame, mode: str = "first") -> DataFrame:
+    """captures with src_id: the first unit by line and id that holds the line,
+    or with mode="innermost" the one that starts last. Equal captures are one."""
+    return _held(captures, units, mode).select("cap", "capture_name", "text", "file", "line", "src_id").distinct()
 
 
 def _calls(captures: DataFrame, units: DataFrame, mode: str) -> DataFrame:
-    calls = keyed(captures).filter(F.col("capture_name").contains("call"))
-    return containing(calls, units, mode).withColumn("callee", callee_name("text"))
+    """src_id, file, callee of each call."""
+    calls = captures.filter(F.col("capture_name").contains("call")).select("file", "line", callee_name("text").alias("callee"))
+    return _held(calls, units, mode).select("src_id", "file", "callee")
 
 
 def _named(units: DataFrame) -> DataFrame:
@@ -36,8 +43,8 @@ def _named(units: DataFrame) -> DataFrame:
 
 
 def local_edges(calls: DataFrame, units: DataFrame) -> DataFrame:
-    to = _named(units).withColumnRenamed("to_file", "file")
-    found = calls.join(to, ["file", "callee"]).groupBy("cap", "src_id", "file", "callee").agg(F.min_by("to", F.struct("line_start", "to")).alias("dst_id"))
+    first = _named(units).groupBy(F.col("to_file").alias("file"), "callee").agg(F.min_by("to", F.struct("line_start", "to")).alias("dst_id"))
+    found = calls.join(first, ["file", "callee"])
     return found.select("src_id", "dst_id", F.lit(LOCAL).alias("rel_type"), "file", "callee")
 
 
@@ -60,7 +67,7 @@ def external_edges(calls: DataFrame, units: DataFrame) -> DataFrame:
 
 def boundary_edges(calls: DataFrame, units: DataFrame) -> DataFrame:
     """Calls of names that no unit has."""
-    found = calls.join(units.select(F.col("name").alias("callee")), "callee", "left_anti")
+    found = calls.join(units.select(F.col("name").alias("callee")).distinct(), "callee", "left_anti")
     return found.select("src_id", F.concat(F.lit(EXTERNAL_PREFIX), F.col("callee")).alias("dst_id"), F.lit(BOUNDARY).alias("rel_type"), "file", "callee")
 
 
@@ -78,7 +85,8 @@ def link(captures: DataFrame, units: DataFrame, mode: str = "first") -> DataFram
 
 def link_named(captures: DataFrame, units: DataFrame, mode: str = "first") -> DataFrame:
     """link, with the name by which an edge was found."""
-    calls = _calls(captures, units, mode)
+    # Three kinds of edges read the calls.
+    calls = cut(_calls(captures, units, mode))
     every = local_edges(calls, units).unionByName(external_edges(calls, units)).unionByName(boundary_edges(calls, units)).unionByName(import_edges(captures, units))
     return every.groupBy("src_id", "dst_id", "rel_type").agg(F.min("file").alias("file"), F.min("callee").alias("callee"))
 

@@ -597,7 +597,8 @@ def area_counts(spark, sf):
 def captures(spark, sf):
     """A line item as a call at its part's brand file, of its supplier or, for
     returned goods, of a name that no unit has."""
-    li = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    # Parts come last: equal captures have met by their part.
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     callee = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("lib.f"), (F.col("l_orderkey") % 50).cast("string"))).when(F.col("l_returnflag") == "A", F.col("p_name")).otherwise(F.col("s_name"))
     return li.select(F.lit("call").alias("capture_name"), F.concat(callee, F.lit(" (x, y)")).alias("text"), F.concat(F.lit("catalog/"), F.translate("p_brand", "#", ""), F.lit(".py")).alias("file"), F.col("l_partkey").alias("line")).distinct()
 
