@@ -1,44 +1,35 @@
 """Sizes of closures without their pairs.
 
 Units are numbered densely, those of a file and of a folder one after the other,
-and a set of units is a few bitmaps: one for every 32,768 numbers of which it has
-one. Unions are Spark's bitmap aggregates, partial on the side that sends. A
+and numbers are cut into buckets of 32,768. Of a set, a bucket of more than DENSE
+members is a bitmap of 4 KB, of fewer a row a member, so that a set never takes more
+than a bounded number of bytes a member, however many buckets there are. Unions are
+distinct rows and Spark's bitmap aggregates, partial on the side that sends. A
 target whose callers at two steps can be many - which the degrees tell - costs bits
 for these, not rows; all others cost at most HUB rows each.
 
 For all transitive callers, strongly connected components come first: what has no
 way in or out is one of its own, layer by layer; of what is left, the largest number
 that reaches a unit colours it, and what reaches the unit of that number within its
-colour is a component. Then the components' bitmaps are united along the graph
+colour is a component. Then the components' sets are united along the graph
 without cycles, a round a layer. Rounds are written to the shared folder.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..lineage import cut
 from . import graph
 from .areas import head
+from .graph import numbered
 
-#: Callers of callers from which on a target's sets are bitmaps, and members from
-#: which on a middle unit's are; below, its members are rows that become bits.
+#: Callers of callers from which on a target's sets are bitmaps, and members of a
+#: bucket from which on it is one.
 HUB, DENSE = 1 << 16, 256
 
 
-def numbered(ids: DataFrame, *order: str) -> DataFrame:
-    """id, number: dense from 1, in this order: counted within ranges, as many as a
-    shuffle has, whose offsets are a row each."""
-    width = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = [*order, "id"]
-    dealt = cut(ids.repartitionByRange(width, *by).withColumn("part", F.spark_partition_id()))
-    before = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    own = F.row_number().over(W.partitionBy("part").orderBy(*by))
-    return dealt.withColumn("own", own).join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("own")).alias("number"))  # a row a range
-
-
 def _bits(number: Column) -> list[Column]:
     return [F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("bit")]
 
@@ -59,15 +50,38 @@ def sizes(sets: DataFrame, name: str, key: str = "a") -> DataFrame:
     return sets.groupBy(key).agg(F.sum(F.bitmap_count("bits")).alias(name))
 
 
+def as_rows(rows: DataFrame, key: str = "a") -> DataFrame:
+    """key, bucket, bit, bits (none) of key, number: a set by its members."""
+    return rows.select(key, *_bits(F.col("number")), F.lit(None).cast("binary").alias("bits"))
+
+
+def packed(sets: DataFrame, key: str = "a", dense: int = DENSE) -> DataFrame:
+    """key, bucket, bit, bits: each member once, buckets of more than dense of
+    them as a bitmap, in bits; sets may hold both, and members repeatedly."""
+    sets = cut(sets.select(key, "bucket", "bit", "bits"))
+    n = sets.groupBy(key, "bucket").agg(F.count("bit").alias("n"), F.count("bits").alias("maps"))
+    full = cut(n.filter((F.col("n") > dense) | (F.col("maps") > 0)).select(key, "bucket"))
+    rows = sets.filter("bit is not null")
+    few = rows.join(full, [key, "bucket"], "left_anti").select(key, "bucket", "bit").distinct()
+    many = bitmaps(sets.join(full, [key, "bucket"], "left_semi"), key)
+    return cut(few.withColumn("bits", F.lit(None).cast("binary")).unionByName(many.withColumn("bit", F.lit(None).cast("long")).select(key, "bucket", "bit", "bits")))
+
+
+def bitmaps(sets: DataFrame, key: str = "a") -> DataFrame:
+    """key, bucket, bits of key, bucket, bit, bits."""
+    rows = sets.filter("bit is not null").groupBy(key, "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return united(rows, sets.filter("bits is not null").select(key, "bucket", "bits"), key=key)
+
+
+def over(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, bucket, bit, bits: for links (a, b) what each a's b have (sets by b)."""
+    return links.join(sets, "b").select("a", "bucket", "bit", "bits")
+
+
 def union_over(links: DataFrame, members: DataFrame, dense: int = DENSE) -> DataFrame:
     """a, bucket, bits: for links (a, b) the union of the members (b, number) of
-    each a's b. A b of many members is one bitmap a bucket for all its links."""
-    n = cut(members.groupBy("b").agg(F.count("*").alias("n")))
-    many = members.join(n.filter(F.col("n") > dense).select("b"), "b", "left_semi")
-    few = members.join(n.filter(F.col("n") <= dense).select("b"), "b", "left_semi")
-    large = cut(as_bitmaps(many, "b"))
-    rows = as_bitmaps(links.join(few, "b").select("a", "number"))
-    return united(rows, links.join(large, "b").select("a", "bucket", "bits"))
+    each a's b. What a b has in a bucket is one bitmap for all its links, if it is much."""
+    return bitmaps(over(links, packed(as_rows(members, "b"), "b", dense)))
 
 
 def _bounds(back: DataFrame) -> DataFrame:
@@ -141,8 +155,8 @@ class Closures:
         own = into.join(self.hubs, "id", "left_semi").select(F.col("id").alias("a"), "number")
         direct = union_over(links, into.withColumnRenamed("id", "b"))
         middle = self.back.join(self.links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(known, "b", "left_semi")
-        second = union_over(middle, into.withColumnRenamed("id", "b"))  # by middle unit, its callers' tests
-        through = self.links.join(second.withColumnRenamed("a", "b"), "b").select("a", "bucket", "bits")
+        second = packed(over(middle, packed(as_rows(into.withColumnRenamed("id", "b"), "b"), "b")))  # by middle unit, its callers' tests
+        through = bitmaps(over(self.links, second.withColumnRenamed("a", "b")))
         many = sizes(united(as_bitmaps(own), direct, through), "tests").withColumnRenamed("a", "target")
         return few.unionByName(many)
 
@@ -207,7 +221,7 @@ def all_transitive_callers(units: DataFrame, edges: DataFrame) -> DataFrame:
     named = adj.join(root.select(F.col("id").alias("src_id"), F.col("root").alias("b")), "src_id").join(root.select(F.col("id").alias("dst_id"), F.col("root").alias("a")), "dst_id")
     links = cut(named.filter("a <> b").select("a", "b").distinct())
     number = numbered(root, "file")
-    own = cut(as_bitmaps(number.join(root.select("id", F.col("root").alias("a")), "id").select("a", "number")))
+    own = packed(as_rows(number.join(root.select("id", F.col("root").alias("a")), "id").select("a", "number")))
     layer = cut(graph.layers(size.select(F.col("root").alias("id")), links.select(F.col("a").alias("src_id"), F.col("b").alias("dst_id"))))
     reached, k = None, 1
     last = layer.agg(F.max("layer")).first()[0] or 0
@@ -216,12 +230,13 @@ def all_transitive_callers(units: DataFrame, edges: DataFrame) -> DataFrame:
     while k <= last:
         now = layer.filter(F.col("layer") == k).select(F.col("id").alias("a"))
         to = links.join(now, "a", "left_semi")
-        step = cut(united(to.join(handed.withColumnRenamed("a", "b"), "b").select("a", "bucket", "bits")))
+        step = packed(over(to, handed.withColumnRenamed("a", "b")))
         reached = step if reached is None else reached.unionByName(step)
         if k < last:
             handed = handed.unionByName(step)
         k += 1
     n = size.select(F.col("root").alias("a"), (F.col("size") - 1).alias("n"))
     if reached is not None:
-        n = n.join(sizes(reached, "more"), "a", "left").select("a", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        more = reached.groupBy("a").agg(F.sum(F.coalesce(F.bitmap_count("bits"), F.lit(1))).alias("more"))
+        n = n.join(more, "a", "left").select("a", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
     return root.join(n.withColumnRenamed("a", "root"), "root").select("id", "n")
