@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,8 +38,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int =
     embedding); a query is not its own neighbour. Exact: see Cells. A row of a
     null vector takes no part."""
     kept = lambda df, name: df.select(F.col("id").alias(name), F.col("embedding").cast("array<double>").alias(name[0] + "vec")).filter(F.col(name[0] + "vec").isNotNull())
-    cells = Cells(kept(vectors, "id"), k, pivots, block)
-    near = cells.candidates(kept(queries, "query")).select("query", "id", l2("ivec", "qvec").alias("distance"))
+    near = Cells(kept(vectors, "id"), k, pivots, block).nearest(kept(queries, "query"))
     rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -89,15 +91,75 @@ class Cells:
         q = q.withColumn("to", F.get("to", F.col("c.cell"))).filter(F.col("to") - F.col("c.wide") <= F.col("bound"))
         return q.select("query", "qvec", "bound", F.col("c.cell").alias("cell"), "to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c.blocks") - 1)).alias("block"))
 
-    def candidates(self, queries: DataFrame) -> DataFrame:
-        """query, qvec, id, ivec of what isn't ruled out."""
+    def _meeting(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Visits, and placed vectors, each dealt by cell and block."""
         blocks = F.element_at(F.create_map(*(F.lit(x) for r in self.cells for x in (r["cell"], r["blocks"]))), F.col("cell")) if self.cells else F.lit(1)
         dealt = self.placed.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+        return self.visits(queries), dealt
+
+    def candidates(self, queries: DataFrame) -> DataFrame:
+        """query, qvec, id, ivec of what isn't ruled out."""
+        visits, dealt = self._meeting(queries)
         # Few bytes, but much to compute: Spark must not put these into few tasks.
         width = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        met = self.visits(queries).repartition(width, "cell", "block").join(dealt.repartition(width, "cell", "block"), ["cell", "block"])
+        met = visits.repartition(width, "cell", "block").join(dealt.repartition(width, "cell", "block"), ["cell", "block"])
         return met.filter((F.abs(F.col("to") - F.col("far")) <= F.col("bound")) & (F.col("query") != F.col("id")))
 
+    def nearest(self, queries: DataFrame) -> DataFrame:
+        """query, id, distance: the k nearest candidates of each query in each
+        block. A task holds one block and as many visits at a time."""
+        visits, dealt = self._meeting(queries)
+        # Visits of a block are cut too; a block goes to each of their shares.
+        visits = cut(visits)
+        n = visits.groupBy("cell", "block").agg(F.ceil(F.count("*") / self.block).alias("shares"))
+        width = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left = visits.join(n, ["cell", "block"]).withColumn("share", F.pmod(F.xxhash64("query"), F.col("shares")))
+        right = dealt.join(n, ["cell", "block"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+        key = ["cell", "block", "share"]
+        left = left.select(*key, "query", "qvec", "bound", "to").repartition(width, *key).groupBy(key)
+        right = right.select(*key, "id", "ivec", "far").filter("far is not null").repartition(width, *key).groupBy(key)
+        kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *self.placed.schema)}
+        return left.cogroup(right).applyInArrow(_nearest_of(self.k), f"query {kinds['query']}, id {kinds['id']}, distance double")
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as rows."""
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _nearest_of(k: int):
+    """A function of the visits and the vectors of a block: of each visit the k
+    nearest by distance and id. Squares are summed in the order of the places,
+    as l2 does."""
+
+    def run(visits: pa.Table, block: pa.Table) -> pa.Table:
+        visits = visits.filter(pc.is_valid(visits["to"]))
+        out: tuple[list, list, list] = ([], [], [])
+        if len(visits) and len(block):
+            block = block.sort_by("far")
+            ids, far, places = block["id"].to_pylist(), block["far"].to_numpy(), np.ascontiguousarray(_matrix(block["ivec"]).T)
+            for query, q, bound, to in zip(visits["query"].to_pylist(), _matrix(visits["qvec"]), visits["bound"].to_pylist(), visits["to"].to_pylist()):
+                # Rounded as the filter of all others: the ends may be a little too wide, but lose none.
+                low, high = (0, len(ids)) if np.isnan(bound) or np.isinf(bound) else (np.searchsorted(far, to - bound - 1e-9 * (abs(to) + bound)), np.searchsorted(far, to + bound + 1e-9 * (abs(to) + bound), "right"))
+                if low >= high:
+                    continue
+                apart = places[:, low:high] - q[:, None]
+                distance = np.sqrt(np.add.reduce(apart * apart, axis=0))
+                some = np.arange(high - low)
+                if len(some) > k + 1:
+                    # One more than k, as the query itself may be among them, and all that are as near.
+                    limit = np.partition(distance, k)[k]
+                    some = some if np.isnan(limit) else np.flatnonzero(distance <= limit)
+                best = sorted(((distance[i], ids[low + i]) for i in some if ids[low + i] is not None and ids[low + i] != query), key=lambda x: (np.isnan(x[0]), x))[:k]
+                out[0].extend([query] * len(best))
+                out[1].extend(i for _, i in best)
+                out[2].extend(float(d) for d, _ in best)
+        kinds = (visits.schema.field("query").type, block.schema.field("id").type, pa.float64())
+        return pa.table([pa.array(x, kind) for x, kind in zip(out, kinds)], names=["query", "id", "distance"])
+
+    return run
+
 
 def hybrid(vectors: DataFrame, units: DataFrame, edges: DataFrame, query: list[float], k: int = 10, areas=None, metric: str = "l2", area: str | None = None) -> DataFrame:
     """id, source (matched or neighbour), distance, similarity, area: the k
