@@ -1,7 +1,8 @@
 """Lines within spans of lines of the same file, as an equi-join.
 
 A span belongs to a level by its length, and lies in at most two bins of that
-level; a line lies in one bin of each level. So a file's lines meet the spans
+level; a line lies in one bin of each level that has spans: the bins of a level without
+any would only gather all lines of a long file. So a file's lines meet the spans
 near them, not all spans of the file, however long some spans are.
 """
 
@@ -28,6 +29,7 @@ def within(lines: DataFrame, spans: DataFrame) -> DataFrame:
     width = _width(end - start + 1).cast("long")
     bins = F.explode(F.sequence(F.floor(start / F.col("__width")), F.floor(end / F.col("__width"))))
     held = spans.filter("line_start <= line_end").withColumn("__width", width).withColumn("__bin", bins)
-    every = F.explode(F.array(*(F.struct(F.lit(w).cast("long").alias("__width"), F.floor(F.col("line").cast("long") / w).alias("__bin")) for w in WIDTHS)))
+    levels = [r[0] for r in held.select("__width").distinct().collect()] or WIDTHS[:1]  # six at most
+    every = F.explode(F.array(*(F.struct(F.lit(w).cast("long").alias("__width"), F.floor(F.col("line").cast("long") / w).alias("__bin")) for w in levels)))
     at = lines.withColumn("__at", every).select(*lines.columns, "__at.__width", "__at.__bin")
     return at.join(held, ["file", "__width", "__bin"]).filter("line between line_start and line_end").drop("__width", "__bin")
